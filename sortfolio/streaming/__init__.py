@@ -1,0 +1 @@
+"""Empty on purpose: the computation is yearly/monthly batch and has no stream, state or late data."""
