@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from sortfolio.functions.columns import ntile_bucket, three_way, two_way
 from sortfolio.plans.config import (
-    BP_SETS, DEFAULT_SET, FLAG_COL, LABELS2, LABELS3, SIZE_LABELS, VALUE_COL, ntile_port, port, set_prob_index,
+    BP_SETS, DEFAULT_SET, FLAG_COL, LABELS2, LABELS3, MEASURES, SIZE_LABELS, SORT_MEASURES, VALUE_COL,
+    ntile_port, port, set_prob_index,
 )
 
 
@@ -47,11 +48,17 @@ def assign_3way_robust(panel: DataFrame, measures: Iterable[str], robust: tuple[
     return out
 
 
-def factor_bucket_columns(robust: tuple[str, ...], measures: Iterable[str]) -> list[str]:
-    cols = []
-    for m in measures:
-        cols += [f"{port(m)}_{bp}" for bp in BP_SETS] if m in robust else [port(m)]
-    return cols
+def factor_domains(robust: tuple[str, ...], two_by_two: bool) -> dict[str, tuple[str, ...]]:
+    """Bucket columns of the factor sorts with their labels."""
+    domains = {"szport": SIZE_LABELS}
+    for m in MEASURES:
+        names = [f"{port(m)}_{bp}" for bp in BP_SETS] if m in robust else [port(m)]
+        domains |= {c: LABELS2[m] if two_by_two else LABELS3[m] for c in names}
+    return domains
+
+
+def ntile_domains(n_size: int, n_other: int) -> dict[str, range]:
+    return {ntile_port(m): range(1, (n_size if m == "size" else n_other) + 1) for m in ("size", *SORT_MEASURES)}
 
 
 def assign_ntile(panel: DataFrame, variables: Iterable[str], n: int) -> DataFrame:

@@ -2,6 +2,7 @@
 
 All measures of a panel go through one selection: their universe values are unpivoted into
 (file, variable, June, value) rows, so a further measure is a further group, not a further job.
+Panels carry the universe conditions as columns (:func:`universe.universe_flags`).
 """
 
 from __future__ import annotations
@@ -13,7 +14,6 @@ from pyspark.sql import functions as F
 
 from sortfolio.landing import land
 from sortfolio.operators.quantiles import edges, exact_quantiles, quantile_col
-from sortfolio.operators.universe import universe_condition
 from sortfolio.plans.config import (
     EDGE_EPSILON, HALF_PROBS, QUARTILE_PROBS, QUINTILE_PROBS, SET_PROBS, VALUE_COL,
 )
@@ -23,11 +23,15 @@ CHAR_VARS = ("size", "bm", "inv", "op")
 
 def universe_values(panel: DataFrame, variables: Sequence[str], keys: Sequence[str]) -> DataFrame:
     """Long rows (keys, var, x) of the values that set breakpoints."""
-    cols = [F.when(universe_condition(v), F.col(VALUE_COL[v])).alias(v) for v in variables]
+    cols = [F.when(F.col(f"u_{v}"), F.col(VALUE_COL[v])).alias(v) for v in variables]
     return (panel.select(*keys, *cols).unpivot(list(keys), list(variables), "var", "x")
             .filter(F.col("x").isNotNull()))
 
 
+def _in_nf_universe() -> Column:
+    return F.col("u_nf") & F.col("nf").isNotNull()
+
+
 def _wide(long: DataFrame, keys: list[str], names: dict[str, Column]) -> DataFrame:
     """One row per key from (keys, var) rows; ``names`` maps output column to an expression by var."""
     return long.groupBy(*keys).agg(*[F.max(e).alias(c) for c, e in names.items()])
@@ -59,7 +63,7 @@ NF_KEYS = ["source_file", "measure", "jdate"]
 
 
 def nf_edges(panel: DataFrame, probs: Sequence[float], keys: list[str] = NF_KEYS) -> DataFrame:
-    q = exact_quantiles(panel.filter(universe_condition("nf")), keys, "nf", probs)
+    q = exact_quantiles(panel.filter(_in_nf_universe()), keys, "nf", probs)
     return q.select(*keys, edges(probs).alias("nf_edges"))
 
 
@@ -71,7 +75,8 @@ def nf_median(panel: DataFrame) -> DataFrame:
     return nf_edges(panel, HALF_PROBS).select(*NF_KEYS, F.get("nf_edges", F.lit(0)).alias("nf50"))
 
 
-def factor_breakpoints(panel: DataFrame, long: DataFrame, two_by_two: bool) -> tuple[DataFrame, DataFrame]:
+def factor_breakpoints(panel: DataFrame, long: DataFrame, two_by_two: bool,
+                       group_rows: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Characteristic and candidate breakpoints of the factor sorts from a single selection.
 
     Returns (file, June) rows with ``sizemedn`` and ``bm/inv/op_edges``, and
@@ -79,7 +84,7 @@ def factor_breakpoints(panel: DataFrame, long: DataFrame, two_by_two: bool) -> t
     """
     probs = HALF_PROBS if two_by_two else SET_PROBS
     keys = ["source_file", "jdate"]
-    q = _select_all(panel, long, CHAR_VARS, keys, sorted({*probs, 0.5}))
+    q = _select_all(panel, long, CHAR_VARS, keys, sorted({*probs, 0.5}), group_rows)
     names = {"sizemedn": F.when(F.col("var") == "size", quantile_col(0.5))}
     names |= {f"{v}_edges": F.when(F.col("var") == v, edges(probs)) for v in ("bm", "inv", "op")}
     nf = q.filter(F.col("var") == "nf").select(*NF_KEYS, edges(probs).alias("nf_edges"))
@@ -87,14 +92,15 @@ def factor_breakpoints(panel: DataFrame, long: DataFrame, two_by_two: bool) -> t
 
 
 def ntile_breakpoints(
-    panel: DataFrame, long: DataFrame, variables: Sequence[str], probs: Sequence[float], keys: list[str]
+    panel: DataFrame, long: DataFrame, variables: Sequence[str], probs: Sequence[float], keys: list[str],
+    group_rows: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Edges of the n-tile sorts from a single selection; ``keys`` may include the size bucket.
 
     The candidate edges are lowered by epsilon and exist only for groups with two distinct
     values; the smallest and largest value needed for that check are the quantiles 0 and 1.
     """
-    q = _select_all(panel, long, variables, keys, [*probs, 0.0, 1.0])
+    q = _select_all(panel, long, variables, keys, [*probs, 0.0, 1.0], group_rows)
     names = {f"{v}_edges": F.when(F.col("var") == v, edges(probs)) for v in variables}
     nf = (q.filter((F.col("var") == "nf") & (quantile_col(0.0) < quantile_col(1.0)))
           .select("measure", *keys, edges(probs).alias("nf_edges"))
@@ -103,13 +109,15 @@ def ntile_breakpoints(
 
 
 def _select_all(
-    panel: DataFrame, long: DataFrame, variables: Sequence[str], keys: list[str], probs: Sequence[float]
+    panel: DataFrame, long: DataFrame, variables: Sequence[str], keys: list[str], probs: Sequence[float],
+    group_rows: int | None,
 ) -> DataFrame:
     """Landed quantiles of the characteristics (``measure`` empty) and of all candidates."""
     chars = universe_values(panel, variables, keys).withColumn("measure", F.lit(""))
-    nf = (long.filter(universe_condition("nf"))
+    nf = (long.filter(_in_nf_universe())
           .select(*keys, F.lit("nf").alias("var"), F.col("nf").alias("x"), "measure"))
-    return land(exact_quantiles(chars.unionByName(nf), ["measure", *keys, "var"], "x", probs), "breakpoints")
+    return land(exact_quantiles(chars.unionByName(nf), ["measure", *keys, "var"], "x", probs, group_rows),
+                "breakpoints")
 
 
 def quintile_edges(panel: DataFrame) -> DataFrame:

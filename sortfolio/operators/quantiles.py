@@ -1,8 +1,8 @@
 """Exact group quantiles with bounded work per task.
 
-``percentile`` keeps all distinct values of a group in one task.  Here a group larger than
-``TASK_ROWS`` is first narrowed: its value range is cut into cells, rows are counted per cell
-with map-side combine, and only the cells that hold a wanted rank are kept and cut again.
+Groups of at most ``TASK_ROWS`` rows, which is checked, are sorted as one array per group.
+Beyond that a group is first narrowed: its value range is cut into cells, rows are counted per
+cell with map-side combine, and only the cells that hold a wanted rank are kept and cut again.
 Every cut narrows by a factor of thousands, so few passes leave cells small enough to be ranked
 by a window.  No row is dropped or approximated, and only counts are shuffled by the cuts.
 """
@@ -10,13 +10,14 @@ by a window.  No row is dropped or approximated, and only counts are shuffled by
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sortfolio.landing import land
 
-TASK_ROWS = 1 << 20  # rows of a cell that one task may rank
+TASK_ROWS = 1 << 17  # rows of a group or cell that one task may hold
 LINEAR_CELLS = 1 << 16
 LOG_CELLS_PER_OCTAVE = 16
 MAX_LEVELS = 8
@@ -35,6 +36,11 @@ def _holds(rank: Column) -> Column:
     return (F.col("before") <= rank) & (rank < F.col("before") + F.col("c"))
 
 
+def _wanted(probs: Sequence[float]) -> Column:
+    n = F.col("n")
+    return reduce(lambda a, b: a | b, [_holds(rank(p, n)) for p in probs for rank in (_rank_low, _rank_high)])
+
+
 def _interpolate(p: float) -> Column:
     """Linear interpolation between neighbouring order statistics, exact when they are tied."""
     pos = F.lit(p) * (F.col("n") - 1)
@@ -66,51 +72,64 @@ def _refine(v: DataFrame, cells: DataFrame, keys: list[str], probs: Sequence[flo
     )
     w = Window.partitionBy(*keys, "mn").orderBy("piece").rowsBetween(Window.unboundedPreceding, 0)
     parts = parts.withColumn("before", F.col("base") + F.sum("c").over(w) - F.col("c"))
-    wanted = None
-    for p in probs:
-        for rank in (_rank_low(p, F.col("n")), _rank_high(p, F.col("n"))):
-            wanted = _holds(rank) if wanted is None else wanted | _holds(rank)
-    return parts.filter(wanted).select(
+    return parts.filter(_wanted(probs)).select(
         *keys, "n", "before", "c", F.col("new_mn").alias("mn"), F.col("new_mx").alias("mx"))
 
 
 def exact_quantiles(
-    df: DataFrame, keys: list[str], value: str, probs: Sequence[float], task_rows: int | None = None
+    df: DataFrame, keys: list[str], value: str, probs: Sequence[float],
+    group_rows: int | None = None, task_rows: int | None = None,
 ) -> DataFrame:
-    """One row per key with ``n`` and a column ``q_<p>`` for every probability."""
+    """One row per key with ``n`` and a column ``q_<p>`` for every probability.
+
+    ``group_rows`` is a known upper bound of the rows of any group; without it they are counted.
+    """
     task_rows = TASK_ROWS if task_rows is None else task_rows
     v = df.select(*keys, F.col(value).alias("x")).filter(F.col("x").isNotNull())
-    sizes = v.groupBy(*keys).agg(F.count("x").alias("n"), F.min("x").alias("mn"), F.max("x").alias("mx"))
-    largest = sizes.agg(F.max("n")).first()[0] or 0
-
-    if largest <= task_rows:
-        counts = v.groupBy(*keys, "x").agg(F.count("x").alias("c"))
-        whole = Window.partitionBy(*keys)
-        upto = whole.orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-        ranked = counts.withColumns({
-            "n": F.sum("c").over(whole), "before": F.sum("c").over(upto) - F.col("c")})
-    else:
-        cells = land(sizes.withColumns({"c": F.col("n"), "before": F.lit(0).cast("bigint")}), "cells")
-        for _ in range(MAX_LEVELS):
-            open_rows = cells.filter(F.col("mn") < F.col("mx")).agg(F.max("c")).first()[0] or 0
-            if open_rows <= task_rows:
-                break
-            cells = land(_refine(v, cells, keys, probs), "cells")
-        counts = (
-            v.join(cells.select(*keys, "n", "mn", "mx", F.col("before").alias("base")), keys)
-            .filter((F.col("x") >= F.col("mn")) & (F.col("x") <= F.col("mx")))
-            .groupBy(*keys, "mn", "n", "base", "x").agg(F.count("x").alias("c"))
-        )
-        upto = Window.partitionBy(*keys, "mn").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-        ranked = counts.withColumn("before", F.col("base") + F.sum("c").over(upto) - F.col("c"))
+    if group_rows is None:
+        group_rows = v.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    if group_rows <= task_rows:
+        return _of_small_groups(v, keys, probs)
+    return _of_large_groups(v, keys, probs, task_rows)
+
+
+def _of_small_groups(v: DataFrame, keys: list[str], probs: Sequence[float]) -> DataFrame:
+    """Each group is one sorted array of bounded length."""
+    groups = v.groupBy(*keys).agg(F.sort_array(F.collect_list("x")).alias("xs"))
+    n = F.size("xs").cast("bigint")
+    stats = {}
+    for p in probs:
+        stats[f"lo_{_name(p)}"] = F.get("xs", _rank_low(p, n).cast("int"))
+        stats[f"hi_{_name(p)}"] = F.get("xs", _rank_high(p, n).cast("int"))
+    return _finish(groups.select(*keys, n.alias("n"), *[c.alias(k) for k, c in stats.items()]), keys, probs)
 
+
+def _of_large_groups(v: DataFrame, keys: list[str], probs: Sequence[float], task_rows: int) -> DataFrame:
+    sizes = v.groupBy(*keys).agg(F.count("x").alias("n"), F.min("x").alias("mn"), F.max("x").alias("mx"))
+    cells = land(sizes.withColumns({"c": F.col("n"), "before": F.lit(0).cast("bigint")}), "cells")
+    for _ in range(MAX_LEVELS):
+        open_rows = cells.filter(F.col("mn") < F.col("mx")).agg(F.max("c")).first()[0] or 0
+        if open_rows <= task_rows:
+            break
+        cells = land(_refine(v, cells, keys, probs), "cells")
+    counts = (
+        v.join(cells.select(*keys, "n", "mn", "mx", F.col("before").alias("base")), keys)
+        .filter((F.col("x") >= F.col("mn")) & (F.col("x") <= F.col("mx")))
+        .groupBy(*keys, "mn", "n", "base", "x").agg(F.count("x").alias("c"))
+    )
+    upto = Window.partitionBy(*keys, "mn").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counts.withColumn("before", F.col("base") + F.sum("c").over(upto) - F.col("c"))
     n = F.col("n")
     stats = []
     for p in probs:
         stats.append(F.max(F.when(_holds(_rank_low(p, n)), F.col("x"))).alias(f"lo_{_name(p)}"))
         stats.append(F.max(F.when(_holds(_rank_high(p, n)), F.col("x"))).alias(f"hi_{_name(p)}"))
-    out = ranked.groupBy(*keys).agg(F.max("n").alias("n"), *stats)
-    return out.select(*keys, "n", *[_interpolate(p).alias(f"q_{_name(p)}") for p in probs])
+    wanted = _wanted(probs)
+    return _finish(ranked.filter(wanted).groupBy(*keys).agg(F.max("n").alias("n"), *stats), keys, probs)
+
+
+def _finish(stats: DataFrame, keys: list[str], probs: Sequence[float]) -> DataFrame:
+    return stats.select(*keys, "n", *[_interpolate(p).alias(f"q_{_name(p)}") for p in probs])
 
 
 def edges(probs: Sequence[float]) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sortfolio.functions.columns import all_not_null, any_not_null, guarded_ratio
-from sortfolio.operators.align import SERIES, series_calendar
+from sortfolio.operators.align import SERIES, carry_forward, series_calendar
 from sortfolio.plans.config import (
     DEFAULT_SET, FIVE_ORDER, MEASURES, evaluated_sets, ntile_port, port, sort_domains,
 )
@@ -21,13 +21,44 @@ from sortfolio.plans.config import (
 CUBE_SUMS = ["retadj_x_wt", "wt", "n_ret", "n_wt", "n_both", "n_rows"]
 
 
-def monthly_cube(monthly: DataFrame, buckets: list[str]) -> DataFrame:
-    """Sums and counts per series, month and combination of buckets; rows without any bucket drop out."""
+CELL_BITS = 3
+
+
+def pack_buckets(june: DataFrame, domains: dict[str, Sequence]) -> DataFrame:
+    """All buckets of a row as one number ``cell``, three bits per column, 0 for a missing bucket.
+
+    The wide join and the aggregation then move one number instead of a column per sort.
+    """
+    cell = F.lit(0).cast("bigint")
+    for i, (c, labels) in enumerate(domains.items()):
+        # array_position reads the bucket once; a chain of comparisons would copy its expression
+        index = F.coalesce(F.array_position(F.array(*[F.lit(label) for label in labels]), F.col(c)), F.lit(0))
+        cell = cell.bitwiseOR(F.shiftleft(index.cast("bigint"), CELL_BITS * i))
+    return june.select(*SERIES, "permno", "ffyear", cell.alias("cell"))
+
+
+def unpack_buckets(df: DataFrame, domains: dict[str, Sequence]) -> DataFrame:
+    mask = (1 << CELL_BITS) - 1
+    buckets = []
+    for i, (c, labels) in enumerate(domains.items()):
+        index = F.shiftright("cell", CELL_BITS * i).bitwiseAND(F.lit(mask).cast("bigint")).cast("int")
+        buckets.append(F.get(F.array(*[F.lit(label) for label in labels]), index - 1).alias(c))
+    return df.select(*buckets, *[c for c in df.columns if c != "cell"])
+
+
+def monthly_cube(returns: DataFrame, june: DataFrame, domains: dict[str, Sequence]) -> DataFrame:
+    """Sums and counts per series, month and combination of buckets; rows without any bucket drop out.
+
+    Both sides of the join grow with the data: neither is broadcast, and AQE splits skewed keys.
+    """
+    packed = pack_buckets(june, domains).filter(F.col("cell") != 0)
     both = F.col("retadj") * F.col("wt")
-    return (monthly.filter(any_not_null(buckets)).groupBy(*SERIES, "jdate", *buckets).agg(
+    monthly = carry_forward(returns, packed.hint("merge")).filter(F.col("cell").isNotNull())
+    cube = monthly.groupBy(*SERIES, "jdate", "cell").agg(
         F.sum(both).alias("retadj_x_wt"), F.sum("wt").alias("wt"),
         F.count("retadj").alias("n_ret"), F.count("wt").alias("n_wt"),
-        F.count(both).alias("n_both"), F.count(F.lit(1)).alias("n_rows")))
+        F.count(both).alias("n_both"), F.count(F.lit(1)).alias("n_rows"))
+    return unpack_buckets(cube, domains)
 
 
 def _sums() -> list[Column]:

@@ -64,19 +64,35 @@ def eligibility_flags(chars: DataFrame) -> DataFrame:
     })
 
 
+def universe_flags(chars: DataFrame) -> DataFrame:
+    """The universe conditions as columns ``u_<var>``, so that later steps need no raw inputs.
+
+    ``u_nf`` still has to be combined with the presence of the candidate value.
+    """
+    flags = {f"u_{v}": F.coalesce(universe_condition(v), F.lit(False)) for v in ("size", "bm", "inv", "op")}
+    flags["u_nf"] = F.coalesce((F.col("exchcd") == REFERENCE_EXCHANGE) & _common(), F.lit(False))
+    return chars.withColumns(flags)
+
+
 def nf_eligibility_flag(panel: DataFrame) -> DataFrame:
-    return panel.withColumn("is_nf_ok", _flag(F.col("nf").isNotNull() & _common() & (F.col("me") > 0)))
+    """A candidate value on a common share with positive size (the size flag says the latter two)."""
+    return panel.withColumn("is_nf_ok", _flag(F.col("nf").isNotNull() & (F.col("is_size_ok") == 1)))
 
 
 def usable_measures(long: DataFrame) -> DataFrame:
-    """Series (source file, measure) whose absolute values do not sum to zero."""
-    return (long.groupBy("source_file", "measure").agg(F.sum(F.abs("nf")).alias("total"))
-            .filter(F.col("total") != 0).select("source_file", "measure"))
+    """Series (source file, measure) whose absolute values do not sum to zero.
+
+    ``june_rows`` is the largest number of rows of one June, an upper bound of any group's size.
+    """
+    junes = long.groupBy("source_file", "measure", "jdate").agg(
+        F.sum(F.abs("nf")).alias("total"), F.count(F.lit(1)).alias("n"))
+    return (junes.groupBy("source_file", "measure").agg(F.sum("total").alias("total"), F.max("n").alias("june_rows"))
+            .filter(F.col("total") != 0).select("source_file", "measure", "june_rows"))
 
 
 def drop_degenerate_measures(long: DataFrame, usable: DataFrame | None = None) -> DataFrame:
     """Leave out measures that are all zero or all missing."""
-    usable = usable_measures(long) if usable is None else usable
+    usable = (usable_measures(long) if usable is None else usable).select("source_file", "measure")
     return long.join(usable, ["source_file", "measure"], "left_semi")
 
 
@@ -86,7 +102,7 @@ def groups_with_two_values(panel: DataFrame, keys: list[str]) -> DataFrame:
     Two distinct values exist exactly when the smallest is below the largest, which needs no
     set of distinct values and combines on the map side.
     """
-    return (panel.filter(universe_condition("nf")).groupBy(*keys)
+    return (panel.filter(F.col("u_nf") & F.col("nf").isNotNull()).groupBy(*keys)
             .agg(F.min("nf").alias("lo"), F.max("nf").alias("hi"))
             .filter(F.col("lo") < F.col("hi")).select(*keys))
 

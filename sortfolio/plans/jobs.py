@@ -17,7 +17,6 @@ from sortfolio.landing import land
 from sortfolio.operators import align, assign, breakpoints, diagnostics, factors, returns, universe
 from sortfolio.operators.align import SERIES
 from sortfolio.plans import config
-from sortfolio.plans.config import port
 from sortfolio.sources.calendar import formation_calendar
 
 CHARS = ["bm", "op", "inv"]
@@ -35,6 +34,7 @@ class Inputs:
 class Panel:
     pairs: DataFrame  # one row per file, permno and June, landed
     usable: DataFrame  # (file, measure) series that are not all zero or missing, landed
+    june_rows: int  # upper bound of the rows of one series in one June
 
     @property
     def long(self) -> DataFrame:
@@ -63,25 +63,28 @@ class PortfolioResult:
     sorts: DataFrame
 
 
+PANEL_VALUES = ["me", "beme", "inv", "op"]
+
+
 def prepare_panel(inputs: Inputs, validate: bool = True) -> Panel:
-    if validate:
-        universe.require_unique(inputs.chars, align.PAIR, "characteristics")
-        universe.require_unique(inputs.measures, ["source_file", *align.PAIR], "measures")
-    pairs = land(universe.eligibility_flags(align.build_panel(inputs.chars, inputs.measures)), "panel")
+    """Aligned pairs with flags; the raw inputs of the flags are not carried on."""
+    pairs = universe.universe_flags(universe.eligibility_flags(align.build_panel(inputs.chars, inputs.measures)))
+    flags = [c for c in pairs.columns if c.startswith(("is_", "u_"))]
+    pairs = land(pairs.select("source_file", *align.PAIR, "ffyear", *PANEL_VALUES, *flags, "values"), "panel")
+    if validate:  # a repeated pair on either side of the alignment shows up here
+        universe.require_unique(pairs, ["source_file", *align.PAIR], "characteristics or measures")
     usable = land(universe.usable_measures(align.attach_measure(pairs)), "usable")
-    return Panel(pairs, usable)
+    return Panel(pairs, usable, usable.agg(F.max("june_rows")).first()[0] or 0)
 
 
-def _cube(inputs: Inputs, june: DataFrame, buckets: list[str]) -> DataFrame:
-    # both sides grow with the data: never broadcast, AQE splits skewed keys of the merge join
-    monthly = align.carry_forward(inputs.returns, june.hint("merge"))
-    return land(returns.monthly_cube(monthly, buckets), "cube")
+def _cube(inputs: Inputs, june: DataFrame, domains: dict) -> DataFrame:
+    return land(returns.monthly_cube(inputs.returns, june, domains), "cube")
 
 
 def factor_assignments(inputs: Inputs, panel: Panel, kind: str, robust: tuple[str, ...] = ()) -> DataFrame:
     """Panel rows per measure with every bucket of the factor sorts."""
     two_by_two = kind != "2x3"
-    chars_bp, nf_bp = breakpoints.factor_breakpoints(panel.pairs, panel.long, two_by_two)
+    chars_bp, nf_bp = breakpoints.factor_breakpoints(panel.pairs, panel.long, two_by_two, panel.june_rows)
     chars_bp = align.combine_breakpoints(formation_calendar(inputs.benchmark), chars_bp)
     sized = assign.assign_size_2(align.align_breakpoints(panel.pairs, chars_bp, ["source_file", "jdate"]))
     split = assign.assign_2way if two_by_two else (lambda df, ms: assign.assign_3way_robust(df, ms, robust))
@@ -92,15 +95,16 @@ def factor_assignments(inputs: Inputs, panel: Panel, kind: str, robust: tuple[st
 
 def job_factors(inputs: Inputs, kind: str, robust: tuple[str, ...] = (), panel: Panel | None = None) -> FactorResult:
     panel = panel or prepare_panel(inputs)
-    buckets = ["szport", *assign.factor_bucket_columns(robust, config.MEASURES)]
-    june = assign.june_assignments(factor_assignments(inputs, panel, kind, robust), buckets)
-    cube = _cube(inputs, june, buckets)
+    domains = assign.factor_domains(robust, kind != "2x3")
+    june = assign.june_assignments(factor_assignments(inputs, panel, kind, robust), list(domains))
+    cube = _cube(inputs, june, domains)
     if kind == "2x3":
         ptfs, nfirms = returns.vw_return_2x3(cube, robust), diagnostics.factor_nfirms_2x3(cube, inputs.benchmark, robust)
     elif kind == "2x2":
         ptfs, nfirms = returns.vw_return_2x2(cube), diagnostics.factor_nfirms_2x2(cube, inputs.benchmark)
     else:
         ptfs, nfirms = returns.vw_return_5way(cube), diagnostics.factor_nfirms_5way(cube, inputs.benchmark)
+    ptfs = land(ptfs, "portfolios")
     table = factors.factor_table(ptfs, cube, inputs.benchmark, kind)
     complete = returns.completeness_check(ptfs, n_portfolios(kind), factors.FACTOR_KEYS)
     nfirms = nfirms.join(complete, factors.FACTOR_KEYS, "left_semi")
@@ -132,7 +136,7 @@ def independent_assignments(panel: Panel, n: int = 5) -> DataFrame:
     """Panel rows per measure with independent n-tile buckets."""
     keys = ["source_file", "jdate"]
     chars_bp, nf_bp = breakpoints.ntile_breakpoints(
-        panel.pairs, panel.long, breakpoints.CHAR_VARS, config.QUINTILE_PROBS, keys)
+        panel.pairs, panel.long, breakpoints.CHAR_VARS, config.QUINTILE_PROBS, keys, panel.june_rows)
     done = assign.assign_ntile_independent(align.align_breakpoints(panel.pairs, chars_bp, keys), n)
     return assign.assign_nf_ntile(align.align_breakpoints(panel.explode(done), nf_bp, breakpoints.NF_KEYS), n)
 
@@ -145,7 +149,7 @@ def dependent_assignments(panel: Panel, n: int = 4) -> DataFrame:
     inside = sized.filter(F.col("sizeport").isNotNull())
     keys = ["source_file", "jdate", "sizeport"]
     chars_bp, nf_bp = breakpoints.ntile_breakpoints(
-        inside, panel.explode(inside), CHARS, config.QUARTILE_PROBS, keys)
+        inside, panel.explode(inside), CHARS, config.QUARTILE_PROBS, keys, panel.june_rows)
     done = assign.assign_ntile_dependent(align.align_breakpoints(sized, chars_bp, keys), n)
     long = align.align_breakpoints(panel.explode(done), nf_bp, ["measure", *keys])
     return assign.assign_nf_ntile_dependent(long, n)
@@ -153,8 +157,8 @@ def dependent_assignments(panel: Panel, n: int = 4) -> DataFrame:
 
 def job_sorts(inputs: Inputs, assigned: DataFrame, sorts: list[tuple[str, ...]], n_size: int, n_other: int,
               n_cells: int) -> PortfolioResult:
-    buckets = [config.ntile_port(m) for m in ("size", *config.SORT_MEASURES)]
-    cube = _cube(inputs, assign.june_assignments(assigned, buckets), buckets)
+    domains = assign.ntile_domains(n_size, n_other)
+    cube = _cube(inputs, assign.june_assignments(assigned, list(domains)), domains)
     cells = land(returns.vw_return_sorts(cube, sorts, n_size, n_other), "sorts")
     cells = returns.keep_complete(cells, n_cells, [*SERIES, "sort_on"])
     legend = measures_legend(inputs.measures)
