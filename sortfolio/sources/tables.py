@@ -12,12 +12,13 @@ from pyspark.sql import types as T
 
 from sortfolio.functions.columns import month_end, nan_to_null
 
-RETURNS_SCHEMA = "date STRING, permno BIGINT, retadj DOUBLE, wt DOUBLE, ffyear INT, jdate DATE"
-CHARS_SCHEMA = (
-    "permno BIGINT, jdate DATE, exchcd INT, shrcd INT, prc DOUBLE, shrout DOUBLE, me DOUBLE, dec_me DOUBLE, "
-    "be DOUBLE, beme DOUBLE, inv DOUBLE, op DOUBLE, revt DOUBLE, cogs DOUBLE, xsga DOUBLE, xint DOUBLE"
-)
-CHARS_COLUMNS = T.StructType.fromDDL(CHARS_SCHEMA).names
+RETURNS_FIELDS = {
+    "date": "string", "permno": "bigint", "retadj": "double", "wt": "double", "ffyear": "int", "jdate": "date",
+}
+CHARS_FIELDS = {
+    "permno": "bigint", "jdate": "date", "exchcd": "int", "shrcd": "int",
+    **dict.fromkeys(["prc", "shrout", "me", "dec_me", "be", "beme", "inv", "op", "revt", "cogs", "xsga", "xint"], "double"),
+}
 # spellings of missing and infinite numbers in the files
 CSV_OPTIONS = {"header": "true", "nanValue": "nan", "positiveInf": "inf", "negativeInf": "-inf"}
 RESERVED = {"permno", "jdate", "date", "source_file", "measure", "nf"}
@@ -39,23 +40,19 @@ def _read(spark: SparkSession, path: str, fields: dict[str, str]) -> DataFrame:
     return spark.read.options(**CSV_OPTIONS).schema(schema).csv(path).select(*fields)
 
 
-def _fields(ddl: str) -> dict[str, str]:
-    return {f.name: f.dataType.simpleString() for f in T.StructType.fromDDL(ddl).fields}
-
-
 def read_returns(spark: SparkSession, path: str) -> DataFrame:
-    return _clean(_read(spark, path, _fields(RETURNS_SCHEMA)))
+    return _clean(_read(spark, path, RETURNS_FIELDS))
 
 
 def read_characteristics(spark: SparkSession, path: str) -> DataFrame:
     """June panel; stored ``*_ok`` flags are not read, they are derived again."""
-    return _clean(_read(spark, path, _fields(CHARS_SCHEMA)))
+    return _clean(_read(spark, path, CHARS_FIELDS))
 
 
 def measures_from_wide(wide: DataFrame, source_file: str) -> DataFrame:
     """One row per pair with all measures of the file as an array in header order."""
     names = [c for c in wide.columns if c not in ("permno", "date", "jdate")]
-    clash = [n for n in names if n.lower() in RESERVED or n.lower() in CHARS_COLUMNS]
+    clash = [n for n in names if n.lower() in RESERVED or n.lower() in CHARS_FIELDS]
     if clash:
         raise ValueError(f"{source_file}: measure names {clash} are reserved")
     values = F.array(*[

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sortfolio.functions.columns import month_end
@@ -19,19 +19,23 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return text.select("path", F.posexplode(F.split("value", r"\r?\n")).alias("pos", "line"))
 
 
+def _fields(line: str) -> Column:
+    return F.transform(F.split(line, ","), lambda field: F.trim(field))
+
+
 def _block(lines: DataFrame, start: DataFrame) -> DataFrame:
     """The run of monthly lines after the header line at ``start`` (path, header_pos, header)."""
     after = lines.join(start, "path").filter(F.col("pos") > F.col("header_pos")).filter(F.trim("line") != "")
     bad = (after.filter(~F.col("line").rlike(MONTH_LINE)).groupBy("path").agg(F.min("pos").alias("stop")))
     return (after.join(bad, "path", "left").filter(F.col("stop").isNull() | (F.col("pos") < F.col("stop")))
-            .withColumn("fields", F.transform(F.split("line", ","), F.trim)))
+            .withColumn("fields", _fields("line")))
 
 
 def parse_benchmark_factors(lines: DataFrame) -> DataFrame:
     """Monthly factors as fractions at month-ends, up to the first line with a missing value."""
     start = (lines.filter((F.col("pos") >= FACTOR_PREAMBLE_LINES) & (F.trim("line") != "")).groupBy("path")
              .agg(F.min_by("line", "pos").alias("header"), F.min("pos").alias("header_pos")))
-    names = F.transform(F.split("header", ","), F.trim)
+    names = _fields("header")
     rows = _block(lines, start).withColumn("by_name", F.map_from_arrays(
         F.concat(F.array(F.lit("date")), F.slice(names, 2, F.size(names) - 1)),
         F.slice(F.concat("fields", F.array_repeat(F.lit(""), F.size(names))), F.lit(1), F.size(names))))
@@ -55,7 +59,7 @@ def parse_benchmark_portfolios(lines: DataFrame, marker: str = VW_MONTHLY_MARKER
     at = lines.filter(F.trim("line") == marker).groupBy("path").agg(F.min("pos").alias("marker_pos"))
     start = (lines.join(at, "path").filter((F.col("pos") > F.col("marker_pos")) & (F.trim("line") != ""))
              .groupBy("path").agg(F.min_by("line", "pos").alias("header"), F.min("pos").alias("header_pos")))
-    names = F.transform(F.split("header", ","), F.trim)
+    names = _fields("header")
     cells = _block(lines, start).select(
         "path", month_end(F.get("fields", F.lit(0)), "yyyyMM").alias("date"), "fields",
         F.posexplode(names).alias("i", "ptf_code")).filter("i > 0")

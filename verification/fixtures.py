@@ -48,12 +48,13 @@ def chars(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("p_partkey").alias("permno"), (F.lit(10) + F.col("p_size") % 4).alias("shrcd"),
         F.when(F.col("p_partkey") % 37 != 0, F.col("p_retailprice")).alias("prc"))
     spent = F.coalesce("cogs", F.lit(0.0)) + F.coalesce("xsga", F.lit(0.0)) + F.coalesce("xint", F.lit(0.0))
+    # ratios of rounded inputs are the same double in every engine and need no rounding of their own
     return (yearly.join(before, ["permno", "fy"], "left").join(part, "permno").select(
         "permno", F.make_date("fy", F.lit(6), F.lit(30)).alias("jdate"),
         (F.lit(1) + F.col("permno") % 3).cast("int").alias("exchcd"), "shrcd", "prc", "shrout", "me", "dec_me", "be",
-        F.round(F.try_divide("be", "dec_me"), 6).alias("beme"),
-        F.round(F.try_divide(F.col("me") - F.col("me_before"), F.col("me_before")), 6).alias("inv"),
-        F.round(F.try_divide(F.col("revt") - spent, F.col("be")), 6).alias("op"),
+        F.try_divide("be", "dec_me").alias("beme"),
+        F.try_divide(F.col("me") - F.col("me_before"), F.col("me_before")).alias("inv"),
+        F.try_divide(F.col("revt") - spent, F.col("be")).alias("op"),
         "revt", "cogs", "xsga", "xint"))
 
 
