@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from sortfolio.functions.columns import all_not_null, any_not_null, guarded_ratio
 from sortfolio.operators.align import SERIES, carry_forward, series_calendar
 from sortfolio.plans.config import (
-    DEFAULT_SET, FIVE_ORDER, MEASURES, evaluated_sets, ntile_port, port, sort_domains,
+    DEFAULT_SET, FIVE_ORDER, MEASURES, SORT_MEASURES, evaluated_sets, ntile_port, port,
 )
 
 CUBE_SUMS = ["retadj_x_wt", "wt", "n_ret", "n_wt", "n_both", "n_rows"]
@@ -129,25 +129,31 @@ def sort_combinations(sorts: list[tuple[str, ...]]) -> list[str]:
     return ["_".join(s) for s in sorts]
 
 
-def vw_return_sorts(
-    cube: DataFrame, sorts: list[tuple[str, ...]], n_size: int, n_other: int, months: DataFrame | None = None
-) -> DataFrame:
+def vw_return_sorts(cube: DataFrame, sorts: list[tuple[str, ...]], n_size: int, n_other: int) -> DataFrame:
     """All cells of all sorts in every month of the cube, empty cells with return 0.
 
-    The full grid enters as rows without any weight, so that grid and data are one aggregation.
+    One pass of grouping sets sums every sort; the full grid then enters as rows without any
+    weight, so that filling empty cells is an aggregation too.
     """
-    cells = []
+    keys = [*SERIES, "jdate"]
+    ports = [ntile_port(m) for m in ("size", *SORT_MEASURES)]
+    sets = [[F.col(c) for c in keys + [ntile_port(m) for m in s]] for s in sorts]
+    summed = cube.groupingSets(sets, *keys, *ports).agg(F.grouping_id().alias("gid"), *_sums())
+    # a bit of the grouping id is set for every column that the sort leaves out
+    named, code = F.lit(None).cast("string"), F.lit(None).cast("string")
     for s in sorts:
-        ids = [F.col(ntile_port(m)) for m in s]
+        inside = {ntile_port(m) for m in s}
+        gid = sum(1 << (len(ports) - 1 - i) for i, p in enumerate(ports) if p not in inside)
+        this = F.col("gid") == gid
+        named = F.when(this, "_".join(s)).otherwise(named)
         complete = all_not_null([ntile_port(m) for m in s])
-        cells.append(F.when(complete, F.struct(
-            F.lit("_".join(s)).alias("sort_on"), _cell_code(s, ids).alias("ptf_code"))))
-    data = (cube.withColumn("cell", F.explode(F.array(*cells))).filter(F.col("cell").isNotNull())
-            .select(*SERIES, "jdate", "cell.sort_on", "cell.ptf_code", *CUBE_SUMS))
+        code = F.when(this, F.when(complete, portfolio_code("sort", s))).otherwise(code)
+    data = (summed.select(*keys, named.alias("sort_on"), code.alias("ptf_code"), *CUBE_SUMS)
+            .filter(F.col("ptf_code").isNotNull()))
+    empty = [F.lit(0).cast(cube.schema[c].dataType).alias(c) for c in CUBE_SUMS]
     grid = sort_grid(cube, sorts, n_size, n_other)
-    empty = [F.lit(0.0 if c in ("retadj_x_wt", "wt") else 0).cast(cube.schema[c].dataType).alias(c) for c in CUBE_SUMS]
     return (data.unionByName(grid.select(*grid.columns, *empty))
-            .groupBy(*SERIES, "sort_on", "jdate", "ptf_code").agg(*_sums())
+            .groupBy(*keys, "sort_on", "ptf_code").agg(*_sums())
             .withColumn("vwret", F.coalesce(vwret(), F.lit(0.0))))
 
 
@@ -161,12 +167,18 @@ def vw_return_threeway(cube: DataFrame, sorts: list[tuple[str, ...]]) -> DataFra
 
 def sort_grid(cube: DataFrame, sorts: list[tuple[str, ...]], n_size: int, n_other: int) -> DataFrame:
     """Every month of the cube with every cell of every sort."""
-    cells = [
+    by_sort = [
         F.struct(F.lit("_".join(s)).alias("sort_on"),
-                 F.lit("_".join(f"{m}{i}" for m, i in zip(s, cell))).alias("ptf_code"))
-        for s in sorts for cell in sort_domains(s, n_size, n_other)]
-    return (cube.select(*SERIES, "jdate").distinct().withColumn("cell", F.explode(F.array(*cells)))
-            .select(*SERIES, "jdate", "cell.sort_on", "cell.ptf_code"))
+                 F.array(*[F.lit(m) for m in s]).alias("by"),
+                 F.array(*[F.lit(n_size if m == "size" else n_other) for m in s]).alias("bins"))
+        for s in sorts]
+    grid = (cube.select(*SERIES, "jdate").distinct().withColumn("s", F.explode(F.array(*by_sort)))
+            .select(*SERIES, "jdate", "s.*").withColumn("ptf_code", F.lit("")))
+    for i in range(max(len(s) for s in sorts)):
+        step = F.concat(F.lit("_") if i else F.lit(""), F.get("by", F.lit(i)))
+        grid = (grid.withColumn("k", F.explode(F.sequence(F.lit(1), F.get("bins", F.lit(i)))))
+                .withColumn("ptf_code", F.concat("ptf_code", step, F.col("k").cast("string"))))
+    return grid.select(*SERIES, "jdate", "sort_on", "ptf_code")
 
 
 def _cell_code(sort: tuple[str, ...], buckets: Sequence[Column]) -> Column:

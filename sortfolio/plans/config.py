@@ -56,11 +56,6 @@ def threeway_sorts() -> list[tuple[str, ...]]:
     return [("size",) + c for c in combinations(SORT_MEASURES, 2)]
 
 
-def sort_domains(sort: tuple[str, ...], n_size: int, n_other: int) -> list[tuple[int, ...]]:
-    """All cells of a sort."""
-    return list(product(*[range(1, (n_size if m == "size" else n_other) + 1) for m in sort]))
-
-
 def set_prob_index(bp: str) -> tuple[int, int]:
     """Positions of the low and high edge of a breakpoint set in ``SET_PROBS``."""
     lo, hi = bp.split("_")

@@ -10,6 +10,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
+    # plans are built from many column expressions; do not record a call site for each of them
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

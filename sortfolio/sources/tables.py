@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import posixpath
 from collections.abc import Iterable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -49,16 +48,17 @@ def read_characteristics(spark: SparkSession, path: str) -> DataFrame:
     return _clean(_read(spark, path, CHARS_FIELDS))
 
 
-def measures_from_wide(wide: DataFrame, source_file: str) -> DataFrame:
+def measures_from_wide(wide: DataFrame, source_file: str | Column) -> DataFrame:
     """One row per pair with all measures of the file as an array in header order."""
     names = [c for c in wide.columns if c not in ("permno", "date", "jdate")]
     clash = [n for n in names if n.lower() in RESERVED or n.lower() in CHARS_FIELDS]
     if clash:
-        raise ValueError(f"{source_file}: measure names {clash} are reserved")
+        raise ValueError(f"measure names {clash} are reserved")
     values = F.array(*[
         F.struct(F.lit(n).alias("measure"), nan_to_null(F.col(f"`{n}`").cast("double")).alias("nf")) for n in names])
     jdate = F.col("jdate") if "jdate" in wide.columns else month_end(F.col("date"), "yyyyMM")
-    return wide.select(F.lit(source_file).alias("source_file"), F.col("permno").cast("bigint").alias("permno"),
+    source = F.lit(source_file) if isinstance(source_file, str) else source_file
+    return wide.select(source.alias("source_file"), F.col("permno").cast("bigint").alias("permno"),
                        jdate.alias("jdate"), values.alias("values"))
 
 
@@ -68,25 +68,29 @@ def list_files(spark: SparkSession, pattern: str) -> list[str]:
     return sorted(r.path for r in found.collect())
 
 
-def source_name(path: str) -> str:
-    return posixpath.basename(path.rstrip("/")).split(".")[0]
+# name of a file, or of the folder its parts lie in, without the extension
+SOURCE_NAME = r"([^/]+?)(?:\.[^/]*)?(?:/part-[^/]*)?$"
 
 
 def read_measures(spark: SparkSession, paths: str | Iterable[str]) -> DataFrame:
     """Wide measure files with any headers; a path may be a file or a folder of part files.
 
-    Only headers are looked at per file; the rows of all files are one distributed scan.
+    Files with the same header are one distributed scan; only headers are looked at one by one.
     """
     paths = list_files(spark, paths) if isinstance(paths, str) else list(paths)
-    frames = []
+    by_header: dict[tuple[str, ...], list[str]] = {}
     for path in paths:
-        header = spark.read.options(**CSV_OPTIONS).csv(path).columns
-        if len(set(header)) != len(header):
-            raise ValueError(f"{path}: repeated column names")
+        header = tuple(spark.read.options(**CSV_OPTIONS).csv(path).columns)
+        if len({c.lower() for c in header}) != len(header) or not {"permno", "date"} <= set(header):
+            raise ValueError(f"{path}: needs permno, date and distinct measure names, has {list(header)}")
+        by_header.setdefault(header, []).append(path)
+    frames = []
+    for header, same in by_header.items():
         types = {"permno": "BIGINT", "date": "STRING"}
         schema = ", ".join(f"`{c}` {types.get(c, 'DOUBLE')}" for c in header)
-        frames.append(measures_from_wide(
-            spark.read.options(**CSV_OPTIONS).schema(schema).csv(path), source_name(path)))
+        wide = spark.read.options(**CSV_OPTIONS).schema(schema).csv(same)
+        source = F.regexp_extract(F.url_decode(F.col("_metadata.file_path")), SOURCE_NAME, 1)
+        frames.append(measures_from_wide(wide, source))
     return reduce(DataFrame.unionByName, frames)
 
 
