@@ -31,8 +31,10 @@ def pack_buckets(june: DataFrame, domains: dict[str, Sequence]) -> DataFrame:
     """
     cell = F.lit(0).cast("bigint")
     for i, (c, labels) in enumerate(domains.items()):
-        # array_position reads the bucket once; a chain of comparisons would copy its expression
-        index = F.coalesce(F.array_position(F.array(*[F.lit(label) for label in labels]), F.col(c)), F.lit(0))
+        if isinstance(labels, range):  # numbered from 1
+            index = F.coalesce(F.col(c), F.lit(0))
+        else:  # array_position reads the bucket once; a chain of comparisons would copy its expression
+            index = F.coalesce(F.array_position(F.array(*[F.lit(label) for label in labels]), F.col(c)), F.lit(0))
         cell = cell.bitwiseOR(F.shiftleft(index.cast("bigint"), CELL_BITS * i))
     return june.select(*SERIES, "permno", "ffyear", cell.alias("cell"))
 
@@ -42,7 +44,10 @@ def unpack_buckets(df: DataFrame, domains: dict[str, Sequence]) -> DataFrame:
     buckets = []
     for i, (c, labels) in enumerate(domains.items()):
         index = F.shiftright("cell", CELL_BITS * i).bitwiseAND(F.lit(mask).cast("bigint")).cast("int")
-        buckets.append(F.get(F.array(*[F.lit(label) for label in labels]), index - 1).alias(c))
+        if isinstance(labels, range):
+            buckets.append(F.nullif(index, F.lit(0)).alias(c))
+        else:
+            buckets.append(F.get(F.array(*[F.lit(label) for label in labels]), index - 1).alias(c))
     return df.select(*buckets, *[c for c in df.columns if c != "cell"])
 
 

@@ -80,7 +80,8 @@ def read_measures(spark: SparkSession, paths: str | Iterable[str]) -> DataFrame:
     paths = list_files(spark, paths) if isinstance(paths, str) else list(paths)
     by_header: dict[tuple[str, ...], list[str]] = {}
     for path in paths:
-        header = tuple(spark.read.options(**CSV_OPTIONS).csv(path).columns)
+        # the first line as data: read as a header, repeated names would be renamed silently
+        header = tuple(str(c).strip() for c in spark.read.csv(path).first())
         if len({c.lower() for c in header}) != len(header) or not {"permno", "date"} <= set(header):
             raise ValueError(f"{path}: needs permno, date and distinct measure names, has {list(header)}")
         by_header.setdefault(header, []).append(path)
