@@ -13,10 +13,16 @@ def nan_to_null(c: Column) -> Column:
     return F.when(~F.isnan(c), c)
 
 
-def month_end(c: Column, fmt: str | None = None) -> Column:
-    """Last day of the month of a date, or of text/number in the given format."""
-    day = F.to_date(c) if fmt is None else F.to_date(c.cast("string"), fmt)
-    return F.last_day(day)
+def month_end(c: Column, fmt: str | None = None, strict: bool = True) -> Column:
+    """Last day of the month of a date, or of text/number in the given format.
+
+    Text that is no date is an error, or missing unless ``strict`` (lines of mixed files are
+    told apart by a filter, but the optimizer may evaluate the date before it).
+    """
+    if fmt is None:
+        return F.last_day(F.to_date(c))
+    parse = F.to_date if strict else F.try_to_date
+    return F.last_day(parse(c.cast("string"), fmt))
 
 
 def formation_year(jdate: Column) -> Column:

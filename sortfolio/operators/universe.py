@@ -79,20 +79,21 @@ def nf_eligibility_flag(panel: DataFrame) -> DataFrame:
     return panel.withColumn("is_nf_ok", _flag(F.col("nf").isNotNull() & (F.col("is_size_ok") == 1)))
 
 
-def usable_measures(long: DataFrame) -> DataFrame:
-    """Series (source file, measure) whose absolute values do not sum to zero.
-
-    ``june_rows`` is the largest number of rows of one June, an upper bound of any group's size.
-    """
+def measure_totals(long: DataFrame) -> DataFrame:
+    """Per series (source file, measure) the sum of absolute values and the rows of its largest June."""
     junes = long.groupBy("source_file", "measure", "jdate").agg(
         F.sum(F.abs("nf")).alias("total"), F.count(F.lit(1)).alias("n"))
-    return (junes.groupBy("source_file", "measure").agg(F.sum("total").alias("total"), F.max("n").alias("june_rows"))
-            .filter(F.col("total") != 0).select("source_file", "measure", "june_rows"))
+    return junes.groupBy("source_file", "measure").agg(F.sum("total").alias("total"), F.max("n").alias("june_rows"))
+
+
+def usable_measures(totals: DataFrame) -> DataFrame:
+    """Series whose absolute values do not sum to zero."""
+    return totals.filter(F.col("total") != 0).select("source_file", "measure")
 
 
 def drop_degenerate_measures(long: DataFrame, usable: DataFrame | None = None) -> DataFrame:
     """Leave out measures that are all zero or all missing."""
-    usable = (usable_measures(long) if usable is None else usable).select("source_file", "measure")
+    usable = usable_measures(measure_totals(long)) if usable is None else usable
     return long.join(usable, ["source_file", "measure"], "left_semi")
 
 

@@ -33,7 +33,7 @@ class Inputs:
 @dataclass
 class Panel:
     pairs: DataFrame  # one row per file, permno and June, landed
-    usable: DataFrame  # (file, measure) series that are not all zero or missing, landed
+    usable: DataFrame  # (file, measure) series that are not all zero or missing, from a landed table
     june_rows: int  # upper bound of the rows of one series in one June
 
     @property
@@ -73,8 +73,8 @@ def prepare_panel(inputs: Inputs, validate: bool = True) -> Panel:
     pairs = land(pairs.select("source_file", *align.PAIR, "ffyear", *PANEL_VALUES, *flags, "values"), "panel")
     if validate:  # a repeated pair on either side of the alignment shows up here
         universe.require_unique(pairs, ["source_file", *align.PAIR], "characteristics or measures")
-    usable = land(universe.usable_measures(align.attach_measure(pairs)), "usable")
-    return Panel(pairs, usable, usable.agg(F.max("june_rows")).first()[0] or 0)
+    totals = land(universe.measure_totals(align.attach_measure(pairs)), "totals")
+    return Panel(pairs, universe.usable_measures(totals), totals.agg(F.max("june_rows")).first()[0] or 0)
 
 
 def _cube(inputs: Inputs, june: DataFrame, domains: dict) -> DataFrame:

@@ -40,7 +40,7 @@ def parse_benchmark_factors(lines: DataFrame) -> DataFrame:
         F.concat(F.array(F.lit("date")), F.slice(names, 2, F.size(names) - 1)),
         F.slice(F.concat("fields", F.array_repeat(F.lit(""), F.size(names))), F.lit(1), F.size(names))))
     values = [F.col("by_name")[c].try_cast("double") for c in FACTOR_FIELDS]
-    parsed = rows.select("path", "pos", month_end(F.col("by_name")["date"], "yyyyMM").alias("date"),
+    parsed = rows.select("path", "pos", month_end(F.col("by_name")["date"], "yyyyMM", strict=False).alias("date"),
                          *[(v / 100).alias(c) for c, v in zip(FACTOR_FIELDS, values)])
     complete = F.lit(True)
     for c in FACTOR_FIELDS:
@@ -61,7 +61,7 @@ def parse_benchmark_portfolios(lines: DataFrame, marker: str = VW_MONTHLY_MARKER
              .groupBy("path").agg(F.min_by("line", "pos").alias("header"), F.min("pos").alias("header_pos")))
     names = _fields("header")
     cells = _block(lines, start).select(
-        "path", month_end(F.get("fields", F.lit(0)), "yyyyMM").alias("date"), "fields",
+        "path", month_end(F.get("fields", F.lit(0)), "yyyyMM", strict=False).alias("date"), "fields",
         F.posexplode(names).alias("i", "ptf_code")).filter("i > 0")
     value = F.get("fields", F.col("i")).try_cast("double")
     if mask_missing:

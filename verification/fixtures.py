@@ -83,7 +83,7 @@ def benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     date = F.last_day(F.col("o_orderdate").cast("date"))
     priority = F.substring("o_orderpriority", 1, 1)
     return (orders.groupBy(date.alias("date")).agg(*[
-        F.round(F.avg(F.when(priority == p, F.col("o_totalprice"))) / 1e6, 6).alias(f)
+        F.round(F.coalesce(F.avg(F.when(priority == p, F.col("o_totalprice"))), F.avg("o_totalprice")) / 1e6, 6).alias(f)
         for f, p in FACTOR_PRIORITY.items()])
         .withColumn("RF", F.round(F.lit(0.001) + F.lit(0.0001) * F.month("date"), 4)))
 

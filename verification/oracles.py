@@ -66,7 +66,7 @@ CTES["meas"] = "\n  UNION ALL ".join(
 CTES["legend"] = "SELECT DISTINCT source_file, measure, idx AS measure_index FROM meas"
 _PRIO = {"Mkt-RF": "1", "SMB": "2", "HML": "3", "RMW": "4", "CMA": "5"}
 CTES["bench"] = "SELECT last_day(CAST(o_orderdate AS DATE)) AS date, " + ", ".join(
-    f"round(avg(o_totalprice) FILTER (WHERE o_orderpriority LIKE '{p}%') / 1000000, 6) AS \"{f}\"" for f, p in _PRIO.items()
+    f"round(coalesce(avg(o_totalprice) FILTER (WHERE o_orderpriority LIKE '{p}%'), avg(o_totalprice)) / 1000000, 6) AS \"{f}\"" for f, p in _PRIO.items()
 ) + (", round(0.001::DOUBLE + 0.0001::DOUBLE * max(month(o_orderdate)), 4) AS RF"
      " FROM orders GROUP BY last_day(CAST(o_orderdate AS DATE))")
 PUBLISHED = [("size", "bm"), ("size", "inv"), ("size", "op"), ("bm", "inv"), ("bm", "op"), ("op", "inv")]
@@ -462,13 +462,11 @@ def oracle_sql() -> dict[str, str]:
         "LEFT JOIN pub_biv p ON p.date = m.date AND p.ptf_code = c.code AND p.sort_on = 'size_bm'")
     o["clip_to_window"] = ("SELECT jdate AS date, permno, retadj FROM rets, (SELECT min(date) AS a, max(date) AS z FROM bench "
                            "WHERE date <= (SELECT CAST(max(date) AS DATE) FROM rets)) WHERE jdate BETWEEN a AND z")
-    o["normalise_portfolio_codes"] = (
-        f"SELECT m.date, c.code AS ptf_code, p.ret, 'size_bm' AS sort_on FROM {months} m CROSS JOIN {cells} "
-        "LEFT JOIN pub_biv p ON p.date = m.date AND p.ptf_code = c.code AND p.sort_on = 'size_bm'")
     grid = ", ".join(f"('{a}_{b}', '{a}{i}_{b}{j}')" for a, b in PUBLISHED for i in range(1, 6) for j in range(1, 6))
     o["benchmark_long"] = (
         f"SELECT m.date, g.ptf_code, p.ret, g.sort_on FROM {months} m CROSS JOIN (VALUES {grid}) g(sort_on, ptf_code) "
         "LEFT JOIN pub_biv p ON p.date = m.date AND p.ptf_code = g.ptf_code AND p.sort_on = g.sort_on")
+    o["normalise_portfolio_codes"] = o["benchmark_long"]
     o["month_end"] = "SELECT permno, date, make_date(date // 100, 6, 30) AS jdate FROM m_alpha"
     o["formation_calendar"] = "SELECT jdate FROM junes"
     o["formation_year"] = "SELECT permno, jdate, CAST(year(jdate) AS INTEGER) AS ffyear FROM chars"
@@ -505,9 +503,11 @@ def oracle_sql() -> dict[str, str]:
     o["attach_measure"] = f"SELECT {SP}, me, beme, nf FROM lng0"
     o["combine_breakpoints"] = _flat("bp3", ["bm", "inv", "op"], PCTS, "source_file, jdate", ", round(sizemedn, 9) AS sizemedn")
     o["align_breakpoints"] = f"SELECT {SP}, me, round(size50, 9) AS sizemedn FROM lng LEFT JOIN bph USING (source_file, jdate)"
-    o["merge_assignments"] = (f"SELECT source_file, permno, jdate, {', '.join(N5[:4])} FROM as5 WHERE measure = 'm1'")
-    o["carry_forward"] = (f"SELECT r.permno, r.jdate, r.ffyear, r.retadj, r.wt, {', '.join(P5)} FROM rets r LEFT JOIN "
-                          "(SELECT * FROM as2 WHERE measure = 'm1') a ON a.permno = r.permno AND a.ffyear = r.ffyear")
+    o["merge_assignments"] = (
+        "SELECT source_file, permno, jdate, " + ", ".join(f"{ntile(COL[v], names(v, Q5))} AS {v}port" for v in ("size", "bm", "op", "inv"))
+        + " FROM pan LEFT JOIN bp5 USING (source_file, jdate)")
+    o["carry_forward"] = (f"SELECT {S}, r.permno, r.jdate, r.ffyear, r.retadj, r.wt, {', '.join(P5)} FROM rets r LEFT JOIN "
+                          "as2 a ON a.permno = r.permno AND a.ffyear = r.ffyear")
     o["on_calendar"] = (f"SELECT k.source_file, k.measure, b.date AS jdate, round(m.Mkt, 9) AS \"Mkt\" FROM "
                         f"(SELECT DISTINCT {S} FROM mk2) k CROSS JOIN bench b LEFT JOIN mk2 m ON m.jdate = b.date "
                         "AND m.source_file = k.source_file AND m.measure = k.measure")
@@ -575,7 +575,7 @@ def oracle_sql() -> dict[str, str]:
                           f"(SELECT DISTINCT {S} FROM mk2) k CROSS JOIN bench b LEFT JOIN mk2 m ON m.jdate = b.date "
                           "AND m.source_file = k.source_file AND m.measure = k.measure")
     o["portfolios_long"] = (f"SELECT {S}, jdate, ptf_code, round(vwret, 9) AS ret, sort_on, measure_index "
-                            f"FROM srtb JOIN legend USING ({S}) WHERE sort_on = 'size_bm'")
+                            f"FROM srtb JOIN legend USING ({S})")
     # factors
     for name, m in (("hml", "bm"), ("cma", "inv"), ("rmw", "op"), ("xmy", "nf")):
         o[f"{name}_2x3"] = _spread_query("vw3r", {F_OF[m]: hedge(m)})

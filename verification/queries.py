@@ -176,10 +176,18 @@ def factor_text(c: Context) -> str:
                        landing_path(c.spark, "factor_text"))
 
 
-def published_name(i: int, j: int) -> str:
-    """Column name of cell (i, j) in a published 5x5 size-bm file."""
-    size = {1: "SMALL", 5: "BIG"}.get(i, f"ME{i}") if j in (1, 5) else f"ME{i}"
-    return f"{size} {({1: 'LoBM', 5: 'HiBM'}.get(j) if i in (1, 5) else None) or f'BM{j}'}"
+def published_name(sort_on: str, i: int, j: int) -> str:
+    """Column name of cell (i, j) in a published 5x5 file, e.g. ``SMALL LoBM`` or ``ME2 BM3``."""
+    corner = i in (1, 5) and j in (1, 5)
+
+    def part(measure: str, k: int) -> str:
+        name = "ME" if measure == "size" else measure.upper()
+        if not corner:
+            return f"{name}{k}"
+        return {1: "SMALL", 5: "BIG"}[k] if measure == "size" else {1: "Lo", 5: "Hi"}[k] + name
+
+    a, b = sort_on.split("_")
+    return f"{part(a, i)} {part(b, j)}"
 
 
 CELLS = [(i, j) for i in range(1, 6) for j in range(1, 6)]
@@ -195,7 +203,7 @@ def published_wide(c: Context, sort_on: str, names: dict[str, str] | None = None
 
 def portfolio_text(c: Context) -> str:
     wide = published_wide(c, "size_bm")
-    names = [published_name(i, j) for i, j in CELLS]
+    names = [published_name("size_bm", i, j) for i, j in CELLS]
     values = [F.coalesce(F.format_string("%10.4f", F.col(f"size{i}_bm{j}") * 100), F.lit("")) for i, j in CELLS]
     month = F.date_format("date", "yyyyMM")
     rows = wide.select(F.lit(1).alias("block"), month.alias("key"), F.concat_ws(",", month, *values).alias("line"))
@@ -223,9 +231,11 @@ def q_clip_to_window(c: Context) -> DataFrame:
 
 
 def q_normalise_portfolio_codes(c: Context) -> DataFrame:
-    names = {f"size{i}_bm{j}": published_name(i, j) for i, j in CELLS}
-    raw = codes.benchmark_long({"size_bm": published_wide(c, "size_bm", names)})
-    return codes.normalise_portfolio_codes(raw, 5, 5)
+    wide = {}
+    for sort_on in config.PUBLISHED_BIVARIATE:
+        a, b = sort_on.split("_")
+        wide[sort_on] = published_wide(c, sort_on, {f"{a}{i}_{b}{j}": published_name(sort_on, i, j) for i, j in CELLS})
+    return codes.normalise_portfolio_codes(codes.benchmark_long(wide), 5, 5)
 
 
 def q_benchmark_long(c: Context) -> DataFrame:
@@ -361,17 +371,17 @@ def q_align_breakpoints(c: Context) -> DataFrame:
 
 
 def q_merge_assignments(c: Context) -> DataFrame:
-    done = c.assigned("bivariate").filter(F.col("measure") == "m1")
     keys = ["source_file", *PAIR]
+    edges = breakpoints.quintile_edges(c.panel.pairs)
+    done = assign.assign_ntile_independent(align.align_breakpoints(c.panel.pairs, edges, ["source_file", "jdate"]))
+    done = land(done.select(*keys, *NPORTS[:4]), "char_buckets")
     parts = {p: done.filter(F.col(p).isNotNull()).select(*keys, p) for p in NPORTS[:4]}
-    pairs = c.panel.pairs.filter(F.col("source_file") == "measures_alpha").select(*keys)
-    return align.merge_assignments(pairs, parts, keys)
+    return align.merge_assignments(c.panel.pairs.select(*keys), parts, keys)
 
 
 def q_carry_forward(c: Context) -> DataFrame:
-    june = c.june("2x2").filter((F.col("source_file") == "measures_alpha") & (F.col("measure") == "m1"))
-    return align.carry_forward(c.inputs.returns, june.drop(*SERIES)).select(
-        "permno", "jdate", "ffyear", "retadj", "wt", *PORTS)
+    return align.carry_forward(c.inputs.returns, c.june("2x2")).select(
+        *SERIES, "permno", "jdate", "ffyear", "retadj", "wt", *PORTS)
 
 
 def q_on_calendar(c: Context) -> DataFrame:
@@ -485,10 +495,10 @@ def q_fill_missing_cells(c: Context) -> DataFrame:
 
 def q_portfolios_long(c: Context) -> DataFrame:
     keys = [*SERIES, "jdate"]
-    cell_codes = [f"size{i}_bm{j}" for i, j in CELLS]
-    one = c.ptfs("bivariate").filter(F.col("sort_on") == "size_bm")
-    wide = returns.pivot_portfolios(one, cell_codes, keys)
-    long = returns.portfolios_long(wide, cell_codes, keys).withColumn("sort_on", F.lit("size_bm"))
+    cell_codes = [f"{a}{i}_{b}{j}" for a, b in config.bivariate_sorts() for i, j in CELLS]
+    wide = returns.pivot_portfolios(c.ptfs("bivariate"), cell_codes, keys)
+    long = returns.portfolios_long(wide, cell_codes, keys)
+    long = long.withColumn("sort_on", F.regexp_replace("ptf_code", r"\d", ""))
     return rounded(jobs.with_index(long, _legend(c)))
 
 
