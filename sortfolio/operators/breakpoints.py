@@ -75,49 +75,49 @@ def nf_median(panel: DataFrame) -> DataFrame:
     return nf_edges(panel, HALF_PROBS).select(*NF_KEYS, F.get("nf_edges", F.lit(0)).alias("nf50"))
 
 
-def factor_breakpoints(panel: DataFrame, long: DataFrame, two_by_two: bool,
-                       group_rows: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """Characteristic and candidate breakpoints of the factor sorts from a single selection.
+# everything the independent sorts need: the sets, the median, the quintiles, smallest and largest
+INDEPENDENT_PROBS = sorted({*SET_PROBS, *HALF_PROBS, *QUINTILE_PROBS, 0.0, 1.0})
+DEPENDENT_PROBS = sorted({*QUARTILE_PROBS, 0.0, 1.0})
+
+
+def all_quantiles(
+    panel: DataFrame, long: DataFrame, variables: Sequence[str], keys: list[str], probs: Sequence[float],
+    group_rows: int | None = None,
+) -> DataFrame:
+    """Landed quantiles of the characteristics (``measure`` empty) and of all candidates, one selection."""
+    chars = universe_values(panel, variables, keys).withColumn("measure", F.lit(""))
+    nf = (long.filter(_in_nf_universe())
+          .select(*keys, F.lit("nf").alias("var"), F.col("nf").alias("x"), "measure"))
+    return land(exact_quantiles(chars.unionByName(nf), ["measure", *keys, "var"], "x", probs, group_rows),
+                "breakpoints")
+
+
+def factor_breakpoints(quantiles: DataFrame, two_by_two: bool) -> tuple[DataFrame, DataFrame]:
+    """Breakpoints of the factor sorts from :func:`all_quantiles`.
 
     Returns (file, June) rows with ``sizemedn`` and ``bm/inv/op_edges``, and
     (file, measure, June) rows with ``nf_edges``.
     """
     probs = HALF_PROBS if two_by_two else SET_PROBS
-    keys = ["source_file", "jdate"]
-    q = _select_all(panel, long, CHAR_VARS, keys, sorted({*probs, 0.5}), group_rows)
     names = {"sizemedn": F.when(F.col("var") == "size", quantile_col(0.5))}
     names |= {f"{v}_edges": F.when(F.col("var") == v, edges(probs)) for v in ("bm", "inv", "op")}
-    nf = q.filter(F.col("var") == "nf").select(*NF_KEYS, edges(probs).alias("nf_edges"))
-    return _wide(q.filter(F.col("var") != "nf"), keys, names), nf
+    nf = quantiles.filter(F.col("var") == "nf").select(*NF_KEYS, edges(probs).alias("nf_edges"))
+    return _wide(quantiles.filter(F.col("var") != "nf"), ["source_file", "jdate"], names), nf
 
 
 def ntile_breakpoints(
-    panel: DataFrame, long: DataFrame, variables: Sequence[str], probs: Sequence[float], keys: list[str],
-    group_rows: int | None = None,
+    quantiles: DataFrame, variables: Sequence[str], probs: Sequence[float], keys: list[str]
 ) -> tuple[DataFrame, DataFrame]:
-    """Edges of the n-tile sorts from a single selection; ``keys`` may include the size bucket.
+    """Edges of the n-tile sorts from :func:`all_quantiles`; ``keys`` may include the size bucket.
 
     The candidate edges are lowered by epsilon and exist only for groups with two distinct
-    values; the smallest and largest value needed for that check are the quantiles 0 and 1.
+    values: the quantiles 0 and 1 differ.
     """
-    q = _select_all(panel, long, variables, keys, [*probs, 0.0, 1.0], group_rows)
     names = {f"{v}_edges": F.when(F.col("var") == v, edges(probs)) for v in variables}
-    nf = (q.filter((F.col("var") == "nf") & (quantile_col(0.0) < quantile_col(1.0)))
+    nf = (quantiles.filter((F.col("var") == "nf") & (quantile_col(0.0) < quantile_col(1.0)))
           .select("measure", *keys, edges(probs).alias("nf_edges"))
           .withColumn("nf_edges", lowered("nf_edges", len(probs))))
-    return _wide(q.filter(F.col("var") != "nf"), keys, names), nf
-
-
-def _select_all(
-    panel: DataFrame, long: DataFrame, variables: Sequence[str], keys: list[str], probs: Sequence[float],
-    group_rows: int | None,
-) -> DataFrame:
-    """Landed quantiles of the characteristics (``measure`` empty) and of all candidates."""
-    chars = universe_values(panel, variables, keys).withColumn("measure", F.lit(""))
-    nf = (long.filter(_in_nf_universe())
-          .select(*keys, F.lit("nf").alias("var"), F.col("nf").alias("x"), "measure"))
-    return land(exact_quantiles(chars.unionByName(nf), ["measure", *keys, "var"], "x", probs, group_rows),
-                "breakpoints")
+    return _wide(quantiles.filter(F.col("var") != "nf"), keys, names), nf
 
 
 def quintile_edges(panel: DataFrame) -> DataFrame:

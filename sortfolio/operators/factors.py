@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sortfolio.operators.align import SERIES, series_calendar
-from sortfolio.operators.returns import keep_complete, market_excess
+from sortfolio.operators.returns import completeness_check, wavg_market_return
 from sortfolio.plans.config import (
     FIVE_CODES, LABELS2, LABELS3, PAIR_CODES_2, PAIR_CODES_3, five_way_weights, pair_weights,
 )
@@ -26,12 +26,15 @@ def _weighted(weights: dict[str, float]) -> Column:
     return F.coalesce(F.sum(value), F.lit(0.0))
 
 
+def _spread_sums(ptfs: DataFrame, weights: dict[str, dict[str, float]], keys: list[str]) -> DataFrame:
+    return ptfs.groupBy(*keys, "jdate").agg(*[_weighted(w).alias(f) for f, w in weights.items()])
+
+
 def linear_spreads(ptfs: DataFrame, benchmark: DataFrame, weights: dict[str, dict[str, float]],
                    keys: list[str] = FACTOR_KEYS) -> DataFrame:
     """One column per factor for every published month and series; months without data are 0."""
-    spreads = ptfs.groupBy(*keys, "jdate").agg(*[_weighted(w).alias(f) for f, w in weights.items()])
     return (series_calendar(ptfs.select(*keys).distinct(), benchmark)
-            .join(spreads, [*keys, "jdate"], "left").fillna(0.0, list(weights)))
+            .join(_spread_sums(ptfs, weights, keys), [*keys, "jdate"], "left").fillna(0.0, list(weights)))
 
 
 def _pick(ptfs: DataFrame, benchmark: DataFrame, labels: dict, names: list[str]) -> DataFrame:
@@ -82,7 +85,11 @@ def factor_table(ptfs: DataFrame, cube: DataFrame, benchmark: DataFrame, kind: s
         "2x2": (PAIR_CODES_2, pair_weights(LABELS2)),
         "2x2x2x2x2": (FIVE_CODES, five_way_weights()),
     }[kind]
-    complete = keep_complete(ptfs, len(codes), FACTOR_KEYS)
-    spreads = linear_spreads(complete, benchmark, {f: weights[f] for f in FACTOR_COLUMNS[1:]})
-    return (spreads.join(market_excess(cube, benchmark), [*SERIES, "jdate"])
+    weights = {f: weights[f] for f in FACTOR_COLUMNS[1:]}
+    complete = completeness_check(ptfs, len(codes), FACTOR_KEYS)
+    rf = benchmark.select(F.col("date").alias("jdate"), "RF")
+    return (series_calendar(complete, benchmark)
+            .join(_spread_sums(ptfs, weights, FACTOR_KEYS), [*FACTOR_KEYS, "jdate"], "left").fillna(0.0, list(weights))
+            .join(wavg_market_return(cube), [*SERIES, "jdate"], "left").join(rf, "jdate")
+            .withColumn("Mkt-RF", F.col("Mkt") - F.col("RF"))
             .select(F.col("jdate").alias("date"), *FACTOR_COLUMNS, *FACTOR_KEYS))

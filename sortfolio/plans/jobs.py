@@ -8,7 +8,8 @@ deliberate end of a heavy shuffle.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +21,7 @@ from sortfolio.plans import config
 from sortfolio.sources.calendar import formation_calendar
 
 CHARS = ["bm", "op", "inv"]
+MEDIAN_KINDS = ("2x2", "2x2x2x2x2")
 
 
 @dataclass
@@ -36,11 +38,30 @@ class Panel:
     usable: DataFrame  # (file, measure) series that are not all zero or missing, from a landed table
     june_rows: int  # upper bound of the rows of one series in one June
 
+    benchmark: DataFrame
+    returns: DataFrame
+    _cubes: dict = field(default_factory=dict)
+
     @property
     def long(self) -> DataFrame:
         """One row per pair and usable measure."""
         return self.explode(self.pairs)
 
+    @cached_property
+    def quantiles(self) -> DataFrame:
+        """Quantiles of every independent sort, landed once for all jobs."""
+        return breakpoints.all_quantiles(self.pairs, self.long, breakpoints.CHAR_VARS, ["source_file", "jdate"],
+                                         breakpoints.INDEPENDENT_PROBS, self.june_rows)
+
+    def cube(self, kind: str, robust: tuple[str, ...] = ()) -> DataFrame:
+        """Landed monthly sums of a sort; the two median sorts have the same buckets and share one."""
+        key = ("median" if kind in MEDIAN_KINDS else kind, robust)
+        if key not in self._cubes:
+            domains = sort_domains(kind, robust)
+            june = assign.june_assignments(assignments(self, kind, robust), list(domains))
+            self._cubes[key] = land(returns.monthly_cube(self.returns, june, domains), "cube")
+        return self._cubes[key]
+
     def explode(self, pairs: DataFrame) -> DataFrame:
         long = universe.drop_degenerate_measures(align.attach_measure(pairs), self.usable)
         return universe.nf_eligibility_flag(long)
@@ -74,18 +95,32 @@ def prepare_panel(inputs: Inputs, validate: bool = True) -> Panel:
     if validate:  # a repeated pair on either side of the alignment shows up here
         universe.require_unique(pairs, ["source_file", *align.PAIR], "characteristics or measures")
     totals = land(universe.measure_totals(align.attach_measure(pairs)), "totals")
-    return Panel(pairs, universe.usable_measures(totals), totals.agg(F.max("june_rows")).first()[0] or 0)
+    june_rows = totals.agg(F.max("june_rows")).first()[0] or 0
+    return Panel(pairs, universe.usable_measures(totals), june_rows, inputs.benchmark, inputs.returns)
+
 
+def sort_domains(kind: str, robust: tuple[str, ...] = ()) -> dict:
+    """Bucket columns of a sort and their values."""
+    if kind == "bivariate":
+        return assign.ntile_domains(5, 5)
+    if kind == "three_way":
+        return assign.ntile_domains(2, 4)
+    return assign.factor_domains(robust, kind in MEDIAN_KINDS)
 
-def _cube(inputs: Inputs, june: DataFrame, domains: dict) -> DataFrame:
-    return land(returns.monthly_cube(inputs.returns, june, domains), "cube")
 
+def assignments(panel: Panel, kind: str, robust: tuple[str, ...] = ()) -> DataFrame:
+    """Panel rows per measure with every bucket of a sort."""
+    if kind == "bivariate":
+        return independent_assignments(panel)
+    if kind == "three_way":
+        return dependent_assignments(panel)
+    return factor_assignments(panel, kind, robust)
 
-def factor_assignments(inputs: Inputs, panel: Panel, kind: str, robust: tuple[str, ...] = ()) -> DataFrame:
-    """Panel rows per measure with every bucket of the factor sorts."""
-    two_by_two = kind != "2x3"
-    chars_bp, nf_bp = breakpoints.factor_breakpoints(panel.pairs, panel.long, two_by_two, panel.june_rows)
-    chars_bp = align.combine_breakpoints(formation_calendar(inputs.benchmark), chars_bp)
+
+def factor_assignments(panel: Panel, kind: str, robust: tuple[str, ...] = ()) -> DataFrame:
+    two_by_two = kind in MEDIAN_KINDS
+    chars_bp, nf_bp = breakpoints.factor_breakpoints(panel.quantiles, two_by_two)
+    chars_bp = align.combine_breakpoints(formation_calendar(panel.benchmark), chars_bp)
     sized = assign.assign_size_2(align.align_breakpoints(panel.pairs, chars_bp, ["source_file", "jdate"]))
     split = assign.assign_2way if two_by_two else (lambda df, ms: assign.assign_3way_robust(df, ms, robust))
     done = split(sized, CHARS).drop("sizemedn", "bm_edges", "inv_edges", "op_edges")
@@ -95,9 +130,7 @@ def factor_assignments(inputs: Inputs, panel: Panel, kind: str, robust: tuple[st
 
 def job_factors(inputs: Inputs, kind: str, robust: tuple[str, ...] = (), panel: Panel | None = None) -> FactorResult:
     panel = panel or prepare_panel(inputs)
-    domains = assign.factor_domains(robust, kind != "2x3")
-    june = assign.june_assignments(factor_assignments(inputs, panel, kind, robust), list(domains))
-    cube = _cube(inputs, june, domains)
+    cube = panel.cube(kind, robust)
     if kind == "2x3":
         ptfs, nfirms = returns.vw_return_2x3(cube, robust), diagnostics.factor_nfirms_2x3(cube, inputs.benchmark, robust)
     elif kind == "2x2":
@@ -136,7 +169,7 @@ def independent_assignments(panel: Panel, n: int = 5) -> DataFrame:
     """Panel rows per measure with independent n-tile buckets."""
     keys = ["source_file", "jdate"]
     chars_bp, nf_bp = breakpoints.ntile_breakpoints(
-        panel.pairs, panel.long, breakpoints.CHAR_VARS, config.QUINTILE_PROBS, keys, panel.june_rows)
+        panel.quantiles, breakpoints.CHAR_VARS, config.QUINTILE_PROBS, keys)
     done = assign.assign_ntile_independent(align.align_breakpoints(panel.pairs, chars_bp, keys), n)
     return assign.assign_nf_ntile(align.align_breakpoints(panel.explode(done), nf_bp, breakpoints.NF_KEYS), n)
 
@@ -144,23 +177,26 @@ def independent_assignments(panel: Panel, n: int = 5) -> DataFrame:
 def dependent_assignments(panel: Panel, n: int = 4) -> DataFrame:
     """Panel rows per measure with size halves and n-tile buckets inside each half."""
     keys = ["source_file", "jdate"]
-    size_bp = land(breakpoints.size_half_edges(panel.pairs), "size_edges")
+    medians, _ = breakpoints.factor_breakpoints(panel.quantiles, True)
+    size_bp = medians.select(*keys, F.array("sizemedn").alias("size_edges"))
     sized = assign.assign_size_half(align.align_breakpoints(panel.pairs, size_bp, keys)).drop("size_edges")
     inside = sized.filter(F.col("sizeport").isNotNull())
     keys = ["source_file", "jdate", "sizeport"]
-    chars_bp, nf_bp = breakpoints.ntile_breakpoints(
-        inside, panel.explode(inside), CHARS, config.QUARTILE_PROBS, keys, panel.june_rows)
+    quantiles = breakpoints.all_quantiles(
+        inside, panel.explode(inside), CHARS, keys, breakpoints.DEPENDENT_PROBS, panel.june_rows)
+    chars_bp, nf_bp = breakpoints.ntile_breakpoints(quantiles, CHARS, config.QUARTILE_PROBS, keys)
     done = assign.assign_ntile_dependent(align.align_breakpoints(sized, chars_bp, keys), n)
     long = align.align_breakpoints(panel.explode(done), nf_bp, ["measure", *keys])
     return assign.assign_nf_ntile_dependent(long, n)
 
 
-def job_sorts(inputs: Inputs, assigned: DataFrame, sorts: list[tuple[str, ...]], n_size: int, n_other: int,
-              n_cells: int) -> PortfolioResult:
-    domains = assign.ntile_domains(n_size, n_other)
-    cube = _cube(inputs, assign.june_assignments(assigned, list(domains)), domains)
-    cells = land(returns.vw_return_sorts(cube, sorts, n_size, n_other), "sorts")
-    cells = returns.keep_complete(cells, n_cells, [*SERIES, "sort_on"])
+def job_sorts(inputs: Inputs, panel: Panel, kind: str) -> PortfolioResult:
+    cube = panel.cube(kind)
+    if kind == "bivariate":
+        cells, n_cells = returns.vw_return_bivariate(cube, config.bivariate_sorts()), 25
+    else:
+        cells, n_cells = returns.vw_return_threeway(cube, config.threeway_sorts()), 32
+    cells = returns.keep_complete(land(cells, "sorts"), n_cells, [*SERIES, "sort_on"])
     legend = measures_legend(inputs.measures)
     return PortfolioResult(
         with_index(returns.excess_returns(cells, inputs.benchmark), legend),
@@ -168,13 +204,11 @@ def job_sorts(inputs: Inputs, assigned: DataFrame, sorts: list[tuple[str, ...]],
 
 
 def job_bivariate_portfolios(inputs: Inputs, panel: Panel | None = None) -> PortfolioResult:
-    panel = panel or prepare_panel(inputs)
-    return job_sorts(inputs, independent_assignments(panel), config.bivariate_sorts(), 5, 5, 25)
+    return job_sorts(inputs, panel or prepare_panel(inputs), "bivariate")
 
 
 def job_threeway_portfolios(inputs: Inputs, panel: Panel | None = None) -> PortfolioResult:
-    panel = panel or prepare_panel(inputs)
-    return job_sorts(inputs, dependent_assignments(panel), config.threeway_sorts(), 2, 4, 32)
+    return job_sorts(inputs, panel or prepare_panel(inputs), "three_way")
 
 
 def measures_legend(measures: DataFrame) -> DataFrame:

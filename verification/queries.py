@@ -41,29 +41,17 @@ class Context:
 
     @lru_cache(maxsize=None)  # noqa: B019 - lives as long as the session
     def assigned(self, kind: str, robust: tuple[str, ...] = ()) -> DataFrame:
-        if kind == "bivariate":
-            return jobs.independent_assignments(self.panel)
-        if kind == "threeway":
-            return jobs.dependent_assignments(self.panel)
-        return jobs.factor_assignments(self.inputs, self.panel, kind, robust)
-
-    def domains(self, kind: str, robust: tuple[str, ...] = ()) -> dict:
-        if kind == "bivariate":
-            return assign.ntile_domains(5, 5)
-        if kind == "threeway":
-            return assign.ntile_domains(2, 4)
-        return assign.factor_domains(robust, kind != "2x3")
+        return jobs.assignments(self.panel, kind, robust)
 
     def june(self, kind: str, robust: tuple[str, ...] = ()) -> DataFrame:
-        return assign.june_assignments(self.assigned(kind, robust), list(self.domains(kind, robust)))
+        return assign.june_assignments(self.assigned(kind, robust), list(jobs.sort_domains(kind, robust)))
 
     def monthly(self, kind: str, robust: tuple[str, ...] = ()) -> DataFrame:
         carried = align.carry_forward(self.inputs.returns, self.june(kind, robust))
-        return universe.drop_unassigned(carried, list(self.domains(kind, robust)))
+        return universe.drop_unassigned(carried, list(jobs.sort_domains(kind, robust)))
 
-    @lru_cache(maxsize=None)  # noqa: B019
     def cube(self, kind: str, robust: tuple[str, ...] = ()) -> DataFrame:
-        return land(returns.monthly_cube(self.inputs.returns, self.june(kind, robust), self.domains(kind, robust)), "cube")
+        return self.panel.cube(kind, robust)
 
     @lru_cache(maxsize=None)  # noqa: B019
     def ptfs(self, kind: str) -> DataFrame:
@@ -356,7 +344,7 @@ def _flat_breaks(df: DataFrame, probs: tuple[float, ...], variables: tuple[str,
 
 
 def _breaks_2x3(c: Context) -> tuple[DataFrame, DataFrame]:
-    return breakpoints.factor_breakpoints(c.panel.pairs, c.panel.long, False, c.panel.june_rows)
+    return breakpoints.factor_breakpoints(c.panel.quantiles, False)
 
 
 def q_combine_breakpoints(c: Context) -> DataFrame:
@@ -511,12 +499,12 @@ def _factor(f: Callable, kind: str) -> Callable[[Context], DataFrame]:
 # --- diagnostics ----------------------------------------------------------------------------
 
 def q_portfolio_nfirms(c: Context) -> DataFrame:
-    return diagnostics.portfolio_nfirms(c.ptfs("bivariate")).unionByName(diagnostics.portfolio_nfirms(c.ptfs("threeway")))
+    return diagnostics.portfolio_nfirms(c.ptfs("bivariate")).unionByName(diagnostics.portfolio_nfirms(c.ptfs("three_way")))
 
 
 def q_portfolio_coverage_pct(c: Context) -> DataFrame:
     done = [diagnostics.portfolio_coverage_pct(diagnostics.portfolio_nfirms(c.ptfs(k)), c.cube(k))
-            for k in ("bivariate", "threeway")]
+            for k in ("bivariate", "three_way")]
     return rounded(done[0].unionByName(done[1]), 6)
 
 
@@ -530,13 +518,13 @@ def q_factor_correlations(c: Context) -> DataFrame:
 
 def q_portfolio_correlations(c: Context) -> DataFrame:
     done = [diagnostics.portfolio_correlations(align.compare_portfolios(c.excess(k), c.published(k)))
-            for k in ("bivariate", "threeway")]
+            for k in ("bivariate", "three_way")]
     return rounded(done[0].unionByName(done[1]), 8)
 
 
 def q_date_range_summary(c: Context) -> DataFrame:
     return diagnostics.date_range_summary(
-        c.excess("threeway"), [*SERIES, "sort_on"], F.count_distinct("ptf_code"))
+        c.excess("three_way"), [*SERIES, "sort_on"], F.count_distinct("ptf_code"))
 
 
 def q_misassigned_check(c: Context) -> DataFrame:
@@ -626,8 +614,8 @@ OPERATORS: dict[str, Callable[[Context], DataFrame]] = {
     "assign_ntile_independent": lambda c: c.assigned("bivariate").select(*SERIES_PAIR, *NPORTS[:4]),
     "assign_nf_ntile": lambda c: c.assigned("bivariate").select(*SERIES_PAIR, "nfport"),
     "assign_size_half": lambda c: _sized(c).select("source_file", *PAIR, "sizeport"),
-    "assign_ntile_dependent": lambda c: c.assigned("threeway").select(*SERIES_PAIR, *NPORTS[:4]),
-    "assign_nf_ntile_dependent": lambda c: c.assigned("threeway").select(*SERIES_PAIR, "nfport"),
+    "assign_ntile_dependent": lambda c: c.assigned("three_way").select(*SERIES_PAIR, *NPORTS[:4]),
+    "assign_nf_ntile_dependent": lambda c: c.assigned("three_way").select(*SERIES_PAIR, "nfport"),
     "june_assignments": lambda c: c.june("2x2"),
     # portfolio returns
     "sort_combinations": q_sort_combinations,
@@ -637,7 +625,7 @@ OPERATORS: dict[str, Callable[[Context], DataFrame]] = {
     "vw_return_2x2": lambda c: _vw(c, "2x2", [*SERIES, "jdate", "szport", "value", "variable", "ptf_code"]),
     "vw_return_5way": lambda c: _vw(c, "2x2x2x2x2", [*SERIES, "jdate", *PORTS, "ptf_code"]),
     "vw_return_bivariate": lambda c: _vw(c, "bivariate", [*SERIES, "sort_on", "jdate", "ptf_code"]),
-    "vw_return_threeway": lambda c: _vw(c, "threeway", [*SERIES, "sort_on", "jdate", "ptf_code"]),
+    "vw_return_threeway": lambda c: _vw(c, "three_way", [*SERIES, "sort_on", "jdate", "ptf_code"]),
     "portfolio_code": q_portfolio_code,
     "pivot_portfolios": q_pivot_portfolios,
     "completeness_check": q_completeness_check,
@@ -680,7 +668,7 @@ OPERATORS: dict[str, Callable[[Context], DataFrame]] = {
     "tag_and_union_factors": _tagged_factors,
     "tag_and_union_nfirms": lambda c: jobs.tag(c.nfirms("2x3"), ROBUST),
     "measures_legend": _legend,
-    "stack_portfolios": lambda c: rounded(jobs.with_index(c.excess("threeway"), _legend(c))),
+    "stack_portfolios": lambda c: rounded(jobs.with_index(c.excess("three_way"), _legend(c))),
     "job_factors_2x3": _job_factors("2x3", ROBUST),
     "job_factors_2x3_default_sets": _job_factors("2x3", ()),
     "job_factors_2x3_all_robust": _job_factors("2x3", config.MEASURES),
