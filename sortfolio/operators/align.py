@@ -33,10 +33,10 @@ def common_pairs(chars: DataFrame, measures: DataFrame) -> DataFrame:
 
 
 def attach_measure(panel: DataFrame) -> DataFrame:
-    """One row per pair and measure, the measure's value as ``nf``."""
-    return (panel.withColumn("value", F.explode("values"))
-            .withColumns({"measure": F.col("value.measure"), "nf": F.col("value.nf")})
-            .drop("values", "value"))
+    """One row per pair and measure: the measure's value as ``nf`` and its 1-based place in the file as ``index``."""
+    return (panel.select(*[c for c in panel.columns if c != "values"], F.posexplode("values").alias("pos", "value"))
+            .withColumns({"index": F.col("pos") + 1, "measure": F.col("value.measure"), "nf": F.col("value.nf")})
+            .drop("pos", "value"))
 
 
 def combine_breakpoints(dates: DataFrame, breaks: DataFrame) -> DataFrame:

@@ -35,13 +35,22 @@ class Inputs:
 @dataclass
 class Panel:
     pairs: DataFrame  # one row per file, permno and June, landed
-    usable: DataFrame  # (file, measure) series that are not all zero or missing, from a landed table
+    totals: DataFrame  # one row per (file, measure), landed
     june_rows: int  # upper bound of the rows of one series in one June
 
     benchmark: DataFrame
     returns: DataFrame
     _cubes: dict = field(default_factory=dict)
 
+    @property
+    def usable(self) -> DataFrame:
+        """Series that are not all zero or missing."""
+        return universe.usable_measures(self.totals)
+
+    @property
+    def legend(self) -> DataFrame:
+        return self.totals.select(*SERIES, "index")
+
     @property
     def long(self) -> DataFrame:
         """One row per pair and usable measure."""
@@ -96,7 +105,7 @@ def prepare_panel(inputs: Inputs, validate: bool = True) -> Panel:
         universe.require_unique(pairs, ["source_file", *align.PAIR], "characteristics or measures")
     totals = land(universe.measure_totals(align.attach_measure(pairs)), "totals")
     june_rows = totals.agg(F.max("june_rows")).first()[0] or 0
-    return Panel(pairs, universe.usable_measures(totals), june_rows, inputs.benchmark, inputs.returns)
+    return Panel(pairs, totals, june_rows, inputs.benchmark, inputs.returns)
 
 
 def sort_domains(kind: str, robust: tuple[str, ...] = ()) -> dict:
@@ -197,7 +206,7 @@ def job_sorts(inputs: Inputs, panel: Panel, kind: str) -> PortfolioResult:
     else:
         cells, n_cells = returns.vw_return_threeway(cube, config.threeway_sorts()), 32
     cells = returns.keep_complete(land(cells, "sorts"), n_cells, [*SERIES, "sort_on"])
-    legend = measures_legend(inputs.measures)
+    legend = panel.legend
     return PortfolioResult(
         with_index(returns.excess_returns(cells, inputs.benchmark), legend),
         with_index(diagnostics.portfolio_nfirms(cells), legend), legend, cube, cells)

@@ -35,13 +35,18 @@ def write_factor_nfirms(df: DataFrame, path: str, kind: str, robust: Sequence[st
     _write(df, path, output_name(f"{kind}_factors_nfirms_", robust), None, fmt)
 
 
+def _numbered(df: DataFrame) -> DataFrame:
+    """The exported measure column is the measure's number in the legend."""
+    return df.drop("measure").withColumnRenamed("measure_index", "measure")
+
+
 def write_portfolios(df: DataFrame, path: str, kind: str, fmt: str = "csv") -> None:
     """``kind`` is ``bivariate`` or ``three_way``."""
-    _write(df, path, output_name(f"{kind}_sorts_test_portfolios_"), 6, fmt)
+    _write(_numbered(df), path, output_name(f"{kind}_sorts_test_portfolios_"), 6, fmt)
 
 
 def write_portfolio_nfirms(df: DataFrame, path: str, kind: str, fmt: str = "csv") -> None:
-    _write(df, path, output_name(f"{kind}_sorts_test_portfolios_nfirms_"), 6, fmt)
+    _write(_numbered(df), path, output_name(f"{kind}_sorts_test_portfolios_nfirms_"), 6, fmt)
 
 
 def write_legend(df: DataFrame, path: str, kind: str, fmt: str = "csv") -> None:

@@ -61,7 +61,7 @@ def test_result_does_not_depend_on_partitioning(spark, inputs, panel):
 
 def fresh(panel):
     """The same panel without its cached breakpoints and sums."""
-    return jobs.Panel(panel.pairs, panel.usable, panel.june_rows, panel.benchmark, panel.returns)
+    return jobs.Panel(panel.pairs, panel.totals, panel.june_rows, panel.benchmark, panel.returns)
 
 
 def test_narrowing_gives_the_same_assignment(panel, monkeypatch):
@@ -84,8 +84,9 @@ def test_june_rows_bound_every_group(panel):
     assert long.agg({"count": "max"}).first()[0] <= panel.june_rows
 
 
-def test_legend_counts_from_one(inputs):
+def test_legend_counts_from_one(inputs, panel):
     got = {(r.source_file, r.measure): r["index"] for r in jobs.measures_legend(inputs.measures).collect()}
+    assert got == {(r.source_file, r.measure): r["index"] for r in panel.legend.collect()}
     assert got == {("measures_alpha", "m1"): 1, ("measures_alpha", "m2"): 2, ("measures_alpha", "m3"): 3,
                    ("measures_beta", "m4"): 1}
 

@@ -86,7 +86,8 @@ def test_degenerate_and_single_valued_measures(spark):
             ("f", "good", day("2000-06-30"), 1.0, True), ("f", "good", day("2000-06-30"), 1.0, True),
             ("f", "good", day("2000-06-30"), 2.0, False), ("f", "good", day("2001-06-30"), 1.0, True),
             ("f", "good", day("2001-06-30"), -1.0, True), ("f", "good", day("2001-06-30"), None, True)]
-    long = spark.createDataFrame(rows, "source_file STRING, measure STRING, jdate DATE, nf DOUBLE, u_nf BOOLEAN")
+    long = spark.createDataFrame([(*r, 1) for r in rows],
+                                 "source_file STRING, measure STRING, jdate DATE, nf DOUBLE, u_nf BOOLEAN, index INT")
     assert {r.measure for r in universe.drop_degenerate_measures(long).collect()} == {"good"}
     kept = universe.min_distinct_guard(long, breakpoints.NF_KEYS).collect()
     assert sorted((r.jdate.year, r.nf) for r in kept) == [(2001, -1.0), (2001, 1.0)]

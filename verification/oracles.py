@@ -478,10 +478,10 @@ def oracle_sql() -> dict[str, str]:
         + ", ".join(f"\"{c}\"" for c in TABLE) + ", 'nf' AS measures_robust_bp, bp, measure FROM nf3")
     o["write_portfolios"] = (
         "SELECT replace(source_file, 'measures_', 'bivariate_sorts_test_portfolios_') AS file, date, ptf_code, "
-        f"round(ret, 6) AS ret, sort_on, measure_index FROM excb JOIN legend USING ({S})")
+        f"round(ret, 6) AS ret, sort_on, measure_index AS measure FROM excb JOIN legend USING ({S})")
     o["write_portfolio_nfirms"] = (
         "SELECT replace(source_file, 'measures_', 'bivariate_sorts_test_portfolios_nfirms_') AS file, jdate AS date, ptf_code, "
-        f"n_both AS nfirms, sort_on, measure_index FROM srtb JOIN legend USING ({S})")
+        f"n_both AS nfirms, sort_on, measure_index AS measure FROM srtb JOIN legend USING ({S})")
     o["write_legend"] = ("SELECT replace(source_file, 'measures_', 'measures_legend_bivariate_sorts_test_portfolios_') AS file, "
                          "measure, measure_index AS \"index\" FROM legend")
     # filters and flags

@@ -266,7 +266,7 @@ def _legend(c: Context) -> DataFrame:
 def q_write_portfolios(c: Context) -> DataFrame:
     path = landing_path(c.spark, "portfolios_csv")
     sinks.write_portfolios(jobs.with_index(c.excess("bivariate"), _legend(c)), path, "bivariate")
-    return _back(c, path).select("file", "date", "ptf_code", "ret", "sort_on", "measure_index")
+    return _back(c, path).select("file", "date", "ptf_code", "ret", "sort_on", "measure")
 
 
 def q_write_portfolio_nfirms(c: Context) -> DataFrame:
@@ -274,7 +274,7 @@ def q_write_portfolio_nfirms(c: Context) -> DataFrame:
     counts = diagnostics.portfolio_nfirms(c.ptfs("bivariate"))
     sinks.write_portfolio_nfirms(jobs.with_index(counts, _legend(c)), path, "bivariate")
     back = _back(c, path)
-    return back.select("file", "date", "ptf_code", F.col("nfirms").cast("bigint").alias("nfirms"), "sort_on", "measure_index")
+    return back.select("file", "date", "ptf_code", F.col("nfirms").cast("bigint").alias("nfirms"), "sort_on", "measure")
 
 
 def q_write_legend(c: Context) -> DataFrame:
