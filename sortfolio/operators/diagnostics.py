@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sortfolio.functions.columns import all_not_null, any_not_null, percent
 from sortfolio.operators.align import SERIES, series_calendar
 from sortfolio.operators.factors import FACTOR_KEYS
+from sortfolio.operators.returns import bp_view
 from sortfolio.plans.config import (
     FACTOR_OF, FIVE_ORDER, FLAG_COL, LABELS3, MEASURES, PUBLISHED_FACTORS, SIZE_LABELS, evaluated_sets, port,
 )
@@ -85,11 +88,8 @@ def factor_nfirms_2x3(cube: DataFrame, benchmark: DataFrame, robust: tuple[str,
     SMB counts rows with a bm, inv or nf bucket of the set; op counts only with ``count_op``.
     """
     counted = ["bm", "inv", "nf"] + (["op"] if count_op else [])
-    parts = None
-    for bp in evaluated_sets(robust):
-        # rows without a bucket in this set still count for the market
-        part = select_bp_all(cube, bp, robust)
-        parts = part if parts is None else parts.unionByName(part)
+    # rows without a bucket in a set still count for the market
+    parts = reduce(DataFrame.unionByName, [bp_view(cube, bp, robust) for bp in evaluated_sets(robust)])
     counts = parts.groupBy(*FACTOR_KEYS, "jdate").agg(
         F.sum("n_ret").alias("Mkt-RF"),
         _rows_where(any_not_null([port(m) for m in counted])).alias("SMB"),
@@ -98,12 +98,6 @@ def factor_nfirms_2x3(cube: DataFrame, benchmark: DataFrame, robust: tuple[str,
         *FACTOR_KEYS, "jdate", *NFIRMS_COLUMNS)
 
 
-def select_bp_all(cube: DataFrame, bp: str, robust: tuple[str, ...]) -> DataFrame:
-    names = {m: f"{port(m)}_{bp}" if m in robust else port(m) for m in MEASURES}
-    return cube.select(*SERIES, "jdate", "szport", "n_ret", "n_wt", "n_rows",
-                       *[F.col(c).alias(port(m)) for m, c in names.items()], F.lit(bp).alias("bp"))
-
-
 def _rows_where(cond: Column) -> Column:
     return F.coalesce(F.sum(F.when(cond, F.col("n_rows"))), F.lit(0))
 

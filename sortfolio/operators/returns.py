@@ -74,13 +74,16 @@ def vwret() -> Column:
     return guarded_ratio(F.col("retadj_x_wt"), F.col("wt"))
 
 
-def select_bp_columns(cube: DataFrame, bp: str, robust: tuple[str, ...]) -> DataFrame:
-    """Bucket columns of one breakpoint set under their plain names; drops rows without any bucket."""
+def bp_view(cube: DataFrame, bp: str, robust: tuple[str, ...]) -> DataFrame:
+    """The cube with the buckets of one breakpoint set under their plain names."""
     names = {m: f"{port(m)}_{bp}" if m in robust else port(m) for m in MEASURES}
     keep = [c for c in cube.columns if not c.startswith(tuple(port(m) for m in MEASURES))]
-    ports = ["szport"] + [port(m) for m in MEASURES]
-    return (cube.select(*keep, *[F.col(c).alias(port(m)) for m, c in names.items()], F.lit(bp).alias("bp"))
-            .filter(any_not_null(ports)))
+    return cube.select(*keep, *[F.col(c).alias(port(m)) for m, c in names.items()], F.lit(bp).alias("bp"))
+
+
+def select_bp_columns(cube: DataFrame, bp: str, robust: tuple[str, ...]) -> DataFrame:
+    """As :func:`bp_view` without the rows that have no bucket in the set."""
+    return bp_view(cube, bp, robust).filter(any_not_null(["szport"] + [port(m) for m in MEASURES]))
 
 
 def melt_buckets(df: DataFrame, ports: Sequence[str] = tuple(port(m) for m in MEASURES)) -> DataFrame:

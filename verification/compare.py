@@ -22,14 +22,17 @@ def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
     return con
 
 
+def text_of(value: object) -> str:
+    if value is None or value is pd.NaT or value != value:
+        return "<null>"
+    return str(value)[:10] if hasattr(value, "year") else str(value)
+
+
 def canonical(df: pd.DataFrame) -> pd.DataFrame:
+    """Columns by name, dates and text as text, numbers rounded, rows sorted."""
     df = df[sorted(df.columns)].copy()
     for c in df.columns:
-        if df[c].dtype == object or str(df[c].dtype).startswith("datetime") or str(df[c].dtype) in ("str", "string"):
-            df[c] = df[c].map(lambda v: None if v is None or v is pd.NaT or v != v else str(v)[:10] if hasattr(v, "year") else str(v))
-            df[c] = df[c].fillna("<null>")
-        else:
-            df[c] = df[c].astype(float).round(9)
+        df[c] = df[c].astype(float).round(9) if pd.api.types.is_numeric_dtype(df[c]) else df[c].map(text_of)
     return df.sort_values(list(df.columns), kind="stable").reset_index(drop=True)
 
 
@@ -60,15 +63,12 @@ def main(sf_dir: str, names: list[str]) -> int:
             df = query(spark, sf_dir)
             got = df.toPandas()
             mid = time.time()
-            rel = con.execute(sqls[name])
-            want = rel.df()
-            problem = difference(got, want)
-            types = [str(d[1]) for d in rel.description]
+            problem = difference(got, con.execute(sqls[name]).df())
         except Exception as e:  # noqa: BLE001 - report and go on
-            problem, mid, got, types, df = f"{type(e).__name__}: {str(e)[:600]}", time.time(), [], [], None
+            problem, mid, got = f"{type(e).__name__}: {str(e)[:600]}", time.time(), []
         failed += bool(problem)
-        print(f"{'FAIL' if problem else 'ok  '} {name} rows={len(got)} spark={mid - start:.1f}s sql={time.time() - mid:.1f}s {problem}",
-              flush=True)
+        times = f"spark={mid - start:.1f}s sql={time.time() - mid:.1f}s"
+        print(f"{'FAIL' if problem else 'ok  '} {name} rows={len(got)} {times} {problem}", flush=True)
     print("failed:", failed)
     return failed
 

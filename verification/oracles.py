@@ -390,13 +390,11 @@ def pct(part: str, whole: str) -> str:
 
 
 SP = f"{S}, permno, jdate"
+COMPLETE = (f"WHERE ({S}, bp) IN (SELECT ({S}, bp) FROM vw3r GROUP BY {S}, bp "
+            "HAVING count(DISTINCT ptf_code) = 24)")
 _CH16 = "permno, jdate, exchcd, shrcd, prc, shrout, me, dec_me, be, beme, inv, op, revt, cogs, xsga, xint"
 
 
-def _raw_name(a: str, b: str) -> str:
-    return f"{a} {b}"
-
-
 def _job(k: str, robust: str) -> str:
     return f"SELECT date, {r(TABLE)}, '{robust}' AS measures_robust_bp, bp, {S} FROM ft{k}"
 
@@ -475,7 +473,7 @@ def oracle_sql() -> dict[str, str]:
                           "'nf' AS measures_robust_bp, bp, measure FROM ft3r")
     o["write_factor_nfirms"] = (
         "SELECT replace(source_file, 'measures_', '2x3_factors_nfirms_') || '_robust(nf)' AS file, jdate, "
-        + ", ".join(f"\"{c}\"" for c in TABLE) + ", 'nf' AS measures_robust_bp, bp, measure FROM nf3")
+        + ", ".join(f"\"{c}\"" for c in TABLE) + f", 'nf' AS measures_robust_bp, bp, measure FROM nf3 {COMPLETE}")
     o["write_portfolios"] = (
         "SELECT replace(source_file, 'measures_', 'bivariate_sorts_test_portfolios_') AS file, date, ptf_code, "
         f"round(ret, 6) AS ret, sort_on, measure_index AS measure FROM excb JOIN legend USING ({S})")
@@ -634,7 +632,7 @@ def oracle_sql() -> dict[str, str]:
                                f"min(date) AS min_date, max(date) AS max_date FROM exct GROUP BY {S}, sort_on")
     # assembly and jobs
     o["tag_and_union_factors"] = _job("3r", "nf")
-    o["tag_and_union_nfirms"] = f"SELECT {S}, bp, jdate, {tq}, 'nf' AS measures_robust_bp FROM nf3"
+    o["tag_and_union_nfirms"] = f"SELECT {S}, bp, jdate, {tq}, 'nf' AS measures_robust_bp FROM nf3 {COMPLETE}"
     o["measures_legend"] = "SELECT source_file, measure, measure_index AS \"index\" FROM legend"
     o["stack_portfolios"] = _exc("t")
     o["job_factors_2x3"] = _job("3r", "nf")

@@ -252,9 +252,15 @@ def q_write_factors(c: Context) -> DataFrame:
     return _back(c, path).select("file", "date", *factors.FACTOR_COLUMNS, "measures_robust_bp", "bp", "measure")
 
 
+def _complete_nfirms(c: Context) -> DataFrame:
+    """Tagged firm counts of the series that have all portfolios."""
+    complete = returns.completeness_check(c.ptfs("2x3"), jobs.n_portfolios("2x3"), factors.FACTOR_KEYS)
+    return jobs.tag(c.nfirms("2x3").join(complete, factors.FACTOR_KEYS, "left_semi"), ROBUST)
+
+
 def q_write_factor_nfirms(c: Context) -> DataFrame:
     path = landing_path(c.spark, "nfirms_csv")
-    sinks.write_factor_nfirms(jobs.tag(c.nfirms("2x3"), ROBUST), path, "2x3", ROBUST)
+    sinks.write_factor_nfirms(_complete_nfirms(c), path, "2x3", ROBUST)
     cols = [F.col(x).cast("bigint").alias(x) for x in diagnostics.NFIRMS_COLUMNS]
     return _back(c, path).select("file", "jdate", *cols, "measures_robust_bp", "bp", "measure")
 
@@ -666,7 +672,7 @@ OPERATORS: dict[str, Callable[[Context], DataFrame]] = {
     "date_range_summary": q_date_range_summary,
     # assembly and end-to-end jobs
     "tag_and_union_factors": _tagged_factors,
-    "tag_and_union_nfirms": lambda c: jobs.tag(c.nfirms("2x3"), ROBUST),
+    "tag_and_union_nfirms": _complete_nfirms,
     "measures_legend": _legend,
     "stack_portfolios": lambda c: rounded(jobs.with_index(c.excess("three_way"), _legend(c))),
     "job_factors_2x3": _job_factors("2x3", ROBUST),
