@@ -11,7 +11,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sortfolio.llm import rules, simhash
+from sortfolio.llm import chat, rules, simhash, warc
 
 _shipped: set[str] = set()
 
@@ -44,7 +44,25 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *rules.BASE, "base_failed", "kept", F.array_join("failed_rules", ",").alias("failed_rules"))
 
 
+def op3_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages")).drop("payload")
+
+
+def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table's conversations in the ``messages`` layout and conversation -7 in the ``prompt`` layout, as one mixed table."""
+    ok = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, ok, ok)], "conv_id bigint, prompt string, completion string")
+    records = chat.grouped_messages(table(spark, sf_dir, "conversations")).unionByName(extra, allowMissingColumns=True)
+    made = chat.format_chats(chat.canonical_turns(records, ("conv_id",))).select("conv_id", "layout", "formatted", "loss_mask")
+    back = made.withColumns({"turns": chat.parsed(F.col("formatted")), "learnt": chat.masked(F.col("formatted"), F.col("loss_mask"))})
+    return back.select(
+        "conv_id", "layout", F.size("turns").cast("bigint").alias("n_turns"),
+        F.sha2(F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), ""), 256).alias("turns_sha256"),
+        F.length("learnt").cast("bigint").alias("loss_chars"), F.sha2("learnt", 256).alias("loss_sha256"),
+        F.length("formatted").cast("bigint").alias("formatted_chars"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash_near_dedup, op9_quality_rules)}
+    f.__name__: f for f in (op1_simhash_near_dedup, op3_warc_round_trip, op9_quality_rules, op10_chat_formatting)}
 
 SQL: dict[str, str] = {}
