@@ -11,7 +11,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sortfolio.llm import chat, rules, simhash, warc
+from sortfolio.llm import chat, decontaminate, rules, simhash, warc
 
 _shipped: set[str] = set()
 
@@ -39,6 +39,10 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, radius=2)
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated_words(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = rules.quality_rules(table(spark, sf_dir, "documents"))
     return out.select("doc_id", *rules.BASE, "base_failed", "kept", F.array_join("failed_rules", ",").alias("failed_rules"))
@@ -63,6 +67,6 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash_near_dedup, op3_warc_round_trip, op9_quality_rules, op10_chat_formatting)}
+    f.__name__: f for f in (op1_simhash_near_dedup, op3_warc_round_trip, op8_decontamination, op9_quality_rules, op10_chat_formatting)}
 
 SQL: dict[str, str] = {}
