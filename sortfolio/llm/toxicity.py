@@ -6,7 +6,8 @@ prior. With ``R+(y)`` and ``Ru(y)`` the mean losses of toxic and unlabelled text
 ``prior * R+(1) + max(0, Ru(0) - prior * R+(0))``: the second term estimates the clean texts' risk without bias and is kept from
 going below zero, where the fit would turn into learning texts by heart. Numpy on the driver fits it over bounded samples.
 
-Features: presence of hashed words (lower-cased in A-Z), of those only that several toxic texts share.
+Features: presence of hashed words (lower-cased in A-Z) and of their beginnings of ``PREFIXES`` bytes, of those only that several
+toxic texts share and that are at least ``lift`` times as common among them as among unlabelled texts.
 
 Defined cases: null and blank texts have no words and get the bias' score; repeated rows get equal scores; without any toxic
 example all scores are 0; an empty table stays empty; a null key is scored and is never learnt from; other columns are ignored.
@@ -22,22 +23,31 @@ from sortfolio.llm import linear, tokens
 
 POSITIVES, UNLABELLED = 6000, 12000
 THRESHOLD = 0.3
+PREFIXES = range(4, 10)
 
 
 def features(s: tokens.Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     w = tokens.words(s, tokens.ALNUM)
-    row, slot, _ = linear.counted(w.row, linear.slots(w.hash))
+    row, size = w.row, w.stop - w.start
+    rows, slots, data = [row], [linear.slots(w.hash)], tokens.LOWER[s.data]
+    for n in PREFIXES:
+        long = size > n
+        rows.append(row[long])
+        slots.append(linear.slots(tokens.mix(tokens.hashed(data, w.start[long], w.start[long] + n))))
+    row, slot, _ = linear.counted(np.concatenate(rows), np.concatenate(slots))
     return row, slot, np.ones(len(row))
 
 
-def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, least_texts: int = 3, steps: int = 400,
-             rate: float = 0.1, l1: float = 2e-4) -> tuple[np.ndarray, float]:
+def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, least_texts: int = 6, lift: float = 1.3,
+             steps: int = 400, rate: float = 0.1, l1: float = 1e-3) -> tuple[np.ndarray, float]:
     """Weights by slot and bias; each text is its array of distinct slots."""
     weights = np.zeros(1 << linear.BITS)
     if not positive:
         return weights, -30.0
     seen = np.bincount(np.concatenate(positive), minlength=len(weights))
-    used = np.flatnonzero(seen >= min(least_texts, len(positive)))
+    among = np.bincount(np.concatenate([*unlabelled, np.zeros(0, np.int64)]), minlength=len(weights))
+    lifted = seen * max(len(unlabelled), 1) >= lift * among * len(positive)
+    used = np.flatnonzero((seen >= min(least_texts, len(positive))) & lifted)
     place = np.full(len(weights), -1, np.int64)
     place[used] = np.arange(len(used))
 
@@ -66,6 +76,11 @@ def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: fl
         w, b = w - move[:-1], b - move[-1]
         w = np.sign(w) * np.maximum(0, np.abs(w) - rate * l1 * 10)
     weights[used] = w
+    # the share called toxic among unlabelled texts is the class prior: shift the bias until it is
+    z, low, high = np.bincount(sides[1][0], weights=w[sides[1][1]], minlength=sides[1][2]), -60.0, 60.0
+    for _ in range(60 if len(unlabelled) else 0):
+        b = (low + high) / 2
+        low, high = (b, high) if (1 / (1 + np.exp(-np.clip(z + b, -30, 30)))).mean() < prior else (low, b)
     return weights, float(b)
 
 
