@@ -11,7 +11,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sortfolio.llm import chat, decontaminate, pii, quality, rules, simhash, toxicity, warc
+from sortfolio.llm import chat, decontaminate, pieces, pii, quality, rules, simhash, toxicity, warc
 
 _shipped: set[str] = set()
 
@@ -60,6 +60,11 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *rules.BASE, "base_failed", "kept", F.array_join("failed_rules", ",").alias("failed_rules"))
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pieces.encode(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.size("ids").cast("bigint").alias("n_pieces"), "ids", "exact")
+
+
 def op3_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages")).drop("payload")
 
@@ -79,7 +84,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash_near_dedup, op3_warc_round_trip, op5_pii_surrogates, op6_toxicity, op7_quality_classifier,
+    f.__name__: f for f in (op1_simhash_near_dedup, op2_sentencepiece, op3_warc_round_trip, op5_pii_surrogates, op6_toxicity, op7_quality_classifier,
                               op8_decontamination, op9_quality_rules, op10_chat_formatting)}
 
 SQL: dict[str, str] = {}
