@@ -80,15 +80,25 @@ class Vocabulary:
 
     def forward(self, text: str, entry: list[float], size: int) -> tuple[list[float], list[int]]:
         """Best score and piece start of every place, for pieces that begin before ``size``; start -1: the place was an entry."""
-        score = entry + [-np.inf] * (len(text) + 1 - len(entry))
-        back = [-1] * len(score)
+        low, n, longest, table = float("-inf"), len(text), self.longest, self.table
+        score, back = entry + [low] * (n + 1 - len(entry)), [-1] * (n + 1)
         for at in range(size):
             base = score[at]
-            if base == -np.inf:
+            if base == low:
                 continue
-            for end, gain in self.steps(text, at):
-                if base + gain > score[end]:
-                    score[end], back[end] = base + gain, at
+            single = False
+            for end in range(at + 1, min(n, at + longest) + 1):
+                part = text[at:end]
+                if part not in table:
+                    break
+                hit = table[part]
+                if hit is not None:
+                    if end == at + 1:
+                        single = True
+                    if base + hit[1] > score[end]:
+                        score[end], back[end] = base + hit[1], at
+            if not single and base + self.unknown > score[at + 1]:
+                score[at + 1], back[at + 1] = base + self.unknown, at
         return score, back
 
     def ids(self, text: str, back: list[int], end: int) -> list[int]:

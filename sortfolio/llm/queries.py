@@ -11,7 +11,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sortfolio.llm import chat, decontaminate, pieces, pii, quality, rules, simhash, toxicity, warc
+from sortfolio.llm import chat, decontaminate, lm, pieces, pii, quality, rules, simhash, toxicity, warc
 
 _shipped: set[str] = set()
 
@@ -39,6 +39,10 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, radius=2)
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op5_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.replace_pii(table(spark, sf_dir, "documents")).select("doc_id", "n_entities", "text")
 
@@ -84,7 +88,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash_near_dedup, op2_sentencepiece, op3_warc_round_trip, op5_pii_surrogates, op6_toxicity, op7_quality_classifier,
+    f.__name__: f for f in (op1_simhash_near_dedup, op2_sentencepiece, op3_warc_round_trip, op4_lm_scoring, op5_pii_surrogates, op6_toxicity, op7_quality_classifier,
                               op8_decontamination, op9_quality_rules, op10_chat_formatting)}
 
 SQL: dict[str, str] = {}
