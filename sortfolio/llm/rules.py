@@ -29,7 +29,7 @@ THRESHOLDS = (
     ("too_few_letters", "letter_ratio", 0.5, None),
     ("shouting", "upper_ratio", None, 0.5),
     ("word_length", "mean_word_chars", 1.5, 20.0),
-    ("no_stop_words", "stop_ratio", 0.005, None),
+    ("no_stop_words", "has_stop_word", 1, None),
     ("bars", "bar_ratio", None, 0.2),
     ("repeated_lines", "dup_line_ratio", None, 0.5),
     ("bullets", "bullet_line_ratio", None, 0.9),
@@ -44,7 +44,8 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def _words(text: Column) -> Column:
-    return F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    inner = F.btrim(text, F.lit(" \t\n\x0b\f\r"))
+    return F.when(inner == "", F.array().cast("array<string>")).otherwise(F.split(inner, r"[\x20\x09-\x0D]+"))
 
 
 def _repeat_words(words: Column) -> Column:
@@ -59,23 +60,20 @@ def _repeat_words(words: Column) -> Column:
         return F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - 3, F.lit(0))),
                            lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
 
-    def neighbours(x: Column, other: Callable[[int], Column], same: Callable[[Column, Column], Column], k: Column) -> Column:
-        return F.coalesce(same(x, other(k - 1)), F.lit(False)) | F.coalesce(same(x, other(k + 1)), F.lit(False))
-
     def candidates(h: Column) -> Column:
         packed = F.sort_array(F.transform(h, lambda x, i: F.shiftleft(x, place_bits).bitwiseOR(i.cast("bigint"))))
-        part = lambda x, y: F.shiftright(x, place_bits) == F.shiftright(y, place_bits)
-        near = let(packed, lambda s: F.transform(
-            F.filter(s, lambda x, k: neighbours(x, lambda j: F.get(s, j), part, k)),
+        near = lambda x, y: F.shiftrightunsigned(x.bitwiseXOR(y), place_bits) == 0
+        found = let(packed, lambda s: F.transform(
+            F.filter(s, lambda x, k: near(x, F.get(s, k + 1)) | near(x, F.get(s, k - 1))),
             lambda x: x.bitwiseAND(F.lit((1 << place_bits) - 1)).cast("int")))
-        return F.when(F.size(h) <= 1 << place_bits, near).otherwise(F.sequence(F.lit(0), F.size(h) - 1))
+        return F.when(F.size(h) <= 1 << place_bits, found).otherwise(F.sequence(F.lit(0), F.size(h) - 1))
 
     def places(h: Column) -> Column:
         found = let(candidates(h), lambda c: F.sort_array(
             F.transform(c, lambda i: F.struct(F.get(h, i).alias("h"), i.alias("i")))))
-        whole = lambda x, y: x["h"] == y["h"]
+        same = lambda x, y: x["h"] == y["h"]
         return let(found, lambda s: F.sort_array(F.transform(
-            F.filter(s, lambda x, k: neighbours(x, lambda j: F.get(s, j), whole, k)), lambda x: x["i"])))
+            F.filter(s, lambda x, k: same(x, F.get(s, k + 1)) | same(x, F.get(s, k - 1))), lambda x: x["i"])))
 
     def covered(p: Column) -> Column:
         step = F.transform(p, lambda i, k: F.least(F.lit(3), F.coalesce(F.get(p, k + 1) - i, F.lit(3))))
@@ -103,9 +101,9 @@ def features(text: Column) -> Column:
     def of_words(w: Column) -> Column:
         return F.struct(
             F.size(w).cast("bigint").alias("n_words"),
-            F.aggregate(w, F.lit(0).cast("bigint"), lambda a, x: a + F.length(x)).alias("word_chars"),
+            F.length(F.array_join(w, "")).cast("bigint").alias("word_chars"),
             _repeat_words(w).alias("n_repeat_words"),
-            F.size(F.filter(w, lambda x: x.isin(stop))).cast("bigint").alias("n_stop"))
+            F.arrays_overlap(w, F.array(*[F.lit(x) for x in stop])).cast("int").alias("has_stop_word"))
 
     def of_lines(x: Column) -> Column:
         return F.struct(
@@ -125,7 +123,7 @@ def features(text: Column) -> Column:
             w["n_words"], w["word_chars"], symbols, x["n_dup_lines"], w["n_repeat_words"],
             ratio(symbols, w["n_words"]).alias("symbol_ratio"), ratio(letters, w["word_chars"]).alias("letter_ratio"),
             ratio(upper, letters).alias("upper_ratio"), ratio(w["word_chars"], w["n_words"]).alias("mean_word_chars"),
-            ratio(w["n_stop"], w["n_words"]).alias("stop_ratio"), ratio(c["n_bars"], w["n_words"]).alias("bar_ratio"),
+            w["has_stop_word"], ratio(c["n_bars"], w["n_words"]).alias("bar_ratio"),
             ratio(x["n_dup_lines"], x["n_lines"]).alias("dup_line_ratio"), ratio(x["n_bullets"], x["n_lines"]).alias("bullet_line_ratio"))
 
     chars = let(F.regexp_replace(text, r"[^#*$%&|<>]+", ""), of_chars)
