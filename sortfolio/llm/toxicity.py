@@ -76,8 +76,8 @@ def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: fl
         w, b = w - move[:-1], b - move[-1]
         w = np.sign(w) * np.maximum(0, np.abs(w) - rate * l1 * 10)
     weights[used] = w
-    # the share called toxic among unlabelled texts is the class prior: shift the bias until it is
-    z, low, high = np.bincount(sides[1][0], weights=w[sides[1][1]], minlength=sides[1][2]), -60.0, 60.0
+    # no more unlabelled texts than the class prior says should be called toxic: lower the bias until it is so
+    z, low, high = np.bincount(sides[1][0], weights=w[sides[1][1]], minlength=sides[1][2]), -60.0, float(b)
     for _ in range(60 if len(unlabelled) else 0):
         b = (low + high) / 2
         low, high = (b, high) if (1 / (1 + np.exp(-np.clip(z + b, -30, 30)))).mean() < prior else (low, b)
