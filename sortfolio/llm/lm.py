@@ -310,7 +310,7 @@ def scored_rows(docs: DataFrame, name: str, parts, head, key: str, text: str) ->
                 row, h, n, size = word_counts(s)
                 at = np.minimum(np.searchsorted(known, h), max(len(known) - 1, 0))
                 hit = known[at] == h if len(known) else np.zeros(len(h), bool)
-                base = np.bincount(row[hit], weights=logs[at[hit]] * n[hit], minlength=rows)
+                base = np.bincount(row[hit], weights=logs[at[hit]] * n[hit], minlength=rows).astype(np.float64)
                 found = np.bincount(row[hit], weights=n[hit], minlength=rows).astype(np.int64)
                 offsets = np.searchsorted(row[~hit], np.arange(rows + 1)).astype(np.int32)
                 rest = pa.StructArray.from_arrays([pa.array(h[~hit].view(np.int64)), pa.array(n[~hit].astype(np.int32))], ["key", "tf"])
