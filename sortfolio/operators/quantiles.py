@@ -1,10 +1,11 @@
-"""Exact group quantiles with bounded work per task.
-
-Groups of at most ``TASK_ROWS`` rows, which is checked, are sorted as one array per group.
-Beyond that a group is first narrowed: its value range is cut into cells, rows are counted per
-cell with map-side combine, and only the cells that hold a wanted rank are kept and cut again.
-Every cut narrows by a factor of thousands, so few passes leave cells small enough to be ranked
-by a window.  No row is dropped or approximated, and only counts are shuffled by the cuts.
+"""Exact group quantiles with bounded work per task, in one way for groups of any size.
+
+Equal values are counted first (combined on the map side), so no value is hot.  The counts are
+range-partitioned by group and value and landed with their partition's number: a large group
+lies in many partitions, each a run of its sorted values.  Summed counts per group and partition
+are a small table, whose running sums tell which partitions hold a wanted rank; only those are
+ranked by a window inside (group, partition).  No group is ever held by one task, no row is
+dropped and nothing is approximated.
 """
 
 from __future__ import annotations
@@ -17,12 +18,6 @@ from pyspark.sql import functions as F
 
 from sortfolio.landing import land
 
-TASK_ROWS = 1 << 17  # rows of a group or cell that one task may hold
-LINEAR_CELLS = 1 << 16
-LOG_CELLS_PER_OCTAVE = 16
-MAX_LEVELS = 8
-
-
 def _rank_low(p: float, n: Column) -> Column:
     return F.floor(F.lit(p) * (n - 1))
 
@@ -53,79 +48,25 @@ def _name(p: float) -> str:
     return str(p).replace(".", "_")
 
 
-def _cell(x: Column, mn: Column, mx: Column) -> Column:
-    """Cell number of ``x``, never decreasing in ``x``: linear inside one octave, else logarithmic."""
-    one_octave = ((mn > 0) & (mx <= mn * 2)) | ((mx < 0) & (mn >= mx * 2))
-    linear = F.floor(F.try_divide(x - mn, mx - mn) * LINEAR_CELLS)
-    octave = F.least(F.log2(F.abs(x)), F.lit(1025.0)) + 1100.0
-    log = F.when(x == 0, F.lit(0.0)).otherwise(F.signum(x) * F.floor(octave * LOG_CELLS_PER_OCTAVE))
-    return F.when(one_octave, linear).otherwise(log.cast("bigint"))
-
-
-def _refine(v: DataFrame, cells: DataFrame, keys: list[str], probs: Sequence[float]) -> DataFrame:
-    """Cut every cell and keep the pieces that hold a wanted rank."""
-    parts = (
-        v.join(cells.select(*keys, "n", "mn", "mx", F.col("before").alias("base")), keys)
-        .filter((F.col("x") >= F.col("mn")) & (F.col("x") <= F.col("mx")))
-        .groupBy(*keys, "mn", "n", "base", _cell(F.col("x"), F.col("mn"), F.col("mx")).alias("piece"))
-        .agg(F.count("x").alias("c"), F.min("x").alias("new_mn"), F.max("x").alias("new_mx"))
-    )
-    w = Window.partitionBy(*keys, "mn").orderBy("piece").rowsBetween(Window.unboundedPreceding, 0)
-    parts = parts.withColumn("before", F.col("base") + F.sum("c").over(w) - F.col("c"))
-    return parts.filter(_wanted(probs)).select(
-        *keys, "n", "before", "c", F.col("new_mn").alias("mn"), F.col("new_mx").alias("mx"))
-
-
-def exact_quantiles(
-    df: DataFrame, keys: list[str], value: str, probs: Sequence[float],
-    group_rows: int | None = None, task_rows: int | None = None,
-) -> DataFrame:
-    """One row per key with ``n`` and a column ``q_<p>`` for every probability.
-
-    ``group_rows`` is a known upper bound of the rows of any group; without it they are counted.
-    """
-    task_rows = TASK_ROWS if task_rows is None else task_rows
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: Sequence[float]) -> DataFrame:
+    """One row per key with ``n`` and a column ``q_<p>`` for every probability; keys are never missing."""
     v = df.select(*keys, F.col(value).alias("x")).filter(F.col("x").isNotNull())
-    if group_rows is None:
-        group_rows = v.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-    if group_rows <= task_rows:
-        return _of_small_groups(v, keys, probs)
-    return _of_large_groups(v, keys, probs, task_rows)
-
-
-def _of_small_groups(v: DataFrame, keys: list[str], probs: Sequence[float]) -> DataFrame:
-    """Each group is one sorted array of bounded length."""
-    groups = v.groupBy(*keys).agg(F.sort_array(F.collect_list("x")).alias("xs"))
-    n = F.size("xs").cast("bigint")
-    stats = {}
-    for p in probs:
-        stats[f"lo_{_name(p)}"] = F.get("xs", _rank_low(p, n).cast("int"))
-        stats[f"hi_{_name(p)}"] = F.get("xs", _rank_high(p, n).cast("int"))
-    return _finish(groups.select(*keys, n.alias("n"), *[c.alias(k) for k, c in stats.items()]), keys, probs)
-
-
-def _of_large_groups(v: DataFrame, keys: list[str], probs: Sequence[float], task_rows: int) -> DataFrame:
-    sizes = v.groupBy(*keys).agg(F.count("x").alias("n"), F.min("x").alias("mn"), F.max("x").alias("mx"))
-    cells = land(sizes.withColumns({"c": F.col("n"), "before": F.lit(0).cast("bigint")}), "cells")
-    for _ in range(MAX_LEVELS):
-        open_rows = cells.filter(F.col("mn") < F.col("mx")).agg(F.max("c")).first()[0] or 0
-        if open_rows <= task_rows:
-            break
-        cells = land(_refine(v, cells, keys, probs), "cells")
-    counts = (
-        v.join(cells.select(*keys, "n", "mn", "mx", F.col("before").alias("base")), keys)
-        .filter((F.col("x") >= F.col("mn")) & (F.col("x") <= F.col("mx")))
-        .groupBy(*keys, "mn", "n", "base", "x").agg(F.count("x").alias("c"))
-    )
-    upto = Window.partitionBy(*keys, "mn").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counts.withColumn("before", F.col("base") + F.sum("c").over(upto) - F.col("c"))
+    counts = land(v.groupBy(*keys, "x").agg(F.count(F.lit(1)).alias("c")), "values")
+    dealt = land(counts.repartitionByRange(*keys, "x").withColumn("part", F.spark_partition_id()), "dealt")
+    whole = Window.partitionBy(*keys)
+    upto = whole.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)
+    parts = (dealt.groupBy(*keys, "part").agg(F.sum("c").alias("c"))
+             .withColumn("before", F.sum("c").over(upto) - F.col("c")).withColumn("n", F.sum("c").over(whole))
+             .filter(_wanted(probs)).select(*keys, "part", "n", F.col("before").alias("base")))
+    inside = Window.partitionBy(*keys, "part").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = dealt.join(parts, [*keys, "part"]).withColumn(
+        "before", F.col("base") + F.sum("c").over(inside) - F.col("c"))
     n = F.col("n")
     stats = []
     for p in probs:
         stats.append(F.max(F.when(_holds(_rank_low(p, n)), F.col("x"))).alias(f"lo_{_name(p)}"))
         stats.append(F.max(F.when(_holds(_rank_high(p, n)), F.col("x"))).alias(f"hi_{_name(p)}"))
-    wanted = _wanted(probs)
-    return _finish(ranked.filter(wanted).groupBy(*keys).agg(F.max("n").alias("n"), *stats), keys, probs)
+    return _finish(ranked.filter(_wanted(probs)).groupBy(*keys).agg(F.max("n").alias("n"), *stats), keys, probs)
 
 
 def _finish(stats: DataFrame, keys: list[str], probs: Sequence[float]) -> DataFrame:

@@ -21,29 +21,39 @@ from sortfolio.plans.config import (
 CUBE_SUMS = ["retadj_x_wt", "wt", "n_ret", "n_wt", "n_both", "n_rows"]
 
 
-CELL_BITS = 3
+def cell_layout(domains: dict[str, Sequence]) -> dict[str, tuple[int, int]]:
+    """First bit and width of every bucket column in the packed number; 0 stands for a missing bucket."""
+    layout, at = {}, 0
+    for c, labels in domains.items():
+        if isinstance(labels, range) and labels and labels[0] != 1:
+            raise ValueError(f"buckets of {c} must be numbered from 1")
+        width = len(labels).bit_length()
+        layout[c] = (at, width)
+        at += width
+    if at > 63:
+        raise ValueError(f"the buckets of {list(domains)} need {at} bits, more than the 63 of one number")
+    return layout
 
 
 def pack_buckets(june: DataFrame, domains: dict[str, Sequence]) -> DataFrame:
-    """All buckets of a row as one number ``cell``, three bits per column, 0 for a missing bucket.
+    """All buckets of a row as one number ``cell``; a bucket outside its domain is an error.
 
     The wide join and the aggregation then move one number instead of a column per sort.
     """
-    cell = F.lit(0).cast("bigint")
-    for i, (c, labels) in enumerate(domains.items()):
-        if isinstance(labels, range):  # numbered from 1
-            index = F.coalesce(F.col(c), F.lit(0))
-        else:  # array_position reads the bucket once; a chain of comparisons would copy its expression
-            index = F.coalesce(F.array_position(F.array(*[F.lit(label) for label in labels]), F.col(c)), F.lit(0))
-        cell = cell.bitwiseOR(F.shiftleft(index.cast("bigint"), CELL_BITS * i))
+    layout, cell = cell_layout(domains), F.lit(0).cast("bigint")
+    for c, labels in domains.items():
+        # array_position reads the bucket once; a chain of comparisons would copy its expression
+        index = F.array_position(F.array(*[F.lit(label) for label in labels]), F.col(c))
+        known = F.when(index == 0, F.raise_error(F.concat(F.lit(f"{c} has no bucket "), F.col(c).cast("string")))).otherwise(index)
+        cell = cell.bitwiseOR(F.shiftleft(F.coalesce(known, F.lit(0)).cast("bigint"), layout[c][0]))
     return june.select(*SERIES, "permno", "ffyear", cell.alias("cell"))
 
 
 def unpack_buckets(df: DataFrame, domains: dict[str, Sequence]) -> DataFrame:
-    mask = (1 << CELL_BITS) - 1
-    buckets = []
-    for i, (c, labels) in enumerate(domains.items()):
-        index = F.shiftright("cell", CELL_BITS * i).bitwiseAND(F.lit(mask).cast("bigint")).cast("int")
+    layout, buckets = cell_layout(domains), []
+    for c, labels in domains.items():
+        at, width = layout[c]
+        index = F.shiftright("cell", at).bitwiseAND(F.lit((1 << width) - 1).cast("bigint")).cast("int")
         if isinstance(labels, range):
             buckets.append(F.nullif(index, F.lit(0)).alias(c))
         else:

@@ -80,11 +80,8 @@ def nf_eligibility_flag(panel: DataFrame) -> DataFrame:
 
 
 def measure_totals(long: DataFrame) -> DataFrame:
-    """Per series (source file, measure) its place, the sum of absolute values and the rows of its largest June."""
-    junes = long.groupBy("source_file", "measure", "index", "jdate").agg(
-        F.sum(F.abs("nf")).alias("total"), F.count(F.lit(1)).alias("n"))
-    return junes.groupBy("source_file", "measure", "index").agg(
-        F.sum("total").alias("total"), F.max("n").alias("june_rows"))
+    """Per series (source file, measure) its place and the sum of absolute values."""
+    return long.groupBy("source_file", "measure", "index").agg(F.sum(F.abs("nf")).alias("total"))
 
 
 def usable_measures(totals: DataFrame) -> DataFrame:

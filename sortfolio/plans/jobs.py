@@ -36,7 +36,6 @@ class Inputs:
 class Panel:
     pairs: DataFrame  # one row per file, permno and June, landed
     totals: DataFrame  # one row per (file, measure), landed
-    june_rows: int  # upper bound of the rows of one series in one June
 
     benchmark: DataFrame
     returns: DataFrame
@@ -60,7 +59,7 @@ class Panel:
     def quantiles(self) -> DataFrame:
         """Quantiles of every independent sort, landed once for all jobs."""
         return breakpoints.all_quantiles(self.pairs, self.long, breakpoints.CHAR_VARS, ["source_file", "jdate"],
-                                         breakpoints.INDEPENDENT_PROBS, self.june_rows)
+                                         breakpoints.INDEPENDENT_PROBS)
 
     def cube(self, kind: str, robust: tuple[str, ...] = ()) -> DataFrame:
         """Landed monthly sums of a sort; the two median sorts have the same buckets and share one."""
@@ -104,8 +103,7 @@ def prepare_panel(inputs: Inputs, validate: bool = True) -> Panel:
     if validate:  # a repeated pair on either side of the alignment shows up here
         universe.require_unique(pairs, ["source_file", *align.PAIR], "characteristics or measures")
     totals = land(universe.measure_totals(align.attach_measure(pairs)), "totals")
-    june_rows = totals.agg(F.max("june_rows")).first()[0] or 0
-    return Panel(pairs, totals, june_rows, inputs.benchmark, inputs.returns)
+    return Panel(pairs, totals, inputs.benchmark, inputs.returns)
 
 
 def sort_domains(kind: str, robust: tuple[str, ...] = ()) -> dict:
@@ -192,7 +190,7 @@ def dependent_assignments(panel: Panel, n: int = 4) -> DataFrame:
     inside = sized.filter(F.col("sizeport").isNotNull())
     keys = ["source_file", "jdate", "sizeport"]
     quantiles = breakpoints.all_quantiles(
-        inside, panel.explode(inside), CHARS, keys, breakpoints.DEPENDENT_PROBS, panel.june_rows)
+        inside, panel.explode(inside), CHARS, keys, breakpoints.DEPENDENT_PROBS)
     chars_bp, nf_bp = breakpoints.ntile_breakpoints(quantiles, CHARS, config.QUARTILE_PROBS, keys)
     done = assign.assign_ntile_dependent(align.align_breakpoints(sized, chars_bp, keys), n)
     long = align.align_breakpoints(panel.explode(done), nf_bp, ["measure", *keys])

@@ -11,7 +11,8 @@ import argparse
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sortfolio.operators import align, diagnostics
+from sortfolio.landing import drop_landed, land, landed_so_far
+from sortfolio.operators import align, assign, diagnostics
 from sortfolio.operators.align import SERIES
 from sortfolio.plans import config, jobs
 from sortfolio.session import build_session
@@ -21,11 +22,11 @@ JOBS = ("2x3", "2x2", "2x2x2x2x2", "bivariate", "three_way")
 
 
 def load_inputs(spark: SparkSession, returns: str, chars: str, measures: str, factors: str) -> jobs.Inputs:
-    """Tables from files; the published months end at the last return date."""
-    rets = tables.read_returns(spark, returns)
+    """Tables from files, the returns and the published months read once; the latter end at the last return date."""
+    rets = land(tables.read_returns(spark, returns), "returns")
     bench = text.parse_benchmark_factors(text.read_lines(spark, factors))
     return jobs.Inputs(rets, tables.read_characteristics(spark, chars), tables.read_measures(spark, measures),
-                       calendar.clip_to_returns(bench, rets))
+                       land(calendar.clip_to_returns(bench, rets), "benchmark"))
 
 
 def load_published(spark: SparkSession, paths: dict[str, str], benchmark: DataFrame, n_size: int, n_other: int) -> DataFrame:
@@ -39,7 +40,7 @@ def load_published(spark: SparkSession, paths: dict[str, str], benchmark: DataFr
 
 
 def _report(df: DataFrame, out: str, name: str) -> None:
-    df.coalesce(1).write.mode("overwrite").option("header", "true").csv(f"{out}/reports/{name}")
+    df.write.mode("overwrite").option("header", "true").csv(f"{out}/reports/{name}")
 
 
 def report_panel(panel: jobs.Panel, out: str) -> None:
@@ -60,6 +61,12 @@ def run_factors(inputs: jobs.Inputs, panel: jobs.Panel, kind: str, robust: tuple
     _report(diagnostics.factor_coverage_pct(result.nfirms, result.cube), out, f"coverage_{kind}")
     keys = [*SERIES, "bp"]
     _report(diagnostics.date_range_summary(result.factors, keys, F.lit(6)), out, f"date_range_{kind}")
+    june = assign.june_assignments(jobs.assignments(panel, kind, robust), list(jobs.sort_domains(kind, robust)))
+    if kind == "2x3":
+        for name in [p for p in june.columns if p.startswith("nfport")]:
+            _report(diagnostics.size_nf_cell_counts(june, name), out, f"size_{name}_counts_{kind}")
+    if kind == "2x2x2x2x2":
+        _report(diagnostics.portfolio_group_count(june), out, f"portfolio_groups_{kind}")
 
 
 def run_sorts(inputs: jobs.Inputs, panel: jobs.Panel, kind: str, published: DataFrame | None, out: str, fmt: str) -> None:
@@ -70,6 +77,9 @@ def run_sorts(inputs: jobs.Inputs, panel: jobs.Panel, kind: str, published: Data
     sinks.write_legend(result.legend, f"{out}/legend_{kind}", kind, fmt)
     counts = diagnostics.portfolio_nfirms(result.sorts)
     _report(diagnostics.portfolio_coverage_pct(counts, result.cube), out, f"coverage_{kind}")
+    _report(diagnostics.portfolios_per_date(result.sorts), out, f"portfolios_per_date_{kind}")
+    _report(diagnostics.misassigned_check(jobs.assignments(panel, kind)), out, f"misassigned_{kind}")
+    _report(diagnostics.date_range_summary(result.portfolios, [*SERIES, "sort_on"], F.count_distinct("ptf_code")), out, f"date_range_{kind}")
     if published is not None:
         compared = align.compare_portfolios(result.portfolios, published)
         _report(diagnostics.portfolio_correlations(compared), out, f"correlations_{kind}")
@@ -90,7 +100,7 @@ def main(argv: list[str] | None = None) -> None:
     parser.add_argument("--format", default="csv", choices=("csv", "parquet"))
     args = parser.parse_args(argv)
 
-    spark = build_session()
+    spark, before = build_session(), landed_so_far()
     inputs = load_inputs(spark, args.returns, args.chars, args.measures, args.factors)
     panel = jobs.prepare_panel(inputs)
     report_panel(panel, args.out)
@@ -103,6 +113,7 @@ def main(argv: list[str] | None = None) -> None:
             run_sorts(inputs, panel, kind, published, args.out, args.format)
         else:
             run_factors(inputs, panel, kind, tuple(args.robust), args.out, args.format)
+    drop_landed(before)
 
 
 if __name__ == "__main__":

@@ -19,7 +19,8 @@ CHARS_FIELDS = {
     **dict.fromkeys(["prc", "shrout", "me", "dec_me", "be", "beme", "inv", "op", "revt", "cogs", "xsga", "xint"], "double"),
 }
 # spellings of missing and infinite numbers in the files
-CSV_OPTIONS = {"header": "true", "nanValue": "nan", "positiveInf": "inf", "negativeInf": "-inf"}
+# a part whose header differs from the schema's is an error, never read by position
+CSV_OPTIONS = {"header": "true", "enforceSchema": "false", "nanValue": "nan", "positiveInf": "inf", "negativeInf": "-inf"}
 RESERVED = {"permno", "jdate", "date", "source_file", "measure", "nf"}
 
 
@@ -29,9 +30,17 @@ def _clean(df: DataFrame) -> DataFrame:
         for f in df.schema.fields])
 
 
-def _read(spark: SparkSession, path: str, fields: dict[str, str]) -> DataFrame:
-    """Parquet by its own schema, otherwise CSV by header name."""
+def is_parquet(spark: SparkSession, path: str) -> bool:
+    """By name, or by what a folder holds."""
     if path.rstrip("/").endswith(".parquet"):
+        return True
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true")
+    return not found.load(path).select("path").isEmpty()
+
+
+def _read(spark: SparkSession, path: str, fields: dict[str, str]) -> DataFrame:
+    """Parquet by its own schema, otherwise CSV by header name; parts with another column order are an error."""
+    if is_parquet(spark, path):
         df = spark.read.parquet(path)
         return df.select(*[F.col(n).cast(t).alias(n) for n, t in fields.items()])
     header = spark.read.options(**CSV_OPTIONS).csv(path).columns

@@ -61,16 +61,7 @@ def test_result_does_not_depend_on_partitioning(spark, inputs, panel):
 
 def fresh(panel):
     """The same panel without its cached breakpoints and sums."""
-    return jobs.Panel(panel.pairs, panel.totals, panel.june_rows, panel.benchmark, panel.returns)
-
-
-def test_narrowing_gives_the_same_assignment(panel, monkeypatch):
-    """Forcing every June through the large-group path changes no bucket."""
-    cols = ["source_file", "measure", "permno", "jdate", "sizeport", "bmport", "opport", "invport", "nfport"]
-    small = set(map(tuple, jobs.independent_assignments(panel).select(*cols).collect()))
-    monkeypatch.setattr("sortfolio.operators.quantiles.TASK_ROWS", 8)
-    large = set(map(tuple, jobs.independent_assignments(fresh(panel)).select(*cols).collect()))
-    assert small == large and len(small) > 1000
+    return jobs.Panel(panel.pairs, panel.totals, panel.benchmark, panel.returns)
 
 
 def test_duplicate_input_is_rejected(inputs):
@@ -79,11 +70,6 @@ def test_duplicate_input_is_rejected(inputs):
         jobs.prepare_panel(twice)
 
 
-def test_june_rows_bound_every_group(panel):
-    long = panel.long.groupBy("source_file", "measure", "jdate").count()
-    assert long.agg({"count": "max"}).first()[0] <= panel.june_rows
-
-
 def test_legend_counts_from_one(inputs, panel):
     got = {(r.source_file, r.measure): r["index"] for r in jobs.measures_legend(inputs.measures).collect()}
     assert got == {(r.source_file, r.measure): r["index"] for r in panel.legend.collect()}

@@ -23,13 +23,12 @@ def groups() -> dict[str, np.ndarray]:
     }
 
 
-@pytest.mark.parametrize("task_rows", [None, 16])
-def test_matches_numpy(spark, task_rows):
-    """The direct path and the narrowing path (forced by a tiny task size) give the same exact values."""
+def test_matches_numpy(spark):
+    """Groups that fit a partition and groups that lie in many give the exact values."""
     data = groups()
     rows = [(k, float(x)) for k, xs in data.items() for x in xs] + [("normal", None)]
     df = spark.createDataFrame(rows, "g STRING, x DOUBLE").repartition(8)
-    got = {r.g: r for r in exact_quantiles(df, ["g"], "x", PROBS, task_rows=task_rows).collect()}
+    got = {r.g: r for r in exact_quantiles(df, ["g"], "x", PROBS).collect()}
     assert set(got) == set(data)
     for k, xs in data.items():
         assert got[k].n == len(xs)
@@ -41,15 +40,19 @@ def test_matches_numpy(spark, task_rows):
 def test_infinite_values(spark):
     inf = float("inf")
     df = spark.createDataFrame([("a", v) for v in [-inf, 1.0, 2.0, 3.0, inf] * 10], "g STRING, x DOUBLE")
-    for task_rows in (None, 4):
-        row = exact_quantiles(df, ["g"], "x", [0.0, 0.5, 1.0], task_rows=task_rows).first()
-        assert (row["q_0_0"], row["q_0_5"], row["q_1_0"]) == (-inf, 2.0, inf)
-
-
-def test_known_bound_skips_counting_and_agrees(spark):
-    df = spark.createDataFrame([("a", float(i)) for i in range(101)], "g STRING, x DOUBLE")
-    row = exact_quantiles(df, ["g"], "x", [0.2, 0.8], group_rows=101).first()
-    assert (row["q_0_2"], row["q_0_8"]) == (20.0, 80.0)
+    row = exact_quantiles(df, ["g"], "x", [0.0, 0.5, 1.0]).first()
+    assert (row["q_0_0"], row["q_0_5"], row["q_1_0"]) == (-inf, 2.0, inf)
+
+
+def test_one_group_lies_in_several_tasks(spark):
+    """Without merging of small partitions, a group of distinct values is spread over all of them."""
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        row = exact_quantiles(spark.range(100001).selectExpr("'a' AS g", "id * 1.0D AS x"), ["g"], "x", [0.2, 0.8]).first()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    assert (row["n"], row["q_0_2"], row["q_0_8"]) == (100001, 20000.0, 80000.0)
 
 
 def test_empty_input(spark):

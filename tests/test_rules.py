@@ -208,3 +208,24 @@ def test_compare_portfolios_keeps_published_rows(spark):
                                   "date DATE, ptf_code STRING, ret DOUBLE, sort_on STRING")
     rows = align.compare_portfolios(left, right).orderBy("ptf_code").collect()
     assert [(r.ret_x, r.ret_y, r.sort_on_x) for r in rows] == [(0.1, 0.2, "size_bm"), (None, 0.3, None)]
+
+
+def test_packing_of_ten_bins(spark):
+    """Widths follow the domains: every label of ten bins, next to a missing bucket, comes back as it was."""
+    domains = assign.ntile_domains(5, 10)
+    names = list(domains)
+    rows = [("f", "m", 1, 2000, *[(i + k) % len(domains[c]) + 1 if (i + k) % 4 else None for k, c in enumerate(names)]) for i in range(12)]
+    june = spark.createDataFrame(rows, "source_file STRING, measure STRING, permno BIGINT, ffyear INT, " + ", ".join(f"{c} INT" for c in names))
+    back = returns.unpack_buckets(returns.pack_buckets(june, domains), domains).select(*names)
+    assert sorted(map(str, back.collect())) == sorted(map(str, june.select(*names).collect()))
+
+
+def test_packing_refuses_unknown_labels_and_too_many_bits(spark):
+    domains = assign.ntile_domains(5, 5)
+    names = list(domains)
+    june = spark.createDataFrame([("f", "m", 1, 2000, *[6] * len(names))],
+                                 "source_file STRING, measure STRING, permno BIGINT, ffyear INT, " + ", ".join(f"{c} INT" for c in names))
+    with pytest.raises(Exception, match="has no bucket 6"):
+        returns.pack_buckets(june, domains).collect()
+    with pytest.raises(ValueError, match="63"):
+        returns.cell_layout({f"c{i}": range(1, 256) for i in range(8)})

@@ -111,3 +111,42 @@ def test_published_tables_long(spark):
 
 def test_marker_is_the_value_weighted_monthly_block():
     assert config.VW_MONTHLY_MARKER == "Average Value Weighted Returns -- Monthly"
+
+
+def _parts(folder, orders, rows):
+    folder.mkdir()
+    for i, names in enumerate(orders):
+        lines = [",".join(names)] + [",".join(str(r[n]) for n in names) for r in rows]
+        (folder / f"part-{i}.csv").write_text("\n".join(lines) + "\n")
+    return str(folder)
+
+
+@pytest.mark.parametrize("swapped", [False, True])
+def test_parts_with_another_column_order_are_never_read_by_position(spark, tmp_path, swapped):
+    rows = [{"date": "2000-07-31", "permno": 1, "retadj": 0.2, "wt": 7.0, "ffyear": 2000, "jdate": "2000-07-31"}]
+    first = list(tables.RETURNS_FIELDS)
+    other = ["date", "permno", "wt", "retadj", "ffyear", "jdate"] if swapped else first
+    read = tables.read_returns(spark, _parts(tmp_path / "r", [first, other], rows))
+    if swapped:
+        with pytest.raises(Exception, match="CSV header"):
+            read.collect()
+    else:
+        assert {(r.retadj, r.wt) for r in read.collect()} == {(0.2, 7.0)}
+
+
+def test_measure_files_with_several_orders_keep_their_names(spark, tmp_path):
+    rows = [{"permno": 1, "date": 200006, "a": 1.5, "b": 2.5}]
+    paths = []
+    for i, names in enumerate([["permno", "date", "a", "b"], ["date", "b", "a", "permno"]]):
+        _parts(tmp_path / f"m{i}", [names], rows)
+        paths.append(str(tmp_path / f"m{i}" / "part-0.csv"))
+    got = tables.measures_long(tables.read_measures(spark, paths)).collect()
+    assert sorted((r.measure, r.nf) for r in got) == [("a", 1.5), ("a", 1.5), ("b", 2.5), ("b", 2.5)]
+
+
+def test_parquet_folder_without_suffix(spark, tmp_path):
+    path = str(tmp_path / "returns_folder")
+    row = spark.createDataFrame([("2000-07-31", 1, 0.1, 2.0, 2000, day("2000-07-31"))],
+                                "date STRING, permno BIGINT, retadj DOUBLE, wt DOUBLE, ffyear INT, jdate DATE")
+    row.write.parquet(path)
+    assert tables.read_returns(spark, path).collect() == row.collect()

@@ -18,6 +18,7 @@ FLAG = {"size": "is_size_ok", "bm": "is_beme_ok", "inv": "is_inv_ok", "op": "is_
 MEAS = ["bm", "inv", "op", "nf"]
 S = "source_file, measure"
 CTES: dict[str, str] = {}
+MATERIALIZED = {"chars", "meas", "pan", "lng0"}  # computed once, so that no join order can go astray
 
 
 # --- input tables ---------------------------------------------------------------------------
@@ -376,7 +377,7 @@ def sql(body: str) -> str:
         for name in CTES.keys() & words - needed:
             needed.add(name)
             stack.append(CTES[name])
-    ctes = ",\n".join(f"{n} AS ({CTES[n]})" for n in CTES if n in needed)
+    ctes = ",\n".join(f"{n} AS {'MATERIALIZED ' if n in MATERIALIZED else ''}({CTES[n]})" for n in CTES if n in needed)
     return f"WITH {ctes}\n{body}" if ctes else body
 
 
@@ -412,8 +413,7 @@ def _month_codes() -> str:
     return (f"SELECT {S}, jdate, ptf_code, count(*) AS n_rows FROM ("
             f"SELECT {S}, jdate, szport || value || '_' || variable AS ptf_code FROM me2 UNION ALL "
             f"SELECT {S}, jdate, szport || bmport || opport || invport || nfport AS ptf_code FROM mo2 WHERE {five} UNION ALL "
-            f"SELECT {S}, jdate, 'size' || sizeport || '_bm' || bmport AS ptf_code FROM mo5 "
-            f"WHERE sizeport IS NOT NULL AND bmport IS NOT NULL) GROUP BY ALL")
+            f"SELECT {S}, jdate, ptf_code FROM rowsb UNION ALL SELECT {S}, jdate, ptf_code FROM rowst) GROUP BY ALL")
 
 
 def _flat(table: str, variables: list[str], probs: list[float], keys: str, extra: str = "") -> str:
@@ -448,16 +448,21 @@ def oracle_sql() -> dict[str, str]:
         f"SELECT date, {r(['Mkt-RF', 'SMB', 'HML', 'RMW', 'CMA', 'RF'])} FROM bench "
         f"WHERE date < coalesce((SELECT min(date) FROM bench WHERE {gap}), DATE '9999-12-31')")
     cell_names = []
-    for i in range(1, 6):
-        for j in range(1, 6):
-            corner = i in (1, 5) and j in (1, 5)
-            size = {1: "SMALL", 5: "BIG"}[i] if corner else f"ME{i}"
-            cell_names.append(f"('size{i}_bm{j}', '{size} {({1: 'LoBM', 5: 'HiBM'}[j] if corner else f'BM{j}')}')")
-    cells = f"(VALUES {', '.join(cell_names)}) c(code, raw)"
+    for a, b in PUBLISHED:
+        for i in range(1, 6):
+            for j in range(1, 6):
+                corner, raw = i in (1, 5) and j in (1, 5), []
+                for m, k in ((a, i), (b, j)):
+                    if m == "size":
+                        raw.append({1: "SMALL", 5: "BIG"}[k] if corner else f"ME{k}")
+                    else:
+                        raw.append(f"{'Lo' if k == 1 else 'Hi'}{m.upper()}" if corner else f"{m.upper()}{k}")
+                cell_names.append(f"('{a}_{b}', '{a}{i}_{b}{j}', '{' '.join(raw)}')")
+    cells = f"(VALUES {', '.join(cell_names)}) c(sort_on, code, raw)"
     months = "(SELECT DISTINCT date FROM pub_biv)"
     o["parse_benchmark_portfolios"] = (
-        f"SELECT m.date, c.raw AS ptf_code, round(p.ret, 9) AS ret FROM {months} m CROSS JOIN {cells} "
-        "LEFT JOIN pub_biv p ON p.date = m.date AND p.ptf_code = c.code AND p.sort_on = 'size_bm'")
+        f"SELECT m.date, c.raw AS ptf_code, round(p.ret, 9) AS ret, c.sort_on FROM {months} m CROSS JOIN {cells} "
+        "LEFT JOIN pub_biv p ON p.date = m.date AND p.ptf_code = c.code AND p.sort_on = c.sort_on")
     o["clip_to_window"] = ("SELECT jdate AS date, permno, retadj FROM rets, (SELECT min(date) AS a, max(date) AS z FROM bench "
                            "WHERE date <= (SELECT CAST(max(date) AS DATE) FROM rets)) WHERE jdate BETWEEN a AND z")
     grid = ", ".join(f"('{a}_{b}', '{a}{i}_{b}{j}')" for a, b in PUBLISHED for i in range(1, 6) for j in range(1, 6))
@@ -465,7 +470,8 @@ def oracle_sql() -> dict[str, str]:
         f"SELECT m.date, g.ptf_code, p.ret, g.sort_on FROM {months} m CROSS JOIN (VALUES {grid}) g(sort_on, ptf_code) "
         "LEFT JOIN pub_biv p ON p.date = m.date AND p.ptf_code = g.ptf_code AND p.sort_on = g.sort_on")
     o["normalise_portfolio_codes"] = o["benchmark_long"]
-    o["month_end"] = "SELECT permno, date, make_date(date // 100, 6, 30) AS jdate FROM m_alpha"
+    o["month_end"] = " UNION ALL ".join(
+        f"SELECT 'measures_{t}' AS source_file, permno, date, make_date(date // 100, 6, 30) AS jdate FROM m_{t}" for t in ("alpha", "beta"))
     o["formation_calendar"] = "SELECT jdate FROM junes"
     o["formation_year"] = "SELECT permno, jdate, CAST(year(jdate) AS INTEGER) AS ffyear FROM chars"
     # sinks
@@ -543,13 +549,14 @@ def oracle_sql() -> dict[str, str]:
     o["assign_nf_ntile_dependent"] = f"SELECT {SP}, nfport FROM as4"
     o["june_assignments"] = f"SELECT {S}, permno, ffyear, {', '.join(P5)} FROM as2"
     # portfolios
-    o["sort_combinations"] = ("SELECT sort_on, CAST(sum(n_rows) AS BIGINT) AS n_rows, count(DISTINCT ptf_code) AS n_cells "
-                              "FROM srtb GROUP BY sort_on")
+    o["sort_combinations"] = " UNION ALL ".join(
+        "SELECT sort_on, CAST(sum(n_rows) AS BIGINT) AS n_rows, count(DISTINCT ptf_code) AS n_cells "
+        f"FROM {t} GROUP BY sort_on" for t in ("srtb", "srtt"))
     by = ", ".join(RPORTS)
-    o["select_bp_columns"] = (
-        f"SELECT {S}, '20_80' AS bp, jdate, szport, bmport, opport, invport, nfport_20_80 AS nfport, n_rows, n_ret FROM "
+    o["select_bp_columns"] = " UNION ALL ".join(
+        f"SELECT {S}, '{bp}' AS bp, jdate, szport, bmport, opport, invport, nfport_{bp} AS nfport, n_rows, n_ret FROM "
         f"(SELECT {S}, jdate, {by}, count(*) AS n_rows, count(retadj) AS n_ret FROM mo3r GROUP BY {S}, jdate, {by}) "
-        "WHERE coalesce(szport, bmport, opport, invport, nfport_20_80) IS NOT NULL")
+        f"WHERE coalesce(szport, bmport, opport, invport, nfport_{bp}) IS NOT NULL" for bp in ROBUST_SETS)
     cube2 = f"(SELECT {S}, jdate, {', '.join(P5)}, count(*) AS n_rows, count(wt) AS n_wt FROM mo2 GROUP BY ALL)"
     o["melt_buckets"] = " UNION ALL ".join(
         f"SELECT {S}, jdate, szport, '{m}port' AS variable, {m}port AS value, n_rows, n_wt FROM {cube2} "

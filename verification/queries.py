@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import cached_property, lru_cache
+from functools import cached_property, lru_cache, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -96,6 +96,10 @@ def context(spark: SparkSession, sf_dir: str) -> Context:
     return _contexts[key]
 
 
+def _stacked(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
+
+
 def rounded(df: DataFrame, digits: int = 9) -> DataFrame:
     """Results are compared at nine decimals: sums may run in any order."""
     return df.select(*[
@@ -189,10 +193,10 @@ def published_wide(c: Context, sort_on: str, names: dict[str, str] | None = None
     return wide.withColumnsRenamed(names) if names else wide
 
 
-def portfolio_text(c: Context) -> str:
-    wide = published_wide(c, "size_bm")
-    names = [published_name("size_bm", i, j) for i, j in CELLS]
-    values = [F.coalesce(F.format_string("%10.4f", F.col(f"size{i}_bm{j}") * 100), F.lit("")) for i, j in CELLS]
+def portfolio_text(c: Context, sort_on: str = "size_bm") -> str:
+    wide, (a, b) = published_wide(c, sort_on), sort_on.split("_")
+    names = [published_name(sort_on, i, j) for i, j in CELLS]
+    values = [F.coalesce(F.format_string("%10.4f", F.col(f"{a}{i}_{b}{j}") * 100), F.lit("")) for i, j in CELLS]
     month = F.date_format("date", "yyyyMM")
     rows = wide.select(F.lit(1).alias("block"), month.alias("key"), F.concat_ws(",", month, *values).alias("line"))
     equal = wide.select(F.lit(3).alias("block"), month.alias("key"),
@@ -209,8 +213,9 @@ def q_parse_benchmark_factors(c: Context) -> DataFrame:
 
 
 def q_parse_benchmark_portfolios(c: Context) -> DataFrame:
-    parsed = text.parse_benchmark_portfolios(text.read_lines(c.spark, portfolio_text(c)))
-    return rounded(parsed.select("date", "ptf_code", "ret"))
+    return rounded(_stacked([
+        text.parse_benchmark_portfolios(text.read_lines(c.spark, portfolio_text(c, sort_on)))
+        .select("date", "ptf_code", "ret", F.lit(sort_on).alias("sort_on")) for sort_on in config.PUBLISHED_BIVARIATE]))
 
 
 def q_clip_to_window(c: Context) -> DataFrame:
@@ -231,8 +236,8 @@ def q_benchmark_long(c: Context) -> DataFrame:
 
 
 def q_month_end(c: Context) -> DataFrame:
-    wide = fixtures.wide_measures(c.spark, c.sf_dir)["measures_alpha"]
-    return wide.select("permno", "date", month_end(F.col("date"), "yyyyMM").alias("jdate"))
+    return _stacked([wide.select(F.lit(name).alias("source_file"), "permno", "date", month_end(F.col("date"), "yyyyMM").alias("jdate"))
+                     for name, wide in fixtures.wide_measures(c.spark, c.sf_dir).items()])
 
 
 def q_formation_year(c: Context) -> DataFrame:
@@ -435,14 +440,15 @@ def q_assign_3way_robust(c: Context) -> DataFrame:
 # --- portfolios -----------------------------------------------------------------------------
 
 def q_sort_combinations(c: Context) -> DataFrame:
-    ptfs = c.ptfs("bivariate")
-    names = returns.sort_combinations(config.bivariate_sorts())
-    return (ptfs.filter(F.col("sort_on").isin(names)).groupBy("sort_on")
-            .agg(F.sum("n_rows").alias("n_rows"), F.count_distinct("ptf_code").alias("n_cells")))
+    sorts = {"bivariate": config.bivariate_sorts(), "three_way": config.threeway_sorts()}
+    return _stacked([
+        c.ptfs(kind).filter(F.col("sort_on").isin(returns.sort_combinations(own))).groupBy("sort_on")
+        .agg(F.sum("n_rows").alias("n_rows"), F.count_distinct("ptf_code").alias("n_cells")) for kind, own in sorts.items()])
 
 
 def q_select_bp_columns(c: Context) -> DataFrame:
-    return returns.select_bp_columns(c.cube("2x3", ROBUST), "20_80", ROBUST).select(*PAIR_KEYS, *PORTS, "n_rows", "n_ret")
+    return _stacked([returns.select_bp_columns(c.cube("2x3", ROBUST), bp, ROBUST).select(*PAIR_KEYS, *PORTS, "n_rows", "n_ret")
+                     for bp in config.evaluated_sets(ROBUST)])
 
 
 def q_melt_buckets(c: Context) -> DataFrame:
@@ -459,12 +465,13 @@ def _vw(c: Context, kind: str, keys: list[str]) -> DataFrame:
 def q_portfolio_code(c: Context) -> DataFrame:
     pairs = returns.melt_buckets(returns.select_bp_columns(c.cube("2x2"), "", ()))
     five = universe.require_all_assigned(c.cube("2x2x2x2x2"), PORTS)
-    sort = ("size", "bm")
-    two = universe.require_all_assigned(c.cube("bivariate"), ["sizeport", "bmport"])
     kinds = [pairs.select(*SERIES, "jdate", returns.portfolio_code("pair").alias("ptf_code"), "n_rows"),
-             five.select(*SERIES, "jdate", returns.portfolio_code("five").alias("ptf_code"), "n_rows"),
-             two.select(*SERIES, "jdate", returns.portfolio_code("sort", sort).alias("ptf_code"), "n_rows")]
-    return (kinds[0].unionByName(kinds[1]).unionByName(kinds[2])
+             five.select(*SERIES, "jdate", returns.portfolio_code("five").alias("ptf_code"), "n_rows")]
+    for kind, sorts in (("bivariate", config.bivariate_sorts()), ("three_way", config.threeway_sorts())):
+        for sort in sorts:
+            cells = universe.require_all_assigned(c.cube(kind), [config.ntile_port(m) for m in sort])
+            kinds.append(cells.select(*SERIES, "jdate", returns.portfolio_code("sort", sort).alias("ptf_code"), "n_rows"))
+    return (_stacked(kinds)
             .groupBy(*SERIES, "jdate", "ptf_code").agg(F.sum("n_rows").alias("n_rows")))
 
 
