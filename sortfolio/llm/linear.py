@@ -36,8 +36,12 @@ def sample(labels: DataFrame, rows: int, key: str = "doc_id") -> DataFrame:
     return labels.orderBy(F.xxhash64(F.col(key).cast("string"), F.lit("sample")), key).limit(rows)
 
 
-def collect_features(docs: DataFrame, chosen: DataFrame, features: Features, key: str, text: str) -> list[tuple[int, np.ndarray, np.ndarray]]:
-    """``(label, slots, values)`` of the chosen documents, in a fixed order; ``chosen`` is bounded: ``(key, label)``."""
+def collect_features(docs: DataFrame, chosen: DataFrame, features: Features, key: str, text: str,
+                     presence: bool = False) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """``(label, slots, values)`` of the chosen documents, in a fixed order; ``chosen`` is bounded: ``(key, label)``.
+
+    With ``presence`` all values are one and aren't sent.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -48,7 +52,7 @@ def collect_features(docs: DataFrame, chosen: DataFrame, features: Features, key
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).slice(s.first, n), b.column(1).slice(s.first, n),
                      pa.ListArray.from_arrays(offsets, pa.array(slot.astype(np.int32))),
-                     pa.ListArray.from_arrays(offsets, pa.array(value.astype(np.float32)))], ["id", "label", "slots", "values"])
+                     pa.ListArray.from_arrays(offsets * 0 if presence else offsets, pa.array(value.astype(np.float32)))], ["id", "label", "slots", "values"])
 
     kind = docs.schema[key].dataType.simpleString()
     picked = docs.select(F.col(key), F.col(text).alias("__text")).join(F.broadcast(chosen), key)

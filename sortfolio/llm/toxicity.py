@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from sortfolio.llm import linear, tokens
 
-POSITIVES, UNLABELLED = 6000, 12000
+POSITIVES, UNLABELLED = 4000, 8000
 THRESHOLD = 0.3
 PREFIXES = range(4, 10)
 
@@ -93,7 +93,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, key: str = "doc_id"
     positive = linear.sample(known.where("label = 1").select(key, "label").distinct(), POSITIVES)
     # texts that are among the toxic examples may be drawn as unlabelled ones too: unlabelled means any text
     drawn = linear.sample(docs.where(learn).select(key, F.lit(0).alias("label")).distinct(), UNLABELLED)
-    rows = linear.collect_features(docs, positive.unionByName(drawn), features, key, text)
+    rows = linear.collect_features(docs, positive.unionByName(drawn), features, key, text, presence=True)
     return fit_nnpu([s for y, s, _ in rows if y == 1], [s for y, s, _ in rows if y == 0], prior)
 
 
