@@ -4,8 +4,8 @@ Encoding finds the segmentation of largest total score over the model's pieces a
 equal scores the longest last piece wins); characters without a piece become byte pieces. Decoding is the exact inverse, but for
 U+2581, which the format itself uses for a space.
 
-Ordinary texts are encoded whole in one scan; since no piece of such a model runs from a word into a following space, words are
-solved one by one and remembered. Texts above ``giant`` characters are cut into chunks that tasks solve independently:
+Ordinary texts are encoded whole in one scan. Between two characters that stand side by side in no piece every segmentation has a
+border, so the words between such borders are solved one by one and remembered. Texts above ``giant`` characters are cut into chunks that tasks solve independently:
 
 1. A chunk's transfer matrix holds the best score from each entry state to each exit state. A state is the number of characters by
    which a piece reaches over the chunk's border, so there are as many as the longest piece has characters.
@@ -20,6 +20,7 @@ the key and the text are read, so other columns can't clash.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -35,7 +36,6 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 GIANT, CHUNK = 1 << 16, 1 << 14
 CACHE, CACHED_CHARS = 400_000, 64
 SPACE = "▁"
-_UNIT = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 _NORMAL, _USER, _BYTE = 1, 4, 6
 
 
@@ -60,11 +60,38 @@ class Vocabulary:
             self.shown.append(bytes([int(p.piece[3:5], 16)]) if p.type == _BYTE else p.piece.encode() if p.type in (_NORMAL, _USER) else b"")
         self.unknown = least - 10.0
         self.longest = max(map(len, self.table))
-        #: no piece goes on after a word: every word begins a new piece
-        self.splits = not any(re.search(f"[^{SPACE}]{SPACE}", p) for p, v in self.table.items() if v)
+        #: the pieces by their characters, one dictionary a step; "" holds a piece's id and score
+        self.root: dict = {}
+        for piece, hit in self.table.items():
+            if hit:
+                node = self.root
+                for c in piece:
+                    node = node.setdefault(c, {})
+                node[""] = hit
+        self.unit = self._units({p for p, v in self.table.items() if v})
         self.prefix = proto.normalizer_spec.add_dummy_prefix
         self.known: dict[str, bytes] = {}
 
+    @staticmethod
+    def _units(found: set[str]) -> re.Pattern:
+        """Cuts a text where no piece can run over: two neighbours that stand side by side in no piece are always cut.
+
+        Used where the model's pieces allow it: before a space, from a word to a mark, and around characters in no piece. Marks are
+        ASCII punctuation and whatever stands before a mark in some piece; letters and decimals must not be among them.
+        """
+        pairs = {(a, b) for p in found for a, b in zip(p, p[1:])}
+        if any(a != SPACE and b == SPACE for a, b in pairs):
+            return re.compile("(?s).+")
+        used = set("".join(found))
+        marks = {c for c in map(chr, range(33, 127)) if not c.isalnum() and c in used}
+        while more := {a for a, b in pairs if b in marks and a != SPACE} - marks:
+            marks |= more
+        if any(c.isalpha() or c.isdecimal() for c in marks):
+            return re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
+        mark, alone = ("".join(map(re.escape, sorted(x))) for x in (marks, {c for c in map(chr, range(128)) if c != " " and c not in used}))
+        word = f"[^{SPACE}{mark}{alone}]"
+        return re.compile(f"{SPACE}+[{mark}]*{word}*|[{mark}]+{word}*|{word}+" + (f"|[{alone}]" if alone else ""))
+
     def steps(self, text: str, at: int) -> Iterator[tuple[int, float]]:
         """End and score of every piece that begins at ``at``; an unknown character counts as a piece."""
         single = False
@@ -78,44 +105,50 @@ class Vocabulary:
         if not single:
             yield at + 1, self.unknown
 
-    def forward(self, text: str, entry: list[float], size: int) -> tuple[list[float], list[int]]:
-        """Best score and piece start of every place, for pieces that begin before ``size``; start -1: the place was an entry."""
-        low, n, longest, table = float("-inf"), len(text), self.longest, self.table
-        score, back = entry + [low] * (n + 1 - len(entry)), [-1] * (n + 1)
+    def forward(self, text: str, entry: list[float], size: int) -> tuple[list[float], list[int], list[int]]:
+        """Best score, piece start and piece id of every place, for pieces that begin before ``size``.
+
+        Start -1: the place was an entry; id -1: an unknown character.
+        """
+        low, n, root, unknown = float("-inf"), len(text), self.root, self.unknown
+        score = entry + [low] * (n + 1 - len(entry))
+        back, piece = [-1] * (n + 1), [-1] * (n + 1)
         for at in range(size):
             base = score[at]
             if base == low:
                 continue
-            single = False
-            for end in range(at + 1, min(n, at + longest) + 1):
-                part = text[at:end]
-                if part not in table:
+            node, single = root, False
+            for end in range(at, n):
+                node = node.get(text[end])
+                if node is None:
                     break
-                hit = table[part]
+                hit = node.get("")
                 if hit is not None:
-                    if end == at + 1:
+                    if end == at:
                         single = True
-                    if base + hit[1] > score[end]:
-                        score[end], back[end] = base + hit[1], at
-            if not single and base + self.unknown > score[at + 1]:
-                score[at + 1], back[at + 1] = base + self.unknown, at
-        return score, back
+                    if base + hit[1] > score[end + 1]:
+                        score[end + 1], back[end + 1], piece[end + 1] = base + hit[1], at, hit[0]
+            if not single and base + unknown > score[at + 1]:
+                score[at + 1], back[at + 1], piece[at + 1] = base + unknown, at, -1
+        return score, back, piece
 
-    def ids(self, text: str, back: list[int], end: int) -> list[int]:
+    def ids(self, text: str, back: list[int], piece: list[int], end: int) -> list[int]:
         """Piece ids of the path that ends at ``end``, from its entry on."""
         out: list[int] = []
         while back[end] >= 0:
-            part = text[back[end] : end]
-            hit = self.table.get(part)
-            out.extend([hit[0]] if hit else [self.byte_ids[b] for b in reversed(part.encode())])
+            if piece[end] >= 0:
+                out.append(piece[end])
+            else:
+                out.extend(self.byte_ids[b] for b in reversed(text[back[end] : end].encode()))
             end = back[end]
-        return out[::-1]
+        out.reverse()
+        return out
 
     def solved(self, unit: str) -> bytes:
         found = self.known.get(unit)
         if found is None:
-            _, back = self.forward(unit, [0.0], len(unit))
-            found = np.array(self.ids(unit, back, len(unit)), np.int32).tobytes()
+            _, back, piece = self.forward(unit, [0.0], len(unit))
+            found = array("i", self.ids(unit, back, piece, len(unit))).tobytes()
             if len(unit) <= CACHED_CHARS:
                 if len(self.known) >= CACHE:
                     self.known.clear()
@@ -127,8 +160,7 @@ class Vocabulary:
 
     def encode(self, text: str) -> bytes:
         """Ids as 32-bit numbers, one after the other."""
-        text = self.normalised(text)
-        return b"".join(map(self.solved, _UNIT.findall(text) if self.splits else [text] if text else []))
+        return b"".join(map(self.solved, self.unit.findall(self.normalised(text))))
 
     def decode(self, ids: list[int]) -> str:
         text = b"".join(map(self.shown.__getitem__, ids)).decode("utf-8", "replace").replace(SPACE, " ")
@@ -227,7 +259,7 @@ def _origins(chunks: DataFrame, model) -> DataFrame:
         for b in batches:
             for x in b.to_pylist():
                 text = x["text"]
-                _, back = v.forward(text, _entry(np.frombuffer(x["entry"]), text), x["size"])
+                _, back, _ = v.forward(text, _entry(np.frombuffer(x["entry"]), text), x["size"])
                 table = []
                 for end in range(x["size"], min(len(text), x["size"] + v.longest - 1) + 1):
                     while back[end] >= 0:
@@ -255,10 +287,10 @@ def _traced(chunks: DataFrame, model) -> DataFrame:
         v = vocabulary(model.value)
         for b in batches:
             for x in b.to_pylist():
-                _, back = v.forward(x["text"], _entry(np.frombuffer(x["entry"]), x["text"]), x["size"])
+                _, back, piece = v.forward(x["text"], _entry(np.frombuffer(x["entry"]), x["text"]), x["size"])
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([x["row"]], pa.int64()), pa.array([x["chunk"]], pa.int32()),
-                     pa.array([v.ids(x["text"], back, x["size"] + x["exit"])], pa.list_(pa.int32()))], ["row", "chunk", "ids"])
+                     pa.array([v.ids(x["text"], back, piece, x["size"] + x["exit"])], pa.list_(pa.int32()))], ["row", "chunk", "ids"])
 
     return chunks.select("row", "chunk", "size", "text", "entry", "exit").mapInArrow(run, "row bigint, chunk int, ids array<int>")
 
