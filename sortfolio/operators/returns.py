@@ -61,14 +61,27 @@ def unpack_buckets(df: DataFrame, domains: dict[str, Sequence]) -> DataFrame:
     return df.select(*buckets, *[c for c in df.columns if c != "cell"])
 
 
+def june_cells(packed: DataFrame) -> DataFrame:
+    """One row per (file, permno, formation year) with the packed buckets of all its measures as one array.
+
+    The array holds one entry per measure of the file.  Rows are dealt by the keys of the monthly join,
+    which then needs no further shuffle of this side.
+    """
+    return (packed.repartition("permno", "ffyear").groupBy("permno", "ffyear", "source_file")
+            .agg(F.collect_list(F.struct("measure", "cell")).alias("cells")))
+
+
 def monthly_cube(returns: DataFrame, june: DataFrame, domains: dict[str, Sequence]) -> DataFrame:
     """Sums and counts per series, month and combination of buckets; rows without any bucket drop out.
 
-    Both sides of the join grow with the data: neither is broadcast, and AQE splits skewed keys.
+    Both sides of the join grow with the data: neither is broadcast.  A monthly row meets a file's
+    measures as one array and multiplies only after the join, right before the map-side sums.
     """
     packed = pack_buckets(june, domains).filter(F.col("cell") != 0)
     both = F.col("retadj") * F.col("wt")
-    monthly = carry_forward(returns, packed.hint("merge")).filter(F.col("cell").isNotNull())
+    joined = carry_forward(returns, june_cells(packed).hint("merge")).filter(F.col("cells").isNotNull())
+    monthly = joined.withColumn("c", F.explode("cells")).select(
+        "source_file", "c.measure", "c.cell", "jdate", "retadj", "wt")
     cube = monthly.groupBy(*SERIES, "jdate", "cell").agg(
         F.sum(both).alias("retadj_x_wt"), F.sum("wt").alias("wt"),
         F.count("retadj").alias("n_ret"), F.count("wt").alias("n_wt"),

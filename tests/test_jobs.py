@@ -84,3 +84,13 @@ def test_size_halves_and_buckets_partition_the_stocks(panel):
     assert bad == 0 and junes_without_reference.filter("sizeport not in (1, 2)").count() == 0
     assert set(done.columns) >= {config.ntile_port(m) for m in ("size", *config.SORT_MEASURES)}
     assert done.select(*align.SERIES).distinct().count() == 3
+
+
+def test_the_monthly_join_has_one_june_row_per_file_and_stock(panel):
+    """However many measures a file has, a stock's June enters the big join once."""
+    domains = jobs.sort_domains("bivariate")
+    june = assign.june_assignments(jobs.assignments(panel, "bivariate"), list(domains))
+    packed = returns.pack_buckets(june, domains).filter("cell <> 0")
+    cells = returns.june_cells(packed)
+    assert cells.count() == cells.select("source_file", "permno", "ffyear").distinct().count() < packed.count()
+    assert cells.selectExpr("explode(cells)").count() == packed.count()
