@@ -11,7 +11,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sortfolio.llm import chat, decontaminate, lm, pieces, pii, quality, rules, simhash, toxicity, warc
+from sortfolio.llm import chat, decontaminate, lm, oracles, pieces, pii, quality, rules, simhash, toxicity, warc
 
 _shipped: set[str] = set()
 
@@ -91,4 +91,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_simhash_near_dedup, op2_sentencepiece, op3_warc_round_trip, op4_lm_scoring, op5_pii_surrogates, op6_toxicity, op7_quality_classifier,
                               op8_decontamination, op9_quality_rules, op10_chat_formatting)}
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = oracles.oracle_sql()
