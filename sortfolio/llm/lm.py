@@ -332,7 +332,8 @@ def lm_scores(docs: DataFrame, parts: int = 5, held: int = 1, key: str = "doc_id
     table = tables(bit_counts(wide))
     weights, seen = mixer(wide.repartition("key"), spark.sparkContext.broadcast(table))
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    top = words.orderBy(F.desc("n"), "key").limit(HEAD).select("key", "n").toPandas()
+    # written first: collecting an ordered limit would send every task's own top to the driver
+    top = land(words.select("key", "n").orderBy(F.desc("n"), "key").limit(HEAD), "head").toPandas()
     known = top["key"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(known)
     head = spark.sparkContext.broadcast((known[order], np.log10(top["n"].to_numpy(np.float64) + 0.5)[order]))
