@@ -97,9 +97,16 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, key: str = "doc_id"
     return fit_nnpu([s for y, s, _ in rows if y == 1], [s for y, s, _ in rows if y == 0], prior)
 
 
+def fitted(docs: DataFrame, labels: DataFrame, parts: int = 4, held: int = 2, key: str = "doc_id", text: str = "text",
+           label: str = "toxic") -> tuple[np.ndarray, float]:
+    """Weights and bias; labels of the rows with ``crc32(key) mod parts = held`` are never read."""
+    part = linear.part_of(key, parts)
+    return train(docs, labels, (part != held) & (part >= 0), key, text, label)
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, parts: int = 4, held: int = 2, key: str = "doc_id", text: str = "text",
              label: str = "toxic") -> DataFrame:
     """``(key, held_out, score, predicted)``; labels of the rows with ``crc32(key) mod parts = held`` are never read."""
+    weights, bias = fitted(docs, labels, parts, held, key, text, label)
     part = linear.part_of(key, parts)
-    weights, bias = train(docs, labels, (part != held) & (part >= 0), key, text, label)
     return linear.judged(linear.scores(docs, weights, bias, features, key, text), part == held, THRESHOLD, key)
