@@ -1,11 +1,15 @@
 """SentencePiece encoding and decoding with a public model file.
 
-Encoding finds the segmentation of largest total score over the model's pieces and scores (max-plus, as a unigram model does; among
-equal scores the longest last piece wins); characters without a piece become byte pieces. Decoding is the exact inverse, but for
-U+2581, which the format itself uses for a space.
+Characters without a piece become byte pieces. Decoding is the exact inverse, but for U+2581, which the format itself uses for a space.
+Encoding has two ways; ``own`` takes the one that the file's kind asks for, and the queries do so. Else it is the second for any file.
+
+* Merge order (BPE files): starting from characters, the neighbours whose joint piece has the best score are joined, the leftmost among equal
+  ones, until no two neighbours make a piece.
+* Best path (unigram files): the segmentation of largest total score over the model's pieces (max-plus; among equal scores the longest last piece wins).
 
 Ordinary texts are encoded whole in one scan. Between two characters that stand side by side in no piece every segmentation has a
-border, so the words between such borders are solved one by one and remembered. Texts above ``giant`` characters are cut into chunks that tasks solve independently:
+border, so the words between such borders are solved one by one and remembered. Texts above ``giant`` characters are cut into chunks
+that tasks solve independently. For merge order, chunks end at such borders. For the best path they have any end:
 
 1. A chunk's transfer matrix holds the best score from each entry state to each exit state. A state is the number of characters by
    which a piece reaches over the chunk's border, so there are as many as the longest piece has characters.
@@ -23,6 +27,7 @@ import re
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pandas as pd
@@ -37,16 +42,20 @@ GIANT, CHUNK = 1 << 16, 1 << 14
 CACHE, CACHED_CHARS = 400_000, 64
 SPACE = "▁"
 _NORMAL, _USER, _BYTE = 1, 4, 6
+_UNUSED, _BPE = 5, 2
 
 
 class Vocabulary:
-    """Pieces, scores and byte pieces of a model."""
+    """Pieces, scores and byte pieces of a model; ``own``: encodes as the file's kind asks."""
 
-    def __init__(self, model: bytes):
+    def __init__(self, model: bytes, own: bool = False):
         from sentencepiece import sentencepiece_model_pb2
 
         proto = sentencepiece_model_pb2.ModelProto()
         proto.ParseFromString(model)
+        self.merges = own and proto.trainer_spec.model_type == _BPE
+        if self.merges and any(p.type in (_USER, _UNUSED) for p in proto.pieces):
+            raise ValueError("user-defined and unused pieces of a merge-order model aren't supported")
         self.table: dict[str, tuple[int, float] | None] = {}  # None: only the beginning of pieces
         self.byte_ids, self.shown = [0] * 256, []
         least = min(p.score for p in proto.pieces)
@@ -144,11 +153,50 @@ class Vocabulary:
         out.reverse()
         return out
 
+    def merged(self, unit: str) -> list[int]:
+        """Piece ids by merge order: over a linked list of parts and a heap of the joins that are possible."""
+        table, n = self.table, len(unit)
+        whole = table.get(unit) if n == 1 else None
+        if whole is not None:
+            return [whole[0]]
+        part: list[str] = list(unit)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        # best score first, then the leftmost place; the joint piece tells whether an entry still holds
+        heap = [(-hit[1], i, two) for i in range(n - 1) if (hit := table.get(two := unit[i : i + 2])) is not None]
+        heapify(heap)
+        while heap:
+            _, i, two = heappop(heap)
+            j = after[i]
+            if not part[i] or j == n or len(part[i]) + len(part[j]) != len(two):
+                continue
+            part[i], part[j] = two, ""
+            k = after[i] = after[j]
+            if k < n:
+                before[k] = i
+                if (hit := table.get(more := two + part[k])) is not None:
+                    heappush(heap, (-hit[1], i, more))
+            h = before[i]
+            if h >= 0 and (hit := table.get(more := part[h] + two)) is not None:
+                heappush(heap, (-hit[1], h, more))
+        out: list[int] = []
+        for p in part:
+            if p:
+                hit = table.get(p)
+                if hit is not None:
+                    out.append(hit[0])
+                else:
+                    out.extend(self.byte_ids[b] for b in p.encode())
+        return out
+
     def solved(self, unit: str) -> bytes:
         found = self.known.get(unit)
         if found is None:
-            _, back, piece = self.forward(unit, [0.0], len(unit))
-            found = array("i", self.ids(unit, back, piece, len(unit))).tobytes()
+            if self.merges:
+                ids = self.merged(unit)
+            else:
+                _, back, piece = self.forward(unit, [0.0], len(unit))
+                ids = self.ids(unit, back, piece, len(unit))
+            found = array("i", ids).tobytes()
             if len(unit) <= CACHED_CHARS:
                 if len(self.known) >= CACHE:
                     self.known.clear()
@@ -168,8 +216,8 @@ class Vocabulary:
 
 
 @lru_cache(maxsize=2)
-def vocabulary(model: bytes) -> Vocabulary:
-    return Vocabulary(model)
+def vocabulary(model: bytes, own: bool = False) -> Vocabulary:
+    return Vocabulary(model, own)
 
 
 def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -228,6 +276,39 @@ def _cut(docs: DataFrame, model, chunk: int) -> DataFrame:
         run, f"row bigint, id {kind}, sha string, chunk int, size int, last boolean, text string")
 
 
+def _cut_at_borders(docs: DataFrame, model, chunk: int) -> DataFrame:
+    """``(row, id, sha, chunk, text)``: chunks of whole units, of ``chunk`` characters or the unit that goes beyond."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = vocabulary(model.value, True)
+        for b in batches:
+            for k in range(b.num_rows):
+                text, ends = v.normalised(b.column(2)[k].as_py()), [0]
+                for m in v.unit.finditer(text):
+                    if m.end() - ends[-1] >= chunk or m.end() == len(text):
+                        ends.append(m.end())
+                n = len(ends) - 1
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([b.column(0)[k].as_py()] * n, pa.int64()), pa.array([b.column(1)[k].as_py()] * n, b.column(1).type),
+                     pa.array([b.column(3)[k].as_py()] * n, pa.string()), pa.array(range(n), pa.int32()),
+                     pa.array([text[x:y] for x, y in zip(ends, ends[1:])], pa.string())], ["row", "id", "sha", "chunk", "text"])
+
+    kind = docs.schema["id"].dataType.simpleString()
+    return docs.withColumn("row", F.monotonically_increasing_id()).select("row", "id", "text", F.sha2("text", 256)).mapInArrow(
+        run, f"row bigint, id {kind}, sha string, chunk int, text string")
+
+
+def _merged(chunks: DataFrame, model) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = vocabulary(model.value, True)
+        for b in batches:
+            for k in range(b.num_rows):
+                ids = b"".join(map(v.solved, v.unit.findall(b.column(2)[k].as_py())))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(k, 1), b.column(1).slice(k, 1), _list_array([ids])], ["row", "chunk", "ids"])
+
+    return chunks.select("row", "chunk", "text").mapInArrow(run, "row bigint, chunk int, ids array<int>")
+
+
 def _matrices(chunks: DataFrame, model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(model.value)
@@ -295,18 +376,24 @@ def _traced(chunks: DataFrame, model) -> DataFrame:
     return chunks.select("row", "chunk", "size", "text", "entry", "exit").mapInArrow(run, "row bigint, chunk int, ids array<int>")
 
 
-def encode_giants(docs: DataFrame, model, chunk: int) -> DataFrame:
+def encode_giants(docs: DataFrame, model, chunk: int, own: bool = False) -> DataFrame:
     """``(id, sha, ids)`` of texts solved chunk by chunk."""
     at = ["row", "chunk"]
-    chunks = land(_cut(docs, model, chunk).repartition(*at), "chunks")
+    merges = vocabulary(model.value, own).merges
+    chunks = land((_cut_at_borders if merges else _cut)(docs, model, chunk).repartition(*at), "chunks")
+    traced = land(_merged(chunks, model) if merges else _solved(chunks, model, at), "traced")
+    whole = traced.groupBy("row").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("chunk", "ids"))), lambda x: x["ids"])).alias("ids"))
+    return chunks.where("chunk = 0").select("row", "id", "sha").join(whole, "row").drop("row")
+
+
+def _solved(chunks: DataFrame, model, at: list[str]) -> DataFrame:
+    """Pieces of a unigram model's chunks, each between the borders of its text's best path."""
     found = land(_matrices(chunks, model), "matrices")
     entry = land(found.groupBy("row").applyInPandas(_entry_scores, "row bigint, chunk int, entry binary"), "entries")
     begun = land(chunks.join(entry, at), "begun")
     origin = land(_origins(begun, model), "origins")
     exits = land(origin.groupBy("row").applyInPandas(_exits, "row bigint, chunk int, exit int"), "exits")
-    traced = land(_traced(begun.join(exits, at), model), "traced")
-    whole = traced.groupBy("row").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("chunk", "ids"))), lambda x: x["ids"])).alias("ids"))
-    return chunks.where("chunk = 0").select("row", "id", "sha").join(whole, "row").drop("row")
+    return _traced(begun.join(exits, at), model)
 
 
 def _list_array(parts: list[bytes]) -> pa.Array:
@@ -314,13 +401,14 @@ def _list_array(parts: list[bytes]) -> pa.Array:
     return pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(parts), np.int32)))
 
 
-def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", model_path: str = MODEL, giant: int = GIANT, chunk: int = CHUNK) -> DataFrame:
+def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", model_path: str = MODEL, giant: int = GIANT, chunk: int = CHUNK,
+           own: bool = False) -> DataFrame:
     """``(key, ids, exact)``: the piece ids of each text, and whether they decode to the very text."""
     with open(model_path, "rb") as f:  # a tokenizer file is installed on the driver and sent from there
         model = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = vocabulary(model.value)
+        v = vocabulary(model.value, own)
         for b in batches:
             ids, exact, size, first = [], [], 0, 0
             for k, t in enumerate(b.column(1).to_pylist()):
@@ -344,7 +432,7 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", model_path:
     large = F.coalesce(F.length("text") > giant, F.lit(False))
     out = f"id {kind}, ids array<int>, exact boolean"
     small = rows.where(~large).mapInArrow(run, out)
-    big = encode_giants(rows.where(large), model, chunk).select("id", "sha", "ids").mapInArrow(check, out)
+    big = encode_giants(rows.where(large), model, chunk, own).select("id", "sha", "ids").mapInArrow(check, out)
     return small.unionByName(big).withColumnRenamed("id", key)
 
 

@@ -65,7 +65,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = pieces.encode(table(spark, sf_dir, "documents"))
+    out = pieces.encode(table(spark, sf_dir, "documents"), own=True)
     return out.select("doc_id", F.size("ids").cast("bigint").alias("n_pieces"), "ids", "exact")
 
 
