@@ -78,5 +78,31 @@ SELECT conv_id, CASE WHEN conv_id = -7 THEN 'prompt' ELSE 'messages' END AS layo
 FROM c GROUP BY conv_id"""
 
 
+def phrase_collocations(least: int = 10, top: int = 2000, share: int = 50) -> str:
+    million = "CAST(1000000 AS HUGEINT)"
+    cut = lambda l, r: f"{million} * a * a // (CAST({l} AS HUGEINT) * {r})"
+    return rf"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({_LOWER}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+g AS (SELECT lang, w, unnest(range(1, CAST(len(w) + 1 AS BIGINT))) AS i FROM w),
+f1 AS (SELECT lang, w[i] AS x, count(*) AS n FROM g GROUP BY ALL),
+f2 AS (SELECT lang, w[i] AS x, w[i + 1] AS y, count(*) AS a FROM g WHERE i < len(w) GROUP BY ALL),
+f3 AS (SELECT lang, w[i] AS x, w[i + 1] AS y, w[i + 2] AS z, count(*) AS a FROM g WHERE i + 1 < len(w) GROUP BY ALL HAVING count(*) >= {least}),
+total AS (SELECT lang, CAST(sum(n) AS BIGINT) AS n FROM f1 GROUP BY lang),
+inside AS (SELECT lang, x, y, max(a) AS longer FROM (SELECT lang, x, y, a FROM f3 UNION ALL SELECT lang, y, z, a FROM f3) GROUP BY ALL),
+two AS (SELECT c.lang, c.x || ' ' || c.y AS phrase, c.a, l.n AS l, r.n AS r, {cut('l.n', 'r.n')} AS score
+        FROM f2 c JOIN f1 l ON l.lang = c.lang AND l.x = c.x JOIN f1 r ON r.lang = c.lang AND r.x = c.y
+        LEFT JOIN inside i ON i.lang = c.lang AND i.x = c.x AND i.y = c.y WHERE c.a >= {least} AND 100 * coalesce(i.longer, 0) < {share} * c.a),
+cuts AS (SELECT c.lang, c.x || ' ' || c.y || ' ' || c.z AS phrase, c.a, l1.n AS l1, r1.a AS r1, l2.a AS l2, r2.n AS r2
+         FROM f3 c JOIN f1 l1 ON l1.lang = c.lang AND l1.x = c.x JOIN f2 r1 ON r1.lang = c.lang AND r1.x = c.y AND r1.y = c.z
+         JOIN f2 l2 ON l2.lang = c.lang AND l2.x = c.x AND l2.y = c.y JOIN f1 r2 ON r2.lang = c.lang AND r2.x = c.z),
+three AS (SELECT lang, phrase, a, CASE WHEN s2 < s1 THEN l2 ELSE l1 END AS l, CASE WHEN s2 < s1 THEN r2 ELSE r1 END AS r, least(s1, s2) AS score
+          FROM (SELECT *, {cut('l1', 'r1')} AS s1, {cut('l2', 'r2')} AS s2 FROM cuts)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank
+           FROM (SELECT * FROM two UNION ALL SELECT * FROM three))
+SELECT lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM ranked JOIN total USING (lang) WHERE rank <= {top}"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op8_decontamination": decontamination(), "op9_quality_rules": quality_rules(), "op10_chat_formatting": chat_formatting()}
+    return {"op8_decontamination": decontamination(), "op9_quality_rules": quality_rules(), "op10_chat_formatting": chat_formatting(),
+            "op11_phrase_collocations": phrase_collocations()}

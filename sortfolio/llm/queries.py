@@ -11,7 +11,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sortfolio.llm import bpe, chat, decontaminate, lm, oracles, pieces, pii, quality, rules, simhash, toxicity, warc
+from sortfolio.llm import bpe, chat, decontaminate, lm, oracles, phrases, pieces, pii, quality, rules, simhash, toxicity, warc, whitening
 
 _shipped: set[str] = set()
 
@@ -87,6 +87,14 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length("formatted").cast("bigint").alias("formatted_chars"))
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.phrases(table(spark, sf_dir, "documents"))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
 def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = bpe.decode(bpe.encode(table(spark, sf_dir, "documents")))
     return out.select("doc_id", "n_tokens", F.sha2("packed", 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
@@ -94,6 +102,6 @@ def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_simhash_near_dedup, op2_sentencepiece, op3_warc_round_trip, op4_lm_scoring, op5_pii_surrogates, op6_toxicity, op7_quality_classifier,
-                              op8_decontamination, op9_quality_rules, op10_chat_formatting, op13_bpe)}
+                              op8_decontamination, op9_quality_rules, op10_chat_formatting, op11_phrase_collocations, op12_embedding_whitening, op13_bpe)}
 
 SQL: dict[str, str] = oracles.oracle_sql()
