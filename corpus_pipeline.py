@@ -12,14 +12,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sortfolio.llm import decontaminate, linear, minhash, pieces, pii, toxicity
+from sortfolio.llm import decontaminate, linear, pieces, pii, simhash, toxicity
 from sortfolio.llm.queries import ship, table
 from sortfolio.llm.storage import land
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-#: near-duplicates: shingles of five words, links at a Jaccard similarity of 0.8 or more
-SHINGLE, SIMILARITY = 5, 0.8
+#: near-duplicates: fingerprints of three-word shingles, linked at two or fewer differing bits
+SHINGLE, RADIUS = 3, 2
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
@@ -40,9 +40,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """One document of each class: the one with the smallest key, a null one last; of equal keys the first row."""
     ship(spark)
     rows = _numbered(docs)
-    classes = minhash.near_copies(rows, SHINGLE, SIMILARITY, key="__row")
+    classes = simhash.near_duplicates(rows, SHINGLE, RADIUS, key="__row").select("__row", "component_id")
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "__row")
-    first = classes.join(rows.select("doc_id", "__row"), "__row").groupBy("component").agg(F.min(order).alias("first"))
+    first = classes.join(rows.select("doc_id", "__row"), "__row").groupBy("component_id").agg(F.min(order).alias("first"))
     return rows.join(land(first.select("first.__row"), "kept"), "__row", "left_semi").drop("__row")
 
 
