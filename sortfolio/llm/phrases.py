@@ -33,11 +33,11 @@ from sortfolio.llm.storage import land
 
 LEAST, TOP, SHARE = 10, 2000, 50
 #: text that one automaton of a shard counts, and text and frequent n-grams per prefix range
-SHARD_BYTES, RANGE_BYTES, RANGE_GRAMS = 1 << 24, 1 << 22, 1 << 18
+SHARD_BYTES, RANGE_BYTES, RANGE_GRAMS = 1 << 23, 1 << 22, 1 << 18
 #: at most so many ranges, and texts and n-grams of the sample that bounds are taken from
 RANGES, SAMPLE_TEXTS, SAMPLE_GRAMS = 1 << 16, 1 << 12, 1 << 5
 #: automata that a task holds before it unites them
-HELD_BYTES = 1 << 25
+HELD_BYTES = 1 << 23
 BATCH_BYTES = 1 << 22
 MILLION = 1_000_000
 _SHARDS = [pa.field("range", pa.int32()), pa.field("automaton", pa.binary())]
@@ -108,7 +108,7 @@ def shards(docs: DataFrame, bounds: list[tuple[bytes, ...]], longest: int, shard
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for b in batches:
-            for s in tokens.slices(b.column(0), shard // 2):
+            for s in tokens.slices(b.column(0), shard // 4):
                 held.append(_grams(s, b.column(1).slice(s.first, len(s.begin)), longest))
                 size += len(s.data)
                 if size >= shard:
