@@ -34,7 +34,7 @@ from sortfolio.llm.storage import land
 LEAST, TOP, SHARE = 10, 2000, 50
 #: text that one automaton of a shard counts, and text and frequent n-grams per prefix range
 SHARD_BYTES, RANGE_BYTES, RANGE_GRAMS = 1 << 23, 1 << 22, 1 << 18
-#: at most so many ranges, and texts and n-grams of the sample that bounds are taken from
+#: at most so many ranges; texts, and n-grams of each, in the sample that bounds are taken from
 RANGES, SAMPLE_TEXTS, SAMPLE_GRAMS = 1 << 16, 1 << 12, 1 << 5
 #: automata that a task holds before it unites them
 HELD_BYTES = 1 << 23
@@ -81,7 +81,7 @@ def _grams(s: tokens.Slice, lang: pa.Array, longest: int) -> Paths:
 
 
 def _bounds(docs: DataFrame, size: int, ranges: int, longest: int) -> list[tuple[bytes, ...]]:
-    """About evenly spaced n-grams of the corpus, from a sample of at most ``SAMPLE_TEXTS`` texts and ``SAMPLE_GRAMS`` n-grams of each."""
+    """About evenly spaced n-grams of the corpus, from ``SAMPLE_GRAMS`` n-grams of each of about ``SAMPLE_TEXTS`` texts; at most twice so many."""
     if ranges < 2 or not size:
         return []
 
@@ -94,9 +94,8 @@ def _bounds(docs: DataFrame, size: int, ranges: int, longest: int) -> list[tuple
                 columns = [p.words.take(pa.array(c)) for c in p.word_of(longest, at)]
                 yield pa.RecordBatch.from_arrays([c.cast(pa.binary()) for c in columns], [f"w{k}" for k in range(longest + 1)])
 
-    share = min(1.0, 2.0 * SAMPLE_TEXTS / size)
-    some = docs.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) <= int(share * (1 << 20))).limit(SAMPLE_TEXTS)
-    rows = some.mapInArrow(run, ", ".join(f"w{k} binary" for k in range(longest + 1))).distinct().collect()
+    some = docs.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) <= int(min(1.0, SAMPLE_TEXTS / size) * (1 << 20)))
+    rows = some.mapInArrow(run, ", ".join(f"w{k} binary" for k in range(longest + 1))).distinct().limit(2 * SAMPLE_TEXTS * SAMPLE_GRAMS).collect()
     grams = sorted({tuple(bytes(w) for w in r) for r in rows})
     return sorted({grams[i] for i in np.linspace(0, len(grams), ranges + 1).astype(int)[1:-1]}) if grams else []
 
