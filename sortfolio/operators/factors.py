@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sortfolio.functions.sums import exact_sum
 from sortfolio.operators.align import SERIES, series_calendar
 from sortfolio.operators.returns import completeness_check, wavg_market_return
 from sortfolio.plans.config import (
@@ -16,18 +17,20 @@ FACTOR_COLUMNS = ["Mkt-RF", "SMB", "HML", "CMA", "RMW", "XMY"]
 
 
 def _weighted(weights: dict[str, float]) -> Column:
-    """Sum of weight times return; portfolios outside the factor and missing returns count as 0."""
+    """Weight times return; missing for portfolios outside the factor."""
     by_weight: dict[float, list[str]] = {}
     for code, w in weights.items():
         by_weight.setdefault(w, []).append(code)
     value = F.lit(None).cast("double")
     for w, codes in by_weight.items():
         value = F.when(F.col("ptf_code").isin(codes), F.col("vwret") * w).otherwise(value)
-    return F.coalesce(F.sum(value), F.lit(0.0))
+    return value
 
 
 def _spread_sums(ptfs: DataFrame, weights: dict[str, dict[str, float]], keys: list[str]) -> DataFrame:
-    return ptfs.groupBy(*keys, "jdate").agg(*[_weighted(w).alias(f) for f, w in weights.items()])
+    """Sums of weight times return; portfolios outside the factor and missing returns count as 0."""
+    parts = ptfs.select(*keys, "jdate", *[_weighted(w).alias(f) for f, w in weights.items()])
+    return parts.groupBy(*keys, "jdate").agg(*[F.coalesce(exact_sum(F.col(f)), F.lit(0.0)).alias(f) for f in weights])
 
 
 def linear_spreads(ptfs: DataFrame, benchmark: DataFrame, weights: dict[str, dict[str, float]],

@@ -13,11 +13,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sortfolio.functions.columns import all_not_null, any_not_null, guarded_ratio
+from sortfolio.functions.sums import exact_sum
 from sortfolio.operators.align import SERIES, carry_forward, series_calendar
 from sortfolio.plans.config import (
     DEFAULT_SET, FIVE_ORDER, MEASURES, SORT_MEASURES, evaluated_sets, ntile_port, port,
 )
 
+EXACT = ("retadj_x_wt", "wt")  # doubles, summed alike in any order
 CUBE_SUMS = ["retadj_x_wt", "wt", "n_ret", "n_wt", "n_both", "n_rows"]
 
 
@@ -61,17 +63,18 @@ def unpack_buckets(df: DataFrame, domains: dict[str, Sequence]) -> DataFrame:
     return df.select(*buckets, *[c for c in df.columns if c != "cell"])
 
 
-def june_cells(packed: DataFrame) -> DataFrame:
+def june_cells(packed: DataFrame, buckets: int | None = None) -> DataFrame:
     """One row per (file, permno, formation year) with the packed buckets of all its measures as one array.
 
     The array holds one entry per measure of the file.  Rows are dealt by the keys of the monthly join,
-    which then needs no further shuffle of this side.
+    which then needs no further shuffle of this side; ``buckets`` deals them as returns stored in so many buckets are.
     """
-    return (packed.repartition("permno", "ffyear").groupBy("permno", "ffyear", "source_file")
+    dealt = packed.repartition(buckets, "permno", "ffyear") if buckets else packed.repartition("permno", "ffyear")
+    return (dealt.groupBy("permno", "ffyear", "source_file")
             .agg(F.collect_list(F.struct("measure", "cell")).alias("cells")))
 
 
-def monthly_cube(returns: DataFrame, june: DataFrame, domains: dict[str, Sequence]) -> DataFrame:
+def monthly_cube(returns: DataFrame, june: DataFrame, domains: dict[str, Sequence], buckets: int | None = None) -> DataFrame:
     """Sums and counts per series, month and combination of buckets; rows without any bucket drop out.
 
     Both sides of the join grow with the data: neither is broadcast.  A monthly row meets a file's
@@ -79,18 +82,18 @@ def monthly_cube(returns: DataFrame, june: DataFrame, domains: dict[str, Sequenc
     """
     packed = pack_buckets(june, domains).filter(F.col("cell") != 0)
     both = F.col("retadj") * F.col("wt")
-    joined = carry_forward(returns, june_cells(packed).hint("merge")).filter(F.col("cells").isNotNull())
+    joined = carry_forward(returns, june_cells(packed, buckets).hint("merge")).filter(F.col("cells").isNotNull())
     monthly = joined.withColumn("c", F.explode("cells")).select(
         "source_file", "c.measure", "c.cell", "jdate", "retadj", "wt")
     cube = monthly.groupBy(*SERIES, "jdate", "cell").agg(
-        F.sum(both).alias("retadj_x_wt"), F.sum("wt").alias("wt"),
+        exact_sum(both).alias("retadj_x_wt"), exact_sum(F.col("wt")).alias("wt"),
         F.count("retadj").alias("n_ret"), F.count("wt").alias("n_wt"),
         F.count(both).alias("n_both"), F.count(F.lit(1)).alias("n_rows"))
     return unpack_buckets(cube, domains)
 
 
 def _sums() -> list[Column]:
-    return [F.sum(c).alias(c) for c in CUBE_SUMS]
+    return [(exact_sum(F.col(c)) if c in EXACT else F.sum(c)).alias(c) for c in CUBE_SUMS]
 
 
 def vwret() -> Column:
@@ -268,7 +271,7 @@ def excess_returns(ptfs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def wavg_market_return(cube: DataFrame) -> DataFrame:
     """Value-weighted return of all rows with at least one bucket."""
-    return (cube.groupBy(*SERIES, "jdate").agg(F.sum("retadj_x_wt").alias("retadj_x_wt"), F.sum("wt").alias("wt"))
+    return (cube.groupBy(*SERIES, "jdate").agg(*[exact_sum(F.col(c)).alias(c) for c in EXACT])
             .select(*SERIES, "jdate", vwret().alias("Mkt")))
 
 

@@ -30,6 +30,7 @@ class Inputs:
     chars: DataFrame
     measures: DataFrame  # source_file, permno, jdate, values
     benchmark: DataFrame
+    return_buckets: int | None = None  # of returns stored by (permno, ffyear), see sortfolio.sources.store
 
 
 @dataclass
@@ -39,12 +40,14 @@ class Panel:
 
     benchmark: DataFrame
     returns: DataFrame
+    return_buckets: int | None = None
+    every: bool = False  # keep series that are all zero or missing
     _cubes: dict = field(default_factory=dict)
 
     @property
     def usable(self) -> DataFrame:
         """Series that are not all zero or missing."""
-        return universe.usable_measures(self.totals)
+        return self.totals.select(*SERIES) if self.every else universe.usable_measures(self.totals)
 
     @property
     def legend(self) -> DataFrame:
@@ -67,7 +70,7 @@ class Panel:
         if key not in self._cubes:
             domains = sort_domains(kind, robust)
             june = assign.june_assignments(assignments(self, kind, robust), list(domains))
-            self._cubes[key] = land(returns.monthly_cube(self.returns, june, domains), "cube")
+            self._cubes[key] = land(returns.monthly_cube(self.returns, june, domains, self.return_buckets), "cube")
         return self._cubes[key]
 
     def explode(self, pairs: DataFrame) -> DataFrame:
@@ -103,7 +106,7 @@ def prepare_panel(inputs: Inputs, validate: bool = True) -> Panel:
     if validate:  # a repeated pair on either side of the alignment shows up here
         universe.require_unique(pairs, ["source_file", *align.PAIR], "characteristics or measures")
     totals = land(universe.measure_totals(align.attach_measure(pairs)), "totals")
-    return Panel(pairs, totals, inputs.benchmark, inputs.returns)
+    return Panel(pairs, totals, inputs.benchmark, inputs.returns, inputs.return_buckets)
 
 
 def sort_domains(kind: str, robust: tuple[str, ...] = ()) -> dict:
@@ -137,15 +140,19 @@ def factor_assignments(panel: Panel, kind: str, robust: tuple[str, ...] = ()) ->
 
 def job_factors(inputs: Inputs, kind: str, robust: tuple[str, ...] = (), panel: Panel | None = None) -> FactorResult:
     panel = panel or prepare_panel(inputs)
-    cube = panel.cube(kind, robust)
+    return factor_result(panel.cube(kind, robust), inputs.benchmark, kind, robust)
+
+
+def factor_result(cube: DataFrame, benchmark: DataFrame, kind: str, robust: tuple[str, ...] = ()) -> FactorResult:
+    """Tables of a factor job from its monthly sums."""
     if kind == "2x3":
-        ptfs, nfirms = returns.vw_return_2x3(cube, robust), diagnostics.factor_nfirms_2x3(cube, inputs.benchmark, robust)
+        ptfs, nfirms = returns.vw_return_2x3(cube, robust), diagnostics.factor_nfirms_2x3(cube, benchmark, robust)
     elif kind == "2x2":
-        ptfs, nfirms = returns.vw_return_2x2(cube), diagnostics.factor_nfirms_2x2(cube, inputs.benchmark)
+        ptfs, nfirms = returns.vw_return_2x2(cube), diagnostics.factor_nfirms_2x2(cube, benchmark)
     else:
-        ptfs, nfirms = returns.vw_return_5way(cube), diagnostics.factor_nfirms_5way(cube, inputs.benchmark)
+        ptfs, nfirms = returns.vw_return_5way(cube), diagnostics.factor_nfirms_5way(cube, benchmark)
     ptfs = land(ptfs, "portfolios")
-    table = factors.factor_table(ptfs, cube, inputs.benchmark, kind)
+    table = factors.factor_table(ptfs, cube, benchmark, kind)
     complete = returns.completeness_check(ptfs, n_portfolios(kind), factors.FACTOR_KEYS)
     nfirms = nfirms.join(complete, factors.FACTOR_KEYS, "left_semi")
     return FactorResult(tag(table, robust), tag(nfirms, robust), cube, ptfs)
@@ -198,15 +205,18 @@ def dependent_assignments(panel: Panel, n: int = 4) -> DataFrame:
 
 
 def job_sorts(inputs: Inputs, panel: Panel, kind: str) -> PortfolioResult:
-    cube = panel.cube(kind)
+    return sort_result(panel.cube(kind), panel.legend, inputs.benchmark, kind)
+
+
+def sort_result(cube: DataFrame, legend: DataFrame, benchmark: DataFrame, kind: str) -> PortfolioResult:
+    """Tables of a portfolio job from its monthly sums."""
     if kind == "bivariate":
         cells, n_cells = returns.vw_return_bivariate(cube, config.bivariate_sorts()), 25
     else:
         cells, n_cells = returns.vw_return_threeway(cube, config.threeway_sorts()), 32
     cells = returns.keep_complete(land(cells, "sorts"), n_cells, [*SERIES, "sort_on"])
-    legend = panel.legend
     return PortfolioResult(
-        with_index(returns.excess_returns(cells, inputs.benchmark), legend),
+        with_index(returns.excess_returns(cells, benchmark), legend),
         with_index(diagnostics.portfolio_nfirms(cells), legend), legend, cube, cells)
 
 

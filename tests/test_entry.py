@@ -15,9 +15,9 @@ ASK = "import __spark_entry__ as e; print(len(e.queries()), sorted(e.queries())
 
 
 def names() -> int:
-    from verification.queries import OPERATORS
+    from verification.queries import queries
 
-    return len(OPERATORS)
+    return len(queries())
 
 
 def asked(folder: Path, before: str = "") -> str:

@@ -6,7 +6,7 @@ import pytest
 
 from verification import oracles
 from verification.compare import connect, difference
-from verification.queries import OPERATORS, queries
+from verification.queries import queries
 
 SQL = oracles.oracle_sql()
 
@@ -17,10 +17,10 @@ def con(sf_dir):
 
 
 def test_every_query_has_an_oracle():
-    assert set(OPERATORS) == set(SQL)
+    assert set(queries()) == set(SQL)
 
 
-@pytest.mark.parametrize("name", list(OPERATORS))
+@pytest.mark.parametrize("name", list(queries()))
 def test_query(spark, sf_dir, con, name):
     got = queries()[name](spark, sf_dir).toPandas()
     assert difference(got, con.execute(SQL[name]).df()) == ""

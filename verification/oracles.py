@@ -8,6 +8,8 @@ from __future__ import annotations
 import re
 from itertools import combinations, product
 
+from verification import panel_oracles
+
 SETS = ["10_90", "20_80", "30_70", "40_60"]
 ROBUST_SETS = ["10_90", "20_80", "40_60"]
 PCTS = [0.1, 0.2, 0.3, 0.4, 0.6, 0.7, 0.8, 0.9]
@@ -17,8 +19,8 @@ COL = {"size": "me", "bm": "beme", "inv": "inv", "op": "op", "nf": "nf"}
 FLAG = {"size": "is_size_ok", "bm": "is_beme_ok", "inv": "is_inv_ok", "op": "is_op_ok", "nf": "is_nf_ok"}
 MEAS = ["bm", "inv", "op", "nf"]
 S = "source_file, measure"
-CTES: dict[str, str] = {}
-MATERIALIZED = {"chars", "meas", "pan", "lng0"}  # computed once, so that no join order can go astray
+CTES: dict[str, str] = dict(panel_oracles.CTES)
+MATERIALIZED = {"chars", "meas", "pan", "lng0", "p_ann", "p_yof", "p_r0", "p_judged", "p_mon"}  # computed once, so that no join order can go astray
 
 
 # --- input tables ---------------------------------------------------------------------------
@@ -647,6 +649,12 @@ def oracle_sql() -> dict[str, str]:
     o["job_factors_2x3_all_robust"] = _job("3a", "bm_inv_op_nf")
     o["job_factors_2x2"] = _job("2", "")
     o["job_factors_2x2x2x2x2"] = _job("f", "")
+    o["job_factors_2x2_colocated"] = o["job_factors_2x2"]
+    o["job_factors_2x3_increments"] = o["job_factors_2x3"]
+    o["job_bivariate_portfolios_colocated"] = _exc("b")
+    paid = "sum(l_extendedprice * (1 - l_discount) * (1 + l_tax) * 0.7390851332151607::DOUBLE)"
+    o["exact_sums"] = (f"SELECT l_partkey, round({paid}, 5) AS paid, count(*) AS n FROM lineitem GROUP BY l_partkey "
+                       f"UNION ALL SELECT NULL, round({paid}, 5), count(*) FROM lineitem")
     o["job_bivariate_portfolios"] = _exc("b")
     o["job_threeway_portfolios"] = _exc("t")
-    return {name: sql(body) for name, body in o.items()}
+    return {name: sql(body) for name, body in (o | panel_oracles.queries()).items()}

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Callable
+from dataclasses import replace
 from functools import cached_property, lru_cache, reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,14 +12,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sortfolio.functions.columns import formation_year, month_end
+from sortfolio.functions.sums import exact_sum
 from sortfolio.landing import land, landing_path
 from sortfolio.operators import align, assign, breakpoints, diagnostics, factors, returns, universe
 from sortfolio.operators.align import PAIR, SERIES
-from sortfolio.plans import config, jobs
-from sortfolio.sources import calendar, codes, sinks, tables, text
-from verification import fixtures
+from sortfolio.plans import config, increments, jobs
+from sortfolio.sources import calendar, codes, sinks, store, tables, text
+from verification import fixtures, panel_queries
 
 ROBUST = ("nf",)
+STORE_BUCKETS = 7
 
 
 class Context:
@@ -561,6 +565,39 @@ def _job_sorts(job: Callable) -> Callable[[Context], DataFrame]:
     return lambda c: rounded(job(c.inputs).portfolios)
 
 
+def _colocated(c: Context) -> jobs.Inputs:
+    """The inputs with the returns read from a store, written once a session."""
+    if not hasattr(c, "store"):
+        c.store = landing_path(c.spark, "returns-store")
+        store.write_returns_store(c.inputs.returns, c.store, STORE_BUCKETS)
+    stored, buckets = store.open_returns_store(c.spark, c.store)
+    return replace(c.inputs, returns=stored, return_buckets=buckets)
+
+
+def q_factors_2x2_colocated(c: Context) -> DataFrame:
+    return rounded(jobs.job_factors_2x2(_colocated(c)).factors)
+
+
+def q_portfolios_bivariate_colocated(c: Context) -> DataFrame:
+    return rounded(jobs.job_bivariate_portfolios(_colocated(c)).portfolios)
+
+
+def q_factors_2x3_increments(c: Context) -> DataFrame:
+    """Two updates: up to a June in the middle, then the rest."""
+    at = landing_path(c.spark, "increments")
+    for until in (datetime.date(1998, 6, 30), None):
+        increments.update(c.inputs, at, "2x3", ROBUST, until)
+    return rounded(increments.factors(c.spark, at, c.inputs.benchmark, "2x3", ROBUST).factors)
+
+
+def q_exact_sums(c: Context) -> DataFrame:
+    """Sums of products that no decimal holds, over all line items and by part."""
+    paid = F.col("l_extendedprice") * (1 - F.col("l_discount")) * (1 + F.col("l_tax")) * 0.7390851332151607
+    rows = c.spark.read.parquet(f"{c.sf_dir}/lineitem.parquet").select("l_partkey", paid.alias("paid"))
+    sums = [F.round(exact_sum(F.col("paid")), 5).alias("paid"), F.count("*").alias("n")]
+    return rows.groupBy("l_partkey").agg(*sums).unionByName(rows.groupBy(F.lit(None).cast("bigint").alias("l_partkey")).agg(*sums))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Excess returns of the 5x5 test portfolios of every sort and measure."""
     return _job_sorts(jobs.job_bivariate_portfolios)(context(spark, sf_dir))
@@ -687,7 +724,11 @@ OPERATORS: dict[str, Callable[[Context], DataFrame]] = {
     "job_factors_2x3_all_robust": _job_factors("2x3", config.MEASURES),
     "job_factors_2x2": _job_factors("2x2", ()),
     "job_factors_2x2x2x2x2": _job_factors("2x2x2x2x2", ()),
+    "job_factors_2x2_colocated": q_factors_2x2_colocated,
+    "job_factors_2x3_increments": q_factors_2x3_increments,
     "job_bivariate_portfolios": _job_sorts(jobs.job_bivariate_portfolios),
+    "job_bivariate_portfolios_colocated": q_portfolios_bivariate_colocated,
+    "exact_sums": q_exact_sums,
     "job_threeway_portfolios": _job_sorts(jobs.job_threeway_portfolios),
 }
 
@@ -696,4 +737,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def bind(op: Callable[[Context], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
         return lambda spark, sf_dir: op(context(spark, sf_dir))
 
-    return {name: bind(op) for name, op in OPERATORS.items()}
+    return {name: bind(op) for name, op in OPERATORS.items()} | panel_queries.queries()
