@@ -1,7 +1,7 @@
 """Personal data: detection and keyed, type-consistent surrogates, in DataFrame functions only.
 
 1. Detection is one pattern (``PATTERN``): e-mail addresses, secrets, IBANs, IPv4 addresses, card and social security numbers,
-   telephone numbers, and names after a title.
+   telephone numbers, and names after a title. A document's own names are then looked for without a title too: the full name, and the surname.
 2. Each distinct finding is cut into entities: an address has its mailbox and its domain, a name its given names and surname. An
    entity is known by its type and its canonical value (digits, lower case), so that spellings of one number are one entity.
 3. An entity's surrogate follows from a secret key, its type, its value and a number of tries: digits become digits, letters
@@ -13,10 +13,12 @@
 5. Each occurrence is written in its own format: the surrogate's characters fill its places, punctuation and case stay.
 
 Only distinct findings are joined with entities; documents meet their replacements by the hash of the text, and texts without
-findings are never shuffled.
+findings are never shuffled. Everything of unbounded length is matched by one character class or by a possessive group, which Java's
+matcher goes through in a loop; other repeated groups would recurse.
 
-Defined cases: a null text stays null, an empty one empty; repeated rows are replaced alike; very long texts are one row; an empty
-table stays empty; other columns pass through untouched, and ``n_entities`` replaces a column of that name.
+Defined cases: a null text stays null, an empty one empty; repeated rows are replaced alike; very long texts and findings are one row; an empty
+table stays empty; other columns pass through untouched, and ``n_entities`` replaces a column of that name. Where a text gives one
+full name two titles of different gender, its untitled mentions take the first surrogate in alphabetical order.
 """
 
 from __future__ import annotations
@@ -30,10 +32,10 @@ from sortfolio.llm.storage import land
 KEY = "surrogate-key"
 _MALE = r"Mr|Mister|Sir|Herrn?|Monsieur|Señor|Sr|Господин|г-н|Κύριος"
 _FEMALE = r"Mrs|Ms|Miss|Madam|Frau|Madame|Mme|Mlle|Señora|Sra|Srta|Госпожа|г-жа|Κυρία"
-_NAME = r"\p{Lu}[\p{L}'’]*(?:-\p{Lu}[\p{L}'’]*)*"
+_NAME = r"\p{Lu}[\p{L}'’]*+(?:-\p{Lu}[\p{L}'’]*+)*+"
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-][A-Za-z0-9._%+-]*+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}(?![A-Za-z0-9])",
-    "secret": r"(?<![A-Za-z0-9])(?:(?=[a-f]*[0-9])[a-f0-9]{32,128}|AKIA[0-9A-Z]{16}|(?:sk|pk|ghp|gho)_[A-Za-z0-9_]{16,100})(?![A-Za-z0-9])",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-][A-Za-z0-9._%+-]*+@[A-Za-z0-9-][A-Za-z0-9.-]*(?<=[A-Za-z0-9-])\.[A-Za-z]{2,}(?![A-Za-z0-9])",
+    "secret": r"(?<![A-Za-z0-9])(?:(?=[a-f]*+[0-9])[a-f0-9]{32,}+|(?=[A-F]*+[0-9])[A-F0-9]{32,}+|AKIA[0-9A-Z]{16}|(?:sk|pk|ghp|gho)_[A-Za-z0-9_]{16,}+)(?![A-Za-z0-9])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ip": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])",
     "card": r"(?<![0-9A-Za-z+])[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{1,7}(?![0-9A-Za-z])",
@@ -100,7 +102,7 @@ def entities_of(found: Column, kind: Column) -> Column:
     """The finding's entities in order: ``(type, value)``; a type may carry gender and script."""
     one = lambda t, v: F.struct(t.alias("type"), v.alias("value"))
     alnum = F.regexp_replace(found, "[^A-Za-z0-9]", "")
-    names = F.slice(F.split(found, " "), 2, 9)
+    names = F.slice(F.split(found, " "), 2, 9)  # after the title
 
     def person(n: Column) -> Column:
         return F.transform(n, lambda x, i: F.when(i == F.size(n) - 1, one(F.concat(F.lit("surname:"), _script(x)), x)).otherwise(
@@ -109,7 +111,7 @@ def entities_of(found: Column, kind: Column) -> Column:
     return (F.when(kind == "person", let(names, person))
             .when(kind == "email", F.array(one(F.lit("mailbox"), F.lower(F.substring_index(found, "@", 1))),
                                            one(F.lit("domain"), F.lower(F.substring_index(found, "@", -1)))))
-            .when(kind == "ip", F.array(one(kind, found)))
+            .when(kind.isin("ip", "secret"), F.array(one(kind, found)))
             .otherwise(F.array(one(kind, alnum))))
 
 
@@ -123,14 +125,14 @@ def _from(text: str, i: Column) -> Column:
     return F.substring(F.lit(text), (i % len(text) + 1).cast("int"), F.lit(1))
 
 
-def _drawn(value: Column, seed: Column, hexadecimal: Column) -> Column:
+def _drawn(value: Column, seed: Column, lower_hex: Column, upper_hex: Column) -> Column:
     """Each digit and letter replaced by one of its class; a leading digit other than 0 stays other than 0."""
     def char(c: Column, i: Column) -> Column:
         b = _byte(seed, i)
-        return (F.when(c.rlike("[0-9]"), F.when((i == 0) & (c != "0"), _from("123456789", b)).otherwise(
-                    F.when(hexadecimal, _from("0123456789abcdef", b)).otherwise(_from("0123456789", b))))
-                .when(c.rlike("[a-z]"), F.when(hexadecimal, _from("0123456789abcdef", b)).otherwise(_from("abcdefghijklmnopqrstuvwxyz", b)))
-                .when(c.rlike("[A-Z]"), _from("ABCDEFGHIJKLMNOPQRSTUVWXYZ", b)).otherwise(c))
+        return (F.when(c.rlike("[0-9]"), F.when((i == 0) & (c != "0"), _from("123456789", b)).when(lower_hex, _from("0123456789abcdef", b))
+                       .when(upper_hex, _from("0123456789ABCDEF", b)).otherwise(_from("0123456789", b)))
+                .when(c.rlike("[a-z]"), F.when(lower_hex, _from("0123456789abcdef", b)).otherwise(_from("abcdefghijklmnopqrstuvwxyz", b)))
+                .when(c.rlike("[A-Z]"), F.when(upper_hex, _from("0123456789ABCDEF", b)).otherwise(_from("ABCDEFGHIJKLMNOPQRSTUVWXYZ", b))).otherwise(c))
 
     return F.array_join(F.transform(F.filter(F.split(value, ""), lambda c: c != ""), char), "")
 
@@ -164,16 +166,22 @@ def _picker(names: list[str], seed: Column):
 
 
 def surrogate(kind: Column, value: Column, tries: Column, key: str) -> Column:
-    """The surrogate of an entity at its ``tries``-th try."""
-    seed = F.concat_ws("|", F.lit(key), kind, value, tries.cast("string"))
+    """The surrogate of an entity at its ``tries``-th try; what looks at the whole value is bound once, not for each character."""
+    secret = kind == "secret"
+    seed = F.sha2(F.concat_ws("|", F.lit(key), kind, value, tries.cast("string")), 256)  # short, however long the value
+    bound = F.struct(seed.alias("seed"), (secret & value.rlike("^[a-f0-9]+$")).alias("lower"), (secret & value.rlike("^[A-F0-9]+$")).alias("upper"))
+    return let(bound, lambda b: _surrogate(kind, value, tries, b["seed"], b["lower"], b["upper"]))
+
+
+def _surrogate(kind: Column, value: Column, tries: Column, seed: Column, lower_hex: Column, upper_hex: Column) -> Column:
     more = F.greatest(F.lit(0), tries - 7)  # longer from the eighth try on
     longer = F.concat(value, F.repeat(F.lit("0"), more))
-    drawn = _drawn(longer, seed, (kind == "secret") & value.rlike("^[a-f0-9]+$"))
+    drawn = _drawn(longer, seed, lower_hex, upper_hex)
     octet = lambda x, i: let(_byte(seed, 2 * i) * 256 + _byte(seed, 2 * i + 1), lambda b: (
         F.when((F.length(x) == 1) & (more == 0), b % 9 + 1).when((F.length(x) == 2) & (more == 0), b % 90 + 10)
         .when(more == 0, b % 155 + 100).otherwise(b % 254 + 1)).cast("int").cast("string"))
     ip = F.array_join(F.transform(F.split(value, r"\."), octet), ".")
-    domain = F.concat(_drawn(F.concat(F.regexp_extract(value, r"^(.*)\.[^.]+$", 1), F.repeat(F.lit("x"), more)), seed, F.lit(False)),
+    domain = F.concat(_drawn(F.concat(F.regexp_extract(value, r"^(.*)\.[^.]+$", 1), F.repeat(F.lit("x"), more)), seed, F.lit(False), F.lit(False)),
                       F.lit("."), F.substring_index(value, ".", -1))
     # the country code's digits (one or the "+" group) can't be told from bare digits: the first one stays
     phone = F.concat(F.substring(value, 1, 1), F.substring(drawn, F.lit(2), F.length(drawn)))
@@ -225,7 +233,7 @@ def written_as(found: Column, kind: Column, parts: Column) -> Column:
 
     return (F.when(kind == "person", F.concat_ws(" ", F.substring_index(found, " ", 1), F.array_join(parts, " ")))
             .when(kind == "email", F.concat(mailbox(parts[0]), F.lit("@"), parts[1]))
-            .when(kind == "ip", parts[0]).otherwise(filled(found, parts[0])))
+            .when(kind.isin("ip", "secret"), parts[0]).otherwise(filled(found, parts[0])))
 
 
 def replacements(findings: DataFrame, key: str = KEY) -> DataFrame:
@@ -240,6 +248,17 @@ def replacements(findings: DataFrame, key: str = KEY) -> DataFrame:
         F.col("found"), F.col("kind"), F.transform("p", lambda x: x["surrogate"])).alias("new")), "replacements")
 
 
+def _untitled(found: Column, new: Column) -> Column:
+    """What a titled name's document may call it without the title, with the replacements: the full name, its first two parts, the surname.
+
+    A name that holds a title's word is left out, as that word may begin another finding.
+    """
+    rest = lambda x: F.substring(x, F.length(F.substring_index(x, " ", 1)) + 2, F.length(x))
+    parts = [rest, lambda x: F.substring_index(rest(x), " ", 2), lambda x: F.substring_index(x, " ", -1)]
+    pairs = F.array(*[F.struct(part(found).alias("found"), part(new).alias("new"), F.lit(True).alias("bare")) for part in parts])
+    return F.filter(pairs, lambda x: ~x["found"].rlike(rf"(?<!\p{{L}})(?:{_MALE}|{_FEMALE}|Dr|Prof)(?!\p{{L}})"))
+
+
 def replace_pii(docs: DataFrame, text: str = "text", key: str = KEY) -> DataFrame:
     """``docs`` with every finding in the text replaced, and ``n_entities``, the number of findings."""
     names = [c for c in docs.columns if c != "n_entities"]
@@ -248,13 +267,24 @@ def replace_pii(docs: DataFrame, text: str = "text", key: str = KEY) -> DataFram
                .withColumn("__found", detected(F.col(text))).withColumn("__key", F.sha2(text, 256)), "hits")
     each = hit.select("__key", F.explode("__found").alias("found")).distinct()
     table = replacements(hit.select(F.explode("__found").alias("found")).distinct(), key)
-    maps = land(each.join(table, "found").groupBy("__key").agg(
-        F.map_from_entries(F.collect_list(F.struct("found", "new"))).alias("__new")), "maps")
-    plain = F.split(F.col(text), PATTERN, -1)
-    new = F.transform("__found", lambda x: F.element_at("__new", x))
-    whole = let(plain, lambda p: F.concat(p[0], F.array_join(F.zip_with(
-        new, F.slice(p, F.lit(2), F.greatest(F.size(p) - 1, F.lit(0))), lambda a, b: F.concat(a, b)), "")))
-    kept = [whole.alias(c) if c == text else F.col(f"`{c}`") for c in names]
-    changed = hit.join(maps, "__key").select(*kept, F.size("__found").alias("n_entities"))
+    whole = F.array(F.struct("found", "new", F.lit(False).alias("bare")))
+    named = F.when(F.col("kind") == "person", F.concat(whole, _untitled(F.col("found"), F.col("new")))).otherwise(whole)
+    known = each.join(table, "found").select("__key", F.explode(named).alias("x")).groupBy("__key", "x.found").agg(
+        F.min(F.struct("x.bare", "x.new")).alias("x")).select("__key", "found", "x.*")
+    longest = F.sort_array(F.collect_list(F.when(F.col("bare"), F.struct(-F.length("found"), F.col("found").alias("name")))))
+    maps = land(known.groupBy("__key").agg(F.map_from_entries(F.collect_list(F.struct("found", "new"))).alias("__new"),
+                                           F.transform(longest, lambda x: x["name"]).alias("__bare")), "maps")
+    joined = hit.join(maps, "__key")
+    own = F.concat(F.lit(rf"{PATTERN}|(?=\p{{Lu}})(?<!\p{{L}})(?:"), F.array_join("__bare", "|"), F.lit(r")(?!\p{L})"))
+
+    def changed(rows: DataFrame, all_found: Column, plain: Column) -> DataFrame:
+        new = F.transform(all_found, lambda x: F.coalesce(F.element_at("__new", x), x))
+        whole = let(plain, lambda p: F.concat(p[0], F.array_join(F.zip_with(
+            new, F.slice(p, F.lit(2), F.greatest(F.size(p) - 1, F.lit(0))), lambda a, b: F.concat(a, b)), "")))
+        return rows.select(*[whole.alias(c) if c == text else F.col(f"`{c}`") for c in names], F.size(all_found).alias("n_entities"))
+
+    titled = F.size("__bare") > 0
+    nameless = changed(joined.where(~titled), F.col("__found"), F.split(F.col(text), PATTERN, -1))
+    named = changed(joined.where(titled), F.regexp_extract_all(F.col(text), own, F.lit(0)), F.split(F.col(text), own, -1))
     rest = docs.select(*[F.col(f"`{c}`") for c in names]).where(~found).withColumn("n_entities", F.lit(0))
-    return rest.unionByName(changed)
+    return rest.unionByName(nameless).unionByName(named)
