@@ -1,20 +1,22 @@
 """SentencePiece encoding and decoding with a public model file.
 
 Characters without a piece become byte pieces. Decoding is the exact inverse, but for U+2581, which the format itself uses for a space.
-Encoding has two ways; ``own`` takes the one that the file's kind asks for, and the queries do so. Else it is the second for any file.
+Encoding solves a path through the text, in one of two kinds; ``own`` takes the one that the file asks for, and the queries do so. Else it
+is the second for any file.
 
 * Merge order (BPE files): starting from characters, the neighbours whose joint piece has the best score are joined, the leftmost among equal
-  ones, until no two neighbours make a piece.
-* Best path (unigram files): the segmentation of largest total score over the model's pieces (max-plus; among equal scores the longest last piece wins).
+  ones, until no two neighbours make a piece. A sequence of pieces is the result exactly if every two neighbours, encoded as a pair, are
+  themselves: with weight 0 for such neighbours and minus infinity for all others, it is the only path of weight 0.
+* Best path (unigram files): the segmentation of largest total score over the model's pieces (among equal scores the longest last piece wins).
 
 Ordinary texts are encoded whole in one scan. Between two characters that stand side by side in no piece every segmentation has a
-border, so the words between such borders are solved one by one and remembered. Texts above ``giant`` characters are cut into chunks
-that tasks solve independently. For merge order, chunks end at such borders. For the best path they have any end:
+border, so the words between such borders are solved one by one and remembered. Texts above ``giant`` characters are cut into chunks of
+any end that tasks solve independently, by max-plus products:
 
-1. A chunk's transfer matrix holds the best score from each entry state to each exit state. A state is the number of characters by
-   which a piece reaches over the chunk's border, so there are as many as the longest piece has characters.
-2. The matrices of a text are combined by an associative scan of max-plus products: each chunk learns the best scores of its entries.
-3. With these, each chunk tells for every exit state the entry state its best path comes from; a scan from the end fixes all borders.
+1. A chunk's transfer matrix holds the best weight from each entry state to each exit state. For the best path a state is the number of characters by
+   which a piece reaches over the chunk's border; for merge order it is the piece itself that ends at the border or reaches over it.
+2. The matrices of a text are combined by an associative scan of max-plus products: each chunk learns the weights of its entries.
+3. With these, each chunk's exit tells the entry its path comes from; a scan from the end fixes all borders.
 4. Each chunk backtraces its own pieces between its two borders.
 
 Defined cases: null and empty texts have no pieces; repeated rows are encoded alike; an empty table stays empty; of the input only
@@ -80,6 +82,7 @@ class Vocabulary:
         self.unit = self._units({p for p, v in self.table.items() if v})
         self.prefix = proto.normalizer_spec.add_dummy_prefix
         self.known: dict[str, bytes] = {}
+        self.pairs: dict[tuple[str, str], bool] = {}
 
     @staticmethod
     def _units(found: set[str]) -> re.Pattern:
@@ -153,12 +156,9 @@ class Vocabulary:
         out.reverse()
         return out
 
-    def merged(self, unit: str) -> list[int]:
-        """Piece ids by merge order: over a linked list of parts and a heap of the joins that are possible."""
+    def parts(self, unit: str) -> list[str]:
+        """Pieces by merge order: over a linked list of parts and a heap of the joins that are possible."""
         table, n = self.table, len(unit)
-        whole = table.get(unit) if n == 1 else None
-        if whole is not None:
-            return [whole[0]]
         part: list[str] = list(unit)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         # best score first, then the leftmost place; the joint piece tells whether an entry still holds
@@ -178,21 +178,76 @@ class Vocabulary:
             h = before[i]
             if h >= 0 and (hit := table.get(more := part[h] + two)) is not None:
                 heappush(heap, (-hit[1], h, more))
+        return [p for p in part if p]
+
+    def ids_of(self, parts: list[str]) -> list[int]:
+        """Ids of pieces; a character in no piece is its bytes."""
         out: list[int] = []
-        for p in part:
-            if p:
-                hit = table.get(p)
-                if hit is not None:
-                    out.append(hit[0])
-                else:
-                    out.extend(self.byte_ids[b] for b in p.encode())
+        for p in parts:
+            hit = self.table.get(p)
+            if hit is not None:
+                out.append(hit[0])
+            else:
+                out.extend(self.byte_ids[b] for b in p.encode())
         return out
 
+    def fits(self, a: str, b: str) -> bool:
+        """Whether two neighbours, encoded as a pair by merge order, are themselves."""
+        found = self.pairs.get((a, b))
+        if found is None:
+            if len(self.pairs) >= CACHE:
+                self.pairs.clear()
+            found = self.pairs[a, b] = self.parts(a + b) == [a, b]
+        return found
+
+    def ends(self, text: str, at: int) -> Iterator[int]:
+        """The ends of the pieces that begin at a place; a character in no piece counts as one."""
+        node, single = self.root, False
+        for end in range(at, len(text)):
+            node = node.get(text[end])
+            if node is None:
+                break
+            if "" in node:
+                single |= end == at
+                yield end + 1
+        if not single:
+            yield at + 1
+
+    def border(self, text: str, cut: int) -> list[tuple[int, int]]:
+        """The pieces that end at a cut or reach over it, as places in the text; at its beginning, the empty one."""
+        if cut == 0:
+            return [(0, 0)]
+        return [(at, end) for at in range(max(0, cut - self.longest), cut) for end in self.ends(text, at) if end >= cut]
+
+    def paths(self, text: str, stop: int, entries: list[tuple[int, int]]) -> tuple[dict[tuple[int, int], int], dict[tuple[int, int], tuple[int, int]]]:
+        """The border states at ``stop``, each with the entries (as bits) that a path of fitting neighbours leads from, and each piece's
+        neighbour before it.
+
+        A prefix has one encoding, so a place has no more than one piece for each entry.
+        """
+        at: dict[int, dict[tuple[int, int], int]] = {}
+        before: dict[tuple[int, int], tuple[int, int]] = {}
+        for i, piece in enumerate(entries):
+            at.setdefault(piece[1], {})[piece] = 1 << i
+        for place in range(min(at, default=stop), stop):
+            held = at.pop(place, None)
+            if held is None:
+                continue
+            for end in self.ends(text, place):
+                mask, b = 0, text[place:end]
+                for piece, m in held.items():
+                    if piece[0] == piece[1] or self.fits(text[piece[0] : piece[1]], b):
+                        mask |= m
+                        before[place, end] = piece
+                if mask:
+                    at.setdefault(end, {})[place, end] = mask
+        return {piece: m for held in at.values() for piece, m in held.items()}, before
+
     def solved(self, unit: str) -> bytes:
         found = self.known.get(unit)
         if found is None:
             if self.merges:
-                ids = self.merged(unit)
+                ids = self.ids_of(self.parts(unit))
             else:
                 _, back, piece = self.forward(unit, [0.0], len(unit))
                 ids = self.ids(unit, back, piece, len(unit))
@@ -276,37 +331,93 @@ def _cut(docs: DataFrame, model, chunk: int) -> DataFrame:
         run, f"row bigint, id {kind}, sha string, chunk int, size int, last boolean, text string")
 
 
-def _cut_at_borders(docs: DataFrame, model, chunk: int) -> DataFrame:
-    """``(row, id, sha, chunk, text)``: chunks of whole units, of ``chunk`` characters or the unit that goes beyond."""
+def _cut_around(docs: DataFrame, model, chunk: int) -> DataFrame:
+    """``(row, id, sha, chunk, lead, size, text)``: chunks with the characters on both sides that border pieces may hold, ``lead`` before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(model.value, True)
+        step = max(chunk, v.longest)  # no piece runs over a whole chunk
         for b in batches:
             for k in range(b.num_rows):
-                text, ends = v.normalised(b.column(2)[k].as_py()), [0]
-                for m in v.unit.finditer(text):
-                    if m.end() - ends[-1] >= chunk or m.end() == len(text):
-                        ends.append(m.end())
-                n = len(ends) - 1
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([b.column(0)[k].as_py()] * n, pa.int64()), pa.array([b.column(1)[k].as_py()] * n, b.column(1).type),
-                     pa.array([b.column(3)[k].as_py()] * n, pa.string()), pa.array(range(n), pa.int32()),
-                     pa.array([text[x:y] for x, y in zip(ends, ends[1:])], pa.string())], ["row", "id", "sha", "chunk", "text"])
+                text = v.normalised(b.column(2)[k].as_py())
+                starts = range(0, max(1, len(text) - v.longest), step)  # the last chunk takes a short rest
+                for n, begin in enumerate(starts):
+                    end = len(text) if n + 1 == len(starts) else begin + step
+                    lead = min(begin, v.longest)
+                    yield pa.RecordBatch.from_arrays(
+                        [b.column(0).slice(k, 1), b.column(1).slice(k, 1), b.column(3).slice(k, 1), pa.array([n], pa.int32()), pa.array([lead], pa.int32()),
+                         pa.array([end - begin], pa.int32()), pa.array([text[begin - lead : end + v.longest]])], ["row", "id", "sha", "chunk", "lead", "size", "text"])
 
     kind = docs.schema["id"].dataType.simpleString()
     return docs.withColumn("row", F.monotonically_increasing_id()).select("row", "id", "text", F.sha2("text", 256)).mapInArrow(
-        run, f"row bigint, id {kind}, sha string, chunk int, text string")
+        run, f"row bigint, id {kind}, sha string, chunk int, lead int, size int, text string")
+
 
+def _own_matrices(chunks: DataFrame, model) -> DataFrame:
+    """Transfer matrices of fitting neighbours: weight 0, or minus infinity; one byte an entry."""
 
-def _merged(chunks: DataFrame, model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(model.value, True)
         for b in batches:
-            for k in range(b.num_rows):
-                ids = b"".join(map(v.solved, v.unit.findall(b.column(2)[k].as_py())))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(k, 1), b.column(1).slice(k, 1), _list_array([ids])], ["row", "chunk", "ids"])
+            for x in b.to_pylist():
+                stop = x["lead"] + x["size"]
+                entries, exits = v.border(x["text"], x["lead"]), v.border(x["text"], stop)
+                found, _ = v.paths(x["text"], stop, entries)
+                m = np.array([[found.get(e, 0) >> i & 1 for e in exits] for i in range(len(entries))], np.int8)
+                yield pa.RecordBatch.from_pylist([{"row": x["row"], "chunk": x["chunk"], "entries": len(entries), "matrix": m.tobytes()}],
+                                                 pa.schema([("row", pa.int64()), ("chunk", pa.int32()), ("entries", pa.int32()), ("matrix", pa.binary())]))
+
+    return chunks.select("row", "chunk", "lead", "size", "text").mapInArrow(run, "row bigint, chunk int, entries int, matrix binary")
+
+
+def _own_borders(rows: pd.DataFrame) -> pd.DataFrame:
+    """Entry and exit state of each chunk on the text's only path; rows: one text's matrices."""
+    rows = rows.sort_values("chunk")
+    flat = [np.frombuffer(m, np.int8).reshape(n, -1) for m, n in zip(rows["matrix"], rows["entries"])]
+    states = max(max(m.shape) for m in flat)
+    matrices = np.full((len(flat), states, states), -np.inf, np.float32)
+    for k, m in enumerate(flat):
+        matrices[k, : m.shape[0], : m.shape[1]] = np.where(m, 0, -np.inf)
+    begin = np.full(states, -np.inf, np.float32)
+    begin[0] = 0
+    reached = [begin, *prefix_products(matrices)[:, 0]]
+    last = np.flatnonzero(reached[-1] == 0)
+    borders = []
+    for k in range(len(flat), -1, -1):
+        if len(last) != 1:
+            raise ValueError("the text has not exactly one path of fitting neighbours")
+        borders.append(int(last[0]))
+        if k:
+            last = np.flatnonzero(reached[k - 1] + matrices[k - 1][:, last[0]] == 0)
+    borders.reverse()
+    return pd.DataFrame({"row": rows["row"], "chunk": rows["chunk"], "entry": borders[:-1], "exit": borders[1:]})
+
+
+def _own_traced(chunks: DataFrame, model) -> DataFrame:
+    """The pieces that begin in each chunk, from its entry to its exit."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = vocabulary(model.value, True)
+        for b in batches:
+            for x in b.to_pylist():
+                text, stop = x["text"], x["lead"] + x["size"]
+                entry, piece = v.border(text, x["lead"])[x["entry"]], v.border(text, stop)[x["exit"]]
+                _, before = v.paths(text, stop, [entry])
+                parts = []
+                while piece != entry:
+                    parts.append(text[piece[0] : piece[1]])
+                    piece = before[piece]
+                ids = array("i", v.ids_of(parts[::-1])).tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([x["row"]], pa.int64()), pa.array([x["chunk"]], pa.int32()), _list_array([ids])], ["row", "chunk", "ids"])
+
+    return chunks.select("row", "chunk", "lead", "size", "text", "entry", "exit").mapInArrow(run, "row bigint, chunk int, ids array<int>")
+
 
-    return chunks.select("row", "chunk", "text").mapInArrow(run, "row bigint, chunk int, ids array<int>")
+def _own_solved(chunks: DataFrame, model, at: list[str]) -> DataFrame:
+    """Pieces of a merge-order model's chunks, each between the borders of its text's only path."""
+    found = land(_own_matrices(chunks, model), "matrices")
+    borders = land(found.groupBy("row").applyInPandas(_own_borders, "row bigint, chunk int, entry int, exit int"), "borders")
+    return _own_traced(chunks.join(borders, at).repartition(*at), model)
 
 
 def _matrices(chunks: DataFrame, model) -> DataFrame:
@@ -380,8 +491,8 @@ def encode_giants(docs: DataFrame, model, chunk: int, own: bool = False) -> Data
     """``(id, sha, ids)`` of texts solved chunk by chunk."""
     at = ["row", "chunk"]
     merges = vocabulary(model.value, own).merges
-    chunks = land((_cut_at_borders if merges else _cut)(docs, model, chunk).repartition(*at), "chunks")
-    traced = land(_merged(chunks, model) if merges else _solved(chunks, model, at), "traced")
+    chunks = land((_cut_around if merges else _cut)(docs, model, chunk).repartition(*at), "chunks")
+    traced = land((_own_solved if merges else _solved)(chunks, model, at), "traced")
     whole = traced.groupBy("row").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("chunk", "ids"))), lambda x: x["ids"])).alias("ids"))
     return chunks.where("chunk = 0").select("row", "id", "sha").join(whole, "row").drop("row")
 
