@@ -1,15 +1,16 @@
 """Chat formatting by schema fingerprints: heterogeneous records become canonical turns, then marked text with a loss mask.
 
-A record's layout is the set of nested field paths that hold a value (``messages[].role``, for example). The sorted paths
-are hashed; the hash selects a declarative mapping (``MAPPINGS``) from fields to turns. All of it is one projection
-compiled from the table's schema and the mappings, so records of many layouts in one table (as Spark reads mixed JSON, with
-the union of all fields) are converted in one pass.
+A record's layout is the set of nested field paths that it has (``messages[].role``, for example): columns that hold a value, and all
+paths inside an array that is there, whatever its elements hold. The sorted paths of a mapping's own fields are hashed; the
+hash selects the declarative mapping (``MAPPINGS``, the first one first) from fields to turns. Paths foreign to it are listed as ``extra`` and change
+nothing. All of it is one projection compiled from the table's schema and the mappings, so records of many layouts in one table
+(as Spark reads mixed JSON, with the union of all fields) are converted in one pass.
 
 Text form: every turn is ``<|im_start|>role\\ntext<|im_end|>\\n``. Control strings inside texts and roles are made harmless by
 an escape after their first character, and escapes are doubled, so that the form can be read back exactly.
 
 Defined cases: a null text is empty; a null role is empty, a newline in a role becomes a space; a record without any mapped layout has null turns and the layout
-``unknown``; a record with no turns formats as empty text; turns keep their order, equal turn numbers are ordered by role and
+``unknown``; an empty array is no turns, which format as empty text; turns keep their order, equal turn numbers are ordered by role and
 text; repeated rows are repeated turns; an empty table stays empty; other columns pass through, clashing names are replaced.
 """
 
@@ -68,28 +69,32 @@ def fingerprint(paths) -> str:
 
 
 def _paths(kind: T.StructType, skip: tuple[str, ...]) -> list[tuple[str, Column]]:
-    """Each leaf path of the schema with the condition that a record holds a value there."""
+    """Each leaf path of the schema with the condition that a record has it: a value, or the outermost array around it."""
     out = []
 
-    def walk(name: str, kind: T.DataType, holds) -> None:
-        if isinstance(kind, T.StructType):
+    def walk(name: str, kind: T.DataType, value: Column | None, there: Column | None) -> None:
+        if isinstance(kind, T.ArrayType):
+            walk(f"{name}[]", kind.elementType, None, value.isNotNull() if there is None else there)
+        elif isinstance(kind, T.StructType):
             for f in kind.fields:
-                walk(f"{name}.{f.name}", f.dataType, lambda test, f=f: holds(lambda x: test(x[f.name])))
-        elif isinstance(kind, T.ArrayType):
-            walk(f"{name}[]", kind.elementType, lambda test: holds(lambda x: F.exists(x, lambda y: F.coalesce(test(y), F.lit(False)))))
+                walk(f"{name}.{f.name}", f.dataType, value[f.name] if there is None else None, there)
         else:
-            out.append((name, F.coalesce(holds(lambda x: x.isNotNull()), F.lit(False))))
+            out.append((name, value.isNotNull() if there is None else there))
 
     for f in kind.fields:
         if f.name not in skip:
-            walk(f.name, f.dataType, lambda test, f=f: test(F.col(f"`{f.name}`")))
+            walk(f.name, f.dataType, F.col(f"`{f.name}`"), None)
     return out
 
 
-def layout_hash(records: DataFrame, skip: tuple[str, ...]) -> Column:
-    """SHA-256 of the sorted paths that hold a value; columns of ``skip`` are no part of the layout."""
-    found = [F.when(holds, F.lit(path)) for path, holds in sorted(_paths(records.schema, skip), key=lambda p: p[0])]
-    return F.sha2(F.array_join(F.array_compact(F.array(*found, F.lit(None).cast("string"))), "\n"), 256)
+def _listed(paths: list[tuple[str, Column]]) -> Column:
+    """The paths that a record has, in order."""
+    return F.array_compact(F.array(*[F.when(there, F.lit(p)) for p, there in sorted(paths, key=lambda x: x[0])], F.lit(None).cast("string")))
+
+
+def layout_hash(paths: list[tuple[str, Column]]) -> Column:
+    """SHA-256 of the sorted paths that a record has."""
+    return F.sha2(F.array_join(_listed(paths), "\n"), 256)
 
 
 def _turn(role: Column, text: Column) -> Column:
@@ -117,17 +122,19 @@ def _turns(records: DataFrame, mapping: Mapping, layout: frozenset[str]) -> Colu
 
 
 def canonical_turns(records: DataFrame, keep: tuple[str, ...], mappings=MAPPINGS) -> DataFrame:
-    """``keep`` columns, ``layout`` (mapping's name or ``unknown``), ``layout_hash`` and ``turns``."""
-    columns = set(records.columns)
-    names, turns = F.lit("unknown"), F.lit(None).cast("array<struct<role:string,text:string>>")
-    print_ = F.col("layout_hash")
-    for m in mappings:
+    """``keep`` columns, ``layout`` (mapping's name or ``unknown``), ``layout_hash`` over all paths, ``extra`` paths and ``turns``."""
+    paths = _paths(records.schema, keep)
+    known = {p for p, _ in paths}
+    names, turns, extra = F.lit("unknown"), F.lit(None).cast("array<struct<role:string,text:string>>"), _listed(paths)
+    for m in reversed(mappings):
+        own = frozenset().union(*m.layouts())
+        print_, foreign = layout_hash([x for x in paths if x[0] in own]), _listed([x for x in paths if x[0] not in own])
         for layout in m.layouts():
-            if {p.split("[]")[0].split(".")[0] for p in layout} <= columns:
+            if layout <= known:
                 hit = print_ == fingerprint(layout)
                 names, turns = F.when(hit, m.name).otherwise(names), F.when(hit, _turns(records, m, layout)).otherwise(turns)
-    hashed = records.withColumn("layout_hash", layout_hash(records, keep))
-    return hashed.select(*keep, names.alias("layout"), "layout_hash", turns.alias("turns"))
+                extra = F.when(hit, foreign).otherwise(extra)
+    return records.select(*keep, names.alias("layout"), layout_hash(paths).alias("layout_hash"), extra.alias("extra"), turns.alias("turns"))
 
 
 def _quoted(text: str) -> str:

@@ -58,3 +58,23 @@ def test_rows_by_turn_with_nulls_ties_and_repeats(spark):
     out = chat.format_chats(chat.canonical_turns(chat.grouped_messages(
         spark.createDataFrame([], "conv_id int, turn int, role string, text string")), ("conv_id",)))
     assert out.collect() == []
+
+
+def test_foreign_paths_and_null_contents_keep_the_layout(spark):
+    """One more column, one more field in the messages, only null contents, and an empty array."""
+    kind = "conv_id int, messages array<struct<role:string,content:string,weight:double,tool:struct<name:string>>>, prompt string, completion string, source string, n array<int>"
+    rows = [(1, [("user", "a", 0.5, None), ("assistant", "b", None, ("t",))], None, None, "web", None), (2, [("user", None, None, None), ("assistant", None, None, None)], None, None, None, None),
+            (3, [], None, None, None, [1]), (4, None, "p", "c", "web", None), (5, None, "p", None, "web", None), (6, None, None, None, None, None), (7, [None, ("user", "x", None, None)], None, None, None, None)]
+    got = {r.conv_id: r for r in chat.format_chats(chat.canonical_turns(spark.createDataFrame(rows, kind), ("conv_id",))).collect()}
+    turns = {k: None if r.turns is None else [tuple(t) for t in r.turns] for k, r in got.items()}
+    assert turns == {1: [("user", "a"), ("assistant", "b")], 2: [("user", ""), ("assistant", "")], 3: [], 4: [("user", "p"), ("assistant", "c")], 5: None, 6: None,
+                     7: [("", ""), ("user", "x")]}
+    assert [got[k].layout for k in range(1, 8)] == ["messages"] * 3 + ["prompt", "unknown", "unknown", "messages"]
+    assert got[1].extra == ["messages[].tool.name", "messages[].weight", "source"] and got[4].extra == ["source"] and got[3].formatted == ""
+    assert got[3].extra == ["messages[].tool.name", "messages[].weight", "n[]"] and got[5].extra == ["prompt", "source"]
+
+
+def test_of_two_layouts_in_one_record_the_first_mapping_counts(spark):
+    df = spark.createDataFrame([("p", "c", "r")], "prompt string, completion string, response string")
+    row = chat.canonical_turns(df, ()).first()
+    assert (row.layout, row.extra, [tuple(t) for t in row.turns]) == ("prompt", ["response"], [("user", "p"), ("assistant", "c")])
