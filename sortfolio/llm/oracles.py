@@ -103,6 +103,18 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a
 SELECT lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM ranked JOIN total USING (lang) WHERE rank <= {top}"""
 
 
+def warc_round_trip() -> str:
+    digit = lambda i: f"(instr('0123456789abcdef', substr(h, CAST({i} AS BIGINT) + 1, 1)) - 1)"
+    # five bits of the digest from two of its hexadecimal digits
+    five = f"(({digit('5 * i // 4')} * 16 + {digit('5 * i // 4 + 1')}) >> CAST(3 - 5 * i % 4 AS INTEGER)) & 31"
+    return f"""
+WITH p AS (SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS t, sha1(coalesce(html, '')) AS h FROM pages),
+r AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY page_id NULLS FIRST) AS place, first_value(page_id) OVER (PARTITION BY t ORDER BY page_id NULLS FIRST) AS lead FROM p)
+SELECT page_id, url, CASE WHEN place = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN place > 1 THEN lead END AS refers_to,
+       CAST(octet_length(encode(t)) AS BIGINT) AS payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ({five}), 1)), '') AS payload_digest FROM r"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op8_decontamination": decontamination(), "op9_quality_rules": quality_rules(), "op10_chat_formatting": chat_formatting(),
+    return {"op3_warc_round_trip": warc_round_trip(), "op8_decontamination": decontamination(), "op9_quality_rules": quality_rules(), "op10_chat_formatting": chat_formatting(),
             "op11_phrase_collocations": phrase_collocations()}

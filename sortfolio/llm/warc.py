@@ -83,7 +83,7 @@ def train_dictionary(pages: DataFrame, key: str, url: str, payload: str) -> byte
 
 
 def marked_revisits(pages: DataFrame, key: str, url: str, payload: str, least_bytes: int) -> DataFrame:
-    """``(key, url, payload, digest, revisit, refers_to)``: the smallest key of equal payloads is their response."""
+    """``(key, url, payload, digest, revisit, refers_to, row)``: the smallest key of equal payloads is their response."""
     rows = land(pages.select(F.col(key).alias("page"), F.col(url).alias("url"), F.coalesce(F.col(payload), F.lit("")).alias("payload"))
                 .withColumn("digest", F.sha1(F.encode("payload", "UTF-8"))).withColumn("row", F.monotonically_increasing_id()), "pages")
     lead = F.min(F.struct("page", "row"))
@@ -93,7 +93,7 @@ def marked_revisits(pages: DataFrame, key: str, url: str, payload: str, least_by
     again = land(rows.where(F.octet_length("payload") >= least_bytes).select("row", "digest").join(firsts, "digest")
                  .where("row <> first_row").select("row", F.col("first").alias("refers_to"), F.lit(True).alias("revisit")), "again")
     return rows.join(again, "row", "left").select(
-        "page", "url", "payload", "digest", F.coalesce("revisit", F.lit(False)).alias("revisit"), "refers_to")
+        "page", "url", "payload", "digest", F.coalesce("revisit", F.lit(False)).alias("revisit"), "refers_to", "row")
 
 
 def write_warc(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", payload: str = "html", least_bytes: int = 0) -> None:
@@ -126,7 +126,8 @@ def write_warc(pages: DataFrame, path: str, key: str = "page_id", url: str = "ur
         if frames:
             yield pa.RecordBatch.from_arrays([pa.array(frames, pa.binary())], ["frame"])
 
-    dealt = marked.repartition(int(files), F.xxhash64(F.coalesce(F.col("page").cast("string"), F.lit("")), "url"))
+    # by the landed row's number: rows that share key and url are dealt out too
+    dealt = marked.repartition(int(files), "row").drop("row")
     (dealt.mapInArrow(run, "frame binary").select(F.col("frame").cast("string").alias("value"))
      .write.option("lineSep", SEPARATOR).option("compression", "none").text(path))
 

@@ -11,7 +11,7 @@ from sortfolio.llm import queries
 @pytest.mark.parametrize("name", list(queries.SQL))
 def test_query_agrees_with_its_sql(spark, sf_dir, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "conversations"):
+    for t in ("documents", "benchmark", "conversations", "pages"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf_dir}/{t}.parquet')")
     got = queries.QUERIES[name](spark, sf_dir)
     want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({queries.SQL[name]})").fetchall()

@@ -3,8 +3,10 @@ from __future__ import annotations
 import base64
 import glob
 import hashlib
+import os
 
 import zstandard
+from pyspark.sql import functions as F
 
 from sortfolio.llm import warc
 from sortfolio.llm.storage import shared_folder
@@ -59,3 +61,15 @@ def test_archives_lead_with_their_dictionary_and_are_plain_zstandard(spark):
 
 def test_empty_table(spark):
     assert warc.round_trip(pages(spark, [])).collect() == []
+
+
+def test_rows_without_key_and_url_make_several_archives(spark, monkeypatch):
+    """100,000 rows that differ in nothing but a short payload are dealt out, and all come back."""
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 1 << 19)
+    rows = spark.range(100_000).select(F.lit(None).cast("bigint").alias("page_id"), F.lit(None).cast("string").alias("url"), F.concat(
+        F.lit("<p>some payload of a page "), F.col("id").cast("string")).alias("html"))
+    path = shared_folder(spark, "archives")
+    warc.write_warc(rows, path)
+    sizes = [os.path.getsize(f) for f in glob.glob(f"{path}/part-*")]
+    assert len(sizes) >= 6 and max(sizes) < 3 * min(sizes)
+    assert warc.read_warc(spark, path).select("payload").distinct().count() == 100_000
