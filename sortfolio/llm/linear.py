@@ -32,14 +32,22 @@ def counted(row: np.ndarray, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def sample(labels: DataFrame, rows: int, key: str = "doc_id") -> DataFrame:
-    """At most ``rows`` rows, chosen by a hash of the key; the bound lets them be broadcast and collected."""
-    return labels.orderBy(F.xxhash64(F.col(key).cast("string"), F.lit("sample")), key).limit(rows)
+    """At most ``rows`` of distinct rows, those with the smallest hash of their key; the bound lets them be broadcast and collected.
+
+    A cut-off from the count leaves about twice as many before the ordered limit, which else would get ``rows`` of every task.
+    """
+    draw = F.xxhash64(F.col(key).cast("string"), F.lit("sample"))
+    n = labels.count()
+    if n > 2 * rows:
+        labels = labels.where(draw <= (2 * rows << 64) // n - (1 << 63))
+    return labels.orderBy(draw, key).limit(rows)
 
 
 def collect_features(docs: DataFrame, chosen: DataFrame, features: Features, key: str, text: str,
                      presence: bool = False) -> list[tuple[int, np.ndarray, np.ndarray]]:
     """``(label, slots, values)`` of the chosen documents, in a fixed order; ``chosen`` is bounded: ``(key, label)``.
 
+    Of several rows with one key the text of smallest hash is taken, once, so that the bound holds for rows too.
     With ``presence`` all values are one and aren't sent.
     """
 
@@ -55,8 +63,11 @@ def collect_features(docs: DataFrame, chosen: DataFrame, features: Features, key
                      pa.ListArray.from_arrays(offsets * 0 if presence else offsets, pa.array(value.astype(np.float32)))], ["id", "label", "slots", "values"])
 
     kind = docs.schema[key].dataType.simpleString()
-    picked = docs.select(F.col(key), F.col(text).alias("__text")).join(F.broadcast(chosen), key)
-    table = picked.select(F.col(key).alias("id"), F.col("label").cast("int").alias("label"), "__text").mapInArrow(
+    chosen = chosen.select(F.col(key).alias("id"), F.col("label").cast("int").alias("label"))
+    rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("hash"))
+    least = rows.join(F.broadcast(chosen.select("id").distinct()), "id").groupBy("id").agg(F.min("hash").alias("hash"))
+    one = rows.join(F.broadcast(least), ["id", "hash"]).groupBy("id").agg(F.first("text").alias("text"))
+    table = one.join(F.broadcast(chosen), "id").select("id", "label", "text").mapInArrow(
         run, f"id {kind}, label int, slots array<int>, values array<float>").toArrow()
     out = []
     for b in table.to_batches():
