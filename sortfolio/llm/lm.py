@@ -5,12 +5,13 @@ A text is read as its words, lower-cased in A-Z, each followed by a space, then
 1. One scan of the training texts counts windows of ``ORDER + 1`` bytes and words; both tables grow with the corpus and are summed
    by shuffles.
 2. Predictors: for each context of 1 to ``ORDER`` bytes and each beginning of the next byte's bits a slot counts the zeros and ones
-   that followed. Slots are hashed into tables of fixed size (``SLOT_BITS`` each, counts in one byte on a scale that is exact up to
-   32), so what is broadcast never grows.
+   that followed. Slots are hashed into a table for each order, with counts in one byte on a scale that is exact up to 32. Tables have
+   as many slots as there are distinct windows, up to the next power of two, so that contexts stay apart as the corpus grows; ``MOST_BITS``
+   bounds what is broadcast, and beyond it contexts begin to share slots.
 3. Mixing: each predictor's probability enters in the logistic domain; a gate (the bit's place, the longest context seen and how
-   often) selects the set of weights. Weights are learnt online, batch by batch in a fixed order in each partition of the window
-   table and averaged over the partitions. A window is predicted from counts without one occurrence of itself, as an unseen text is.
-4. Refinement: an adaptive probability map by gate and mixed probability, learnt from the same predictions, corrects the result.
+   often) selects the set of weights. Weights are learnt online, batch by batch as each partition of the window table streams by in the order
+   of hashes, and averaged over the partitions. A window is predicted from counts without one occurrence of itself, as an unseen text is.
+4. Refinement: an adaptive probability map by gate and mixed probability, gathered with these weights, corrects the result.
 5. Scoring: a text's score is the sum over its windows. Tasks score each distinct window once and remember it.
 
 The baseline needs each word's training count. The ``HEAD`` most frequent words are broadcast (a fixed number); all others are
@@ -36,7 +37,9 @@ from sortfolio.llm import tokens
 from sortfolio.llm.linear import part_of
 from sortfolio.llm.storage import land
 
-ORDER, SLOT_BITS, HEAD = 5, 22, 1 << 16
+ORDER, HEAD = 5, 1 << 16
+#: slots of a table, in bits: 168 MB for all orders at most
+LEAST_BITS, MOST_BITS = 18, 24
 BLOCK_BITS = 16
 GATES, INPUTS, BUCKETS = 8 * (ORDER + 1) * 4, ORDER + 1, 33
 END = tokens.mix(np.array([1], np.uint64))[0]
@@ -129,7 +132,12 @@ def corpus_counts(docs: DataFrame, text: str) -> DataFrame:
     return docs.select(F.col(text).alias("text")).mapInArrow(run, "kind int, key bigint, n bigint").groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
-def _slots(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def slot_bits(n: int) -> int:
+    """Bits of a table's slots for so many distinct windows."""
+    return min(MOST_BITS, max(LEAST_BITS, (max(n, 1) - 1).bit_length()))
+
+
+def _slots(keys: np.ndarray, bits_: int) -> tuple[np.ndarray, np.ndarray]:
     """Slot of each window's every bit in every order's table (window, bit, order), and the bits."""
     byte = keys & _U(255)
     bit = np.arange(8, dtype=np.uint64)
@@ -137,10 +145,10 @@ def _slots(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     bits = ((byte[:, None] >> (_U(7) - bit)) & _U(1)).astype(np.int8)
     context = np.stack([tokens.mix(((keys >> _U(8)) & _U((1 << 8 * k) - 1)) + _U(k << 56)) for k in range(1, ORDER + 1)], axis=1)
     h = (context[:, None, :] ^ (node[:, :, None] * _U(0x9E3779B97F4A7C15))) * _U(0xD6E8FEB86659FD93)
-    return (h >> _U(64 - SLOT_BITS)).astype(np.int64), bits
+    return (h >> _U(64 - bits_)).astype(np.int64), bits
 
 
-def bit_counts(wide: DataFrame) -> DataFrame:
+def bit_counts(wide: DataFrame, size: int) -> DataFrame:
     """``(slot, n0, n1)`` over all orders' tables; the order stands above the slot's bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,8 +156,8 @@ def bit_counts(wide: DataFrame) -> DataFrame:
         for b in batches:
             keys, n = np.asarray(b.column(0), dtype=np.int64).view(np.uint64), np.asarray(b.column(1), dtype=np.int64)
             for i in range(0, len(keys), 1 << 13):
-                slot, bits = _slots(keys[i : i + (1 << 13)])
-                slot = slot + (np.arange(ORDER) << SLOT_BITS)
+                slot, bits = _slots(keys[i : i + (1 << 13)], size)
+                slot = slot + (np.arange(ORDER) << size)
                 total.add(((slot << 1) | bits[:, :, None]).astype(np.uint64).ravel(), np.repeat(n[i : i + (1 << 13)], 8 * ORDER))
         total.merge()
         for i in range(0, len(total.keys), 1 << 16):
@@ -167,9 +175,9 @@ def _packed(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"block": [rows["block"].iloc[0]], "data": [out.tobytes()]})
 
 
-def tables(counts: DataFrame) -> np.ndarray:
-    """The predictors' tables (order, slot) of two packed codes; of fixed size."""
-    out = np.zeros((ORDER << SLOT_BITS, 2), np.uint8)
+def tables(counts: DataFrame, size: int) -> np.ndarray:
+    """The predictors' tables (order, slot) of two packed codes."""
+    out = np.zeros((ORDER << size, 2), np.uint8)
     blocks = counts.withColumn("block", F.shiftright("slot", BLOCK_BITS)).groupBy("block").applyInPandas(_packed, "block bigint, data binary")
     for row in blocks.toLocalIterator():
         out[row.block << BLOCK_BITS : (row.block + 1) << BLOCK_BITS] = np.frombuffer(row.data, np.uint8).reshape(-1, 2)
@@ -202,48 +210,78 @@ def first_weights() -> np.ndarray:
     return out
 
 
-def learn(table: np.ndarray, keys: np.ndarray, n: np.ndarray, rate: float = 0.02, batch: int = 1024) -> tuple[np.ndarray, np.ndarray]:
-    """Weights after one online pass over the windows, and the map's ``(ones, all)`` by gate and bucket after a second look."""
-    weights, seen_map = first_weights(), np.zeros((GATES, BUCKETS, 2))
-    order = np.argsort(tokens.mix(keys), kind="stable")
-    keys, n = keys[order], n[order].astype(np.float64)
-    for look in (0, 1):
-        for i in range(0, len(keys), batch):
-            slot, bits = _slots(keys[i : i + batch])
-            pair = COUNTS[table[np.arange(ORDER), slot]]
-            pair[:, :, :, 0] = np.maximum(0, pair[:, :, :, 0] - (bits == 0)[:, :, None])  # without one occurrence of itself
-            pair[:, :, :, 1] = np.maximum(0, pair[:, :, :, 1] - (bits == 1)[:, :, None])
-            gate = _gates(pair.sum(3))
-            x = np.concatenate([stretch(pair[..., 0], pair[..., 1]), np.ones(bits.shape + (1,))], axis=2)
-            z = (x * weights[gate]).sum(2)
-            mass = np.repeat(n[i : i + batch], 8).reshape(-1, 8)
-            if look:
-                np.add.at(seen_map, (gate, _bucket(z)), np.stack([mass * bits, mass], axis=2))
-                continue
-            pull = ((bits - _sigmoid(z)) * mass)[:, :, None] * x
-            total = np.bincount(gate.ravel(), weights=mass.ravel(), minlength=GATES)
-            step = np.stack([np.bincount(gate.ravel(), weights=pull[:, :, k].ravel(), minlength=GATES) for k in range(INPUTS)], axis=1)
-            weights += rate * step / np.maximum(total, 1)[:, None]
-    return weights, seen_map
-
-
-def mixer(wide: DataFrame, sent) -> tuple[np.ndarray, np.ndarray]:
-    """Weights averaged over the partitions by their text, and the refinement map; both of fixed size."""
+def _inputs(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each bit of the windows, its gate, and what the predictors say from counts without one occurrence of the window itself."""
+    slot, bits = _slots(keys, table.shape[1].bit_length() - 1)
+    pair = COUNTS[table[np.arange(ORDER), slot]]
+    pair[:, :, :, 0] = np.maximum(0, pair[:, :, :, 0] - (bits == 0)[:, :, None])
+    pair[:, :, :, 1] = np.maximum(0, pair[:, :, :, 1] - (bits == 1)[:, :, None])
+    return bits, _gates(pair.sum(3)), np.concatenate([stretch(pair[..., 0], pair[..., 1]), np.ones(bits.shape + (1,))], axis=2)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [(np.asarray(b.column(0), dtype=np.int64).view(np.uint64), np.asarray(b.column(1), dtype=np.int64)) for b in batches]
-        if parts:
-            n = np.concatenate([p[1] for p in parts])
-            weights, seen = learn(sent.value, np.concatenate([p[0] for p in parts]), n)
-            values = np.concatenate([weights.ravel() * n.sum(), [float(n.sum())], seen.ravel()])
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(values))), pa.array(values)], ["k", "x"])
 
-    rows = wide.select("key", "n").mapInArrow(run, "k bigint, x double").groupBy("k").agg(F.sum("x").alias("x")).toPandas()
-    if rows.empty:
-        return first_weights(), np.zeros((GATES, BUCKETS, 2))
-    values = rows.sort_values("k")["x"].to_numpy()
-    cut = GATES * INPUTS
-    return (values[:cut] / values[cut]).reshape(GATES, INPUTS), values[cut + 1 :].reshape(GATES, BUCKETS, 2)
+def _streamed(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Windows and their counts, some at a time."""
+    for b in batches:
+        keys, n = np.asarray(b.column(0), dtype=np.int64).view(np.uint64), np.asarray(b.column(1), dtype=np.float64)
+        for i in range(0, len(keys), size):
+            yield keys[i : i + size], n[i : i + size]
+
+
+def learn(weights: np.ndarray, table: np.ndarray, keys: np.ndarray, n: np.ndarray, rate: float = 0.02) -> None:
+    """One step of the gates' weights on a batch of windows."""
+    bits, gate, x = _inputs(table, keys)
+    mass = np.repeat(n, 8).reshape(-1, 8)
+    pull = ((bits - _sigmoid((x * weights[gate]).sum(2))) * mass)[:, :, None] * x
+    total = np.bincount(gate.ravel(), weights=mass.ravel(), minlength=GATES)
+    step = np.stack([np.bincount(gate.ravel(), weights=pull[:, :, k].ravel(), minlength=GATES) for k in range(INPUTS)], axis=1)
+    weights += rate * step / np.maximum(total, 1)[:, None]
+
+
+def look(seen: np.ndarray, weights: np.ndarray, table: np.ndarray, keys: np.ndarray, n: np.ndarray) -> None:
+    """Adds a batch of windows to the map's ``(ones, all)`` by gate and bucket."""
+    bits, gate, x = _inputs(table, keys)
+    mass = np.repeat(n, 8).reshape(-1, 8)
+    np.add.at(seen, (gate, _bucket((x * weights[gate]).sum(2))), np.stack([mass * bits, mass], axis=2))
+
+
+def _added(rows: DataFrame) -> np.ndarray | None:
+    """Sums by place of vectors that tasks gave as ``(k, x)``."""
+    found = rows.groupBy("k").agg(F.sum("x").alias("x")).toPandas()
+    return None if found.empty else found.sort_values("k")["x"].to_numpy()
+
+
+def _vector(values: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.arange(len(values))), pa.array(values)], ["k", "x"])
+
+
+def mixer(wide: DataFrame, sent, batch: int = 1024) -> tuple[np.ndarray, np.ndarray]:
+    """Weights averaged over the partitions by their text, and the refinement map; both of fixed size.
+
+    A task holds one batch of windows at a time. Their order is that of a hash, whatever order the shuffle brings them in.
+    """
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights, total = first_weights(), 0.0
+        for keys, n in _streamed(batches, batch):
+            learn(weights, sent.value, keys, n)
+            total += n.sum()
+        if total:
+            yield _vector(np.concatenate([weights.ravel() * total, [total]]))
+
+    dealt = wide.select("key", "n").repartition("key").sortWithinPartitions(F.xxhash64("key"), "key")
+    values = _added(dealt.mapInArrow(weigh, "k bigint, x double"))
+    seen = np.zeros((GATES, BUCKETS, 2))
+    if values is None:
+        return first_weights(), seen
+    weights = (values[:-1] / values[-1]).reshape(GATES, INPUTS)
+
+    def map_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mine = np.zeros((GATES, BUCKETS, 2))
+        for keys, n in _streamed(batches, batch):
+            look(mine, weights, sent.value, keys, n)
+        yield _vector(mine.ravel())
+
+    return weights, _added(wide.select("key", "n").mapInArrow(map_, "k bigint, x double")).reshape(seen.shape)
 
 
 class Scorer:
@@ -264,7 +302,7 @@ class Scorer:
     def fresh(self, keys: np.ndarray) -> np.ndarray:
         out = np.zeros(len(keys), np.float32)
         for i in range(0, len(keys), 1 << 12):
-            slot, bits = _slots(keys[i : i + (1 << 12)])
+            slot, bits = _slots(keys[i : i + (1 << 12)], self.table.shape[1].bit_length() - 1)
             pair = self.table[np.arange(ORDER), slot]
             gate = _gates(self.both[pair])
             w = self.weights[gate]
@@ -329,8 +367,9 @@ def lm_scores(docs: DataFrame, parts: int = 5, held: int = 1, key: str = "doc_id
     spark, part = docs.sparkSession, part_of(key, parts)
     counts = land(corpus_counts(docs.where(part != held), text), "counts")
     wide, words = counts.where("kind = 0"), counts.where("kind = 1")
-    table = tables(bit_counts(wide))
-    weights, seen = mixer(wide.repartition("key"), spark.sparkContext.broadcast(table))
+    size = slot_bits(wide.count())
+    table = tables(bit_counts(wide, size), size)
+    weights, seen = mixer(wide, spark.sparkContext.broadcast(table))
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     # written first: collecting an ordered limit would send every task's own top to the driver
     top = land(words.select("key", "n").orderBy(F.desc("n"), "key").limit(HEAD), "head").toPandas()

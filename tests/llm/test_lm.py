@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sortfolio.llm import lm
 from tests.llm.conftest import documents
@@ -48,7 +49,7 @@ def test_noise_is_unlikely(spark, corpus):
 
 def test_probabilities_of_the_next_byte_sum_to_one():
     r = np.random.default_rng(0)
-    table = r.integers(0, 40, (lm.ORDER, 1 << lm.SLOT_BITS, 2)).astype(np.uint8)
+    table = r.integers(0, 40, (lm.ORDER, 1 << lm.LEAST_BITS, 2)).astype(np.uint8)
     seen = r.random((lm.GATES, lm.BUCKETS, 2)) * 50
     seen[..., 0] *= seen[..., 1] / 50
     model = lm.Scorer("t", table, r.random((lm.GATES, lm.INPUTS)), seen)
@@ -63,3 +64,115 @@ def test_empty_table_and_no_training_text(spark):
     row = lm.lm_scores(documents(spark, [(only, "ab")])).first()
     assert (row.held_out, row.n_tokens, row.n_known, row.train_tokens, row.base_score) == (True, 2, 0, 0, 0)
     assert row.bits_per_byte == pytest.approx(8, abs=0.01)
+
+
+# --- the model in plain Python ----------------------------------------------------------------
+
+def windows_of(text):
+    data = "".join(t + " " for t in tokens_of(text)[:-1]).encode() + b"\n"
+    return [int.from_bytes(data[max(0, i - lm.ORDER) : i + 1], "big") for i in range(len(data))]
+
+
+def plain_model(texts, parts):
+    """Scores of texts from training texts, bit by bit; ``parts``: the windows of each partition in their order."""
+    counts = Counter(w for t in texts for w in windows_of(t))
+    size = lm.slot_bits(len(counts))
+    slots = {}
+
+    def bits_of(w):
+        if w not in slots:
+            at, bits = lm._slots(np.array([w], np.uint64), size)
+            slots[w] = at[0].tolist(), bits[0].tolist()
+        return zip(*slots[w])
+
+    table = Counter()
+    for w, n in counts.items():
+        for row, bit in bits_of(w):
+            for order, slot in enumerate(row):
+                table[order, slot, bit] += n
+    coded = {k: float(lm.COUNTS[lm.codes(np.array([n]))[0]]) for k, n in table.items()}
+
+    def view(w, less):
+        """For each bit of a window: the bit, its gate and the inputs."""
+        for place, (row, bit) in enumerate(bits_of(w)):
+            pairs = [[max(0.0, coded.get((o, s, b), 0.0) - less * (b == bit)) for b in (0, 1)] for o, s in enumerate(row)]
+            seen = [sum(p) for p in pairs]
+            longest = sum(x > 0 for x in seen)
+            n = seen[max(longest - 1, 0)]
+            gate = (place * (lm.ORDER + 1) + longest) * 4 + (n > 1) + (n > 3) + (n > 12)
+            yield bit, gate, [math.log((p[1] + 0.05) / (p[0] + 0.05)) if sum(p) else 0.0 for p in pairs] + [1.0]
+
+    sigmoid = lambda z: 1 / (1 + math.exp(-max(-20.0, min(20.0, z))))
+    bucket = lambda z: int(max(0, min(lm.BUCKETS - 1, np.round(z * 2) + lm.BUCKETS // 2)))
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b))
+    total, mean = 0.0, {}
+    for part in parts:
+        weights = {g: [0.3] * lm.ORDER + [0.0] for g in range(lm.GATES)}
+        mass = float(sum(counts[w] for w in part))
+        for i in range(0, len(part), 1024):
+            pull, all_ = {}, Counter()
+            for w in part[i : i + 1024]:
+                for bit, gate, x in view(w, 1):
+                    error = (bit - sigmoid(dot(x, weights[gate]))) * counts[w]
+                    pull[gate] = [p + error * v for p, v in zip(pull.get(gate, [0.0] * lm.INPUTS), x)]
+                    all_[gate] += counts[w]
+            for gate, p in pull.items():
+                weights[gate] = [v + 0.02 * q / max(all_[gate], 1) for v, q in zip(weights[gate], p)]
+        total += mass
+        for g, v in weights.items():
+            mean[g] = [m + q * mass for m, q in zip(mean.get(g, [0.0] * lm.INPUTS), v)]
+    weights = {g: [v / total for v in q] for g, q in mean.items()}
+    ones, every = Counter(), Counter()
+    for w, n in counts.items():
+        for bit, gate, x in view(w, 1):
+            at = gate, bucket(dot(x, weights[gate]))
+            ones[at] += n * bit
+            every[at] += n
+
+    def score(text):
+        out = 0.0
+        for w in windows_of(text):
+            for bit, gate, x in view(w, 0):
+                z = dot(x, weights[gate])
+                at = gate, bucket(z)
+                refined = (ones[at] + 20 * sigmoid((at[1] - lm.BUCKETS // 2) / 2)) / (every[at] + 20)
+                p = max(1e-6, min(1 - 1e-6, 0.5 * sigmoid(z) + 0.5 * refined))
+                out += math.log10(p if bit else 1 - p)
+        return out
+
+    return score
+
+
+def test_scores_equal_plain_python(spark):
+    """50 short texts; the order of windows is asked from Spark, all else is computed bit by bit."""
+    r = random.Random(8)
+    rows = [(i, " ".join(r.choices(["the", "cat", "Sat", "on", "mats", "été", "dogs"], k=r.randint(0, 9)))) for i in range(50)]
+    learnt = [t for i, t in rows if zlib.crc32(str(i).encode()) % 5 != 1]
+    keys = sorted({w for t in learnt for w in windows_of(t)})
+    signed = spark.createDataFrame([(w - (1 << 64) if w >> 63 else w,) for w in keys], "key bigint")
+    dealt = signed.repartition("key").sortWithinPartitions(F.xxhash64("key"), "key").select("key", F.spark_partition_id().alias("p")).collect()
+    parts = {}
+    for x in dealt:
+        parts.setdefault(x.p, []).append(x.key % (1 << 64))
+    score = plain_model(learnt, [parts[p] for p in sorted(parts)])
+    got = {x.doc_id: x.score for x in lm.lm_scores(documents(spark, rows)).collect()}
+    assert all(got[i] == pytest.approx(score(t), rel=2e-4, abs=2e-4) for i, t in rows)
+
+
+def test_slots_follow_the_distinct_windows_up_to_a_bound():
+    assert [lm.slot_bits(n) for n in (0, 1, 1 << 18, (1 << 18) + 1, 1 << 23, 1 << 40)] == [18, 18, 18, 19, 23, 24]
+
+
+def test_a_task_holds_one_batch_of_windows():
+    """Windows are taken from the iterator as they are needed."""
+    import pyarrow as pa
+
+    asked = []
+
+    def batches():
+        for i in range(5):
+            asked.append(i)
+            yield pa.RecordBatch.from_arrays([pa.array([i] * 3000, pa.int64()), pa.array([1] * 3000, pa.int64())], ["key", "n"])
+
+    sizes = [len(k) for k, _ in zip((k for k, _ in lm._streamed(batches(), 1024)), range(4))]
+    assert sizes == [1024, 1024, 952, 1024] and asked == [0, 1]
