@@ -1,11 +1,12 @@
-"""Exact group quantiles with bounded work per task, in one way for groups of any size.
+"""Exact group quantiles with bounded work per task.
 
-Equal values are counted first (combined on the map side), so no value is hot.  The counts are
-range-partitioned by group and value and landed with their partition's number: a large group
+Equal values are counted first (combined on the map side), so no value is hot.  Groups of at most
+``CELL`` rows are ranked by one window.  The counts of larger groups are
+range-partitioned by group and value and landed with their partition's number: such a group
 lies in many partitions, each a run of its sorted values.  Summed counts per group and partition
 are a small table, whose running sums tell which partitions hold a wanted rank; only those are
-ranked by a window inside (group, partition).  No group is ever held by one task, no row is
-dropped and nothing is approximated.
+ranked by a window inside (group, partition).  No task holds more than ``CELL`` rows of a group or its
+share of a partition, no row is dropped and nothing is approximated; both ways give the same numbers.
 """
 
 from __future__ import annotations
@@ -18,6 +19,10 @@ from pyspark.sql import functions as F
 
 from sortfolio.landing import land
 
+#: rows of a group that one task may rank
+CELL = 1 << 16
+
+
 def _rank_low(p: float, n: Column) -> Column:
     return F.floor(F.lit(p) * (n - 1))
 
@@ -48,10 +53,29 @@ def _name(p: float) -> str:
     return str(p).replace(".", "_")
 
 
-def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: Sequence[float]) -> DataFrame:
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: Sequence[float], cell: int = CELL) -> DataFrame:
     """One row per key with ``n`` and a column ``q_<p>`` for every probability; keys are never missing."""
     v = df.select(*keys, F.col(value).alias("x")).filter(F.col("x").isNotNull())
-    counts = land(v.groupBy(*keys, "x").agg(F.count(F.lit(1)).alias("c")), "values")
+    large = land(v.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > cell).select(*keys), "large")
+    if large.isEmpty():
+        return _in_one_window(v, keys, probs)
+    whole = _in_one_window(v.join(large, keys, "left_anti"), keys, probs)
+    return whole.unionByName(_in_many_parts(v.join(large, keys, "left_semi"), keys, probs))
+
+
+def _counts(v: DataFrame, keys: list[str]) -> DataFrame:
+    return v.groupBy(*keys, "x").agg(F.count(F.lit(1)).alias("c"))
+
+
+def _in_one_window(v: DataFrame, keys: list[str], probs: Sequence[float]) -> DataFrame:
+    group = Window.partitionBy(*keys)
+    upto = group.orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = _counts(v, keys).withColumns({"before": F.sum("c").over(upto) - F.col("c"), "n": F.sum("c").over(group)})
+    return _picked(ranked, keys, probs)
+
+
+def _in_many_parts(v: DataFrame, keys: list[str], probs: Sequence[float]) -> DataFrame:
+    counts = land(_counts(v, keys), "values")
     dealt = land(counts.repartitionByRange(*keys, "x").withColumn("part", F.spark_partition_id()), "dealt")
     whole = Window.partitionBy(*keys)
     upto = whole.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)
@@ -59,8 +83,12 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: Sequence[
              .withColumn("before", F.sum("c").over(upto) - F.col("c")).withColumn("n", F.sum("c").over(whole))
              .filter(_wanted(probs)).select(*keys, "part", "n", F.col("before").alias("base")))
     inside = Window.partitionBy(*keys, "part").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = dealt.join(parts, [*keys, "part"]).withColumn(
-        "before", F.col("base") + F.sum("c").over(inside) - F.col("c"))
+    return _picked(dealt.join(parts, [*keys, "part"]).withColumn(
+        "before", F.col("base") + F.sum("c").over(inside) - F.col("c")), keys, probs)
+
+
+def _picked(ranked: DataFrame, keys: list[str], probs: Sequence[float]) -> DataFrame:
+    """Quantiles from ranked values (``before``: rows of the group below, ``n``: all its rows)."""
     n = F.col("n")
     stats = []
     for p in probs:

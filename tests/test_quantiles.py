@@ -3,7 +3,7 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
-from sortfolio.operators.quantiles import exact_quantiles
+from sortfolio.operators.quantiles import CELL, exact_quantiles
 
 PROBS = [0.0, 0.1, 0.25, 0.3, 0.5, 0.7, 0.9, 1.0]
 
@@ -23,12 +23,13 @@ def groups() -> dict[str, np.ndarray]:
     }
 
 
-def test_matches_numpy(spark):
-    """Groups that fit a partition and groups that lie in many give the exact values."""
+@pytest.mark.parametrize("cell", [0, 1600, CELL])
+def test_matches_numpy(spark, cell):
+    """Groups that fit a window and groups that lie in many parts give the exact values, and so do some of each."""
     data = groups()
     rows = [(k, float(x)) for k, xs in data.items() for x in xs] + [("normal", None)]
     df = spark.createDataFrame(rows, "g STRING, x DOUBLE").repartition(8)
-    got = {r.g: r for r in exact_quantiles(df, ["g"], "x", PROBS).collect()}
+    got = {r.g: r for r in exact_quantiles(df, ["g"], "x", PROBS, cell).collect()}
     assert set(got) == set(data)
     for k, xs in data.items():
         assert got[k].n == len(xs)

@@ -477,19 +477,27 @@ def oracle_sql() -> dict[str, str]:
     o["formation_calendar"] = "SELECT jdate FROM junes"
     o["formation_year"] = "SELECT permno, jdate, CAST(year(jdate) AS INTEGER) AS ffyear FROM chars"
     # sinks
-    o["write_factors"] = (f"SELECT replace(source_file, 'measures_', '2x3_factors_') || '_robust(nf)' AS file, date, {r(TABLE, 6)}, "
-                          "'nf' AS measures_robust_bp, bp, measure FROM ft3r")
-    o["write_factor_nfirms"] = (
-        "SELECT replace(source_file, 'measures_', '2x3_factors_nfirms_') || '_robust(nf)' AS file, jdate, "
-        + ", ".join(f"\"{c}\"" for c in TABLE) + f", 'nf' AS measures_robust_bp, bp, measure FROM nf3 {COMPLETE}")
-    o["write_portfolios"] = (
-        "SELECT replace(source_file, 'measures_', 'bivariate_sorts_test_portfolios_') AS file, date, ptf_code, "
-        f"round(ret, 6) AS ret, sort_on, measure_index AS measure FROM excb JOIN legend USING ({S})")
-    o["write_portfolio_nfirms"] = (
-        "SELECT replace(source_file, 'measures_', 'bivariate_sorts_test_portfolios_nfirms_') AS file, jdate AS date, ptf_code, "
-        f"n_both AS nfirms, sort_on, measure_index AS measure FROM srtb JOIN legend USING ({S})")
-    o["write_legend"] = ("SELECT replace(source_file, 'measures_', 'measures_legend_bivariate_sorts_test_portfolios_') AS file, "
-                         "measure, measure_index AS \"index\" FROM legend")
+    median = (("2x2", "ft2", "nf2"), ("2x2x2x2x2", "ftf", "nf5"))
+    o["write_factors"] = " UNION ALL ".join(
+        [f"SELECT replace(source_file, 'measures_', '2x3_factors_') || '_robust(nf)' AS file, date, {r(TABLE, 6)}, "
+         "'nf' AS measures_robust_bp, bp, measure FROM ft3r"]
+        + [f"SELECT replace(source_file, 'measures_', '{kind}_factors_'), date, {r(TABLE)}, '', bp, measure FROM {ft}" for kind, ft, _ in median])
+    quoted = lambda cols: ", ".join(f"\"{c}\"" for c in cols)
+    o["write_factor_nfirms"] = " UNION ALL ".join(
+        [f"SELECT replace(source_file, 'measures_', '2x3_factors_nfirms_') || '_robust(nf)' AS file, jdate, {quoted(TABLE)}, "
+         f"'nf' AS measures_robust_bp, bp, measure FROM nf3 {COMPLETE}"]
+        + [f"SELECT replace(source_file, 'measures_', '{kind}_factors_nfirms_'), jdate, "
+           f"{quoted(TABLE) if kind != '2x2' else 'NULL, ' + quoted(TABLE[1:])}, '', bp, measure FROM {nf}" for kind, _, nf in median])
+    kinds = (("bivariate", "b"), ("three_way", "t"))
+    o["write_portfolios"] = " UNION ALL ".join(
+        f"SELECT replace(source_file, 'measures_', '{kind}_sorts_test_portfolios_') AS file, date, ptf_code, "
+        f"round(ret, 6) AS ret, sort_on, measure_index AS measure FROM exc{t} JOIN legend USING ({S})" for kind, t in kinds)
+    o["write_portfolio_nfirms"] = " UNION ALL ".join(
+        f"SELECT replace(source_file, 'measures_', '{kind}_sorts_test_portfolios_nfirms_') AS file, jdate AS date, ptf_code, "
+        f"n_both AS nfirms, sort_on, measure_index AS measure FROM srt{t} JOIN legend USING ({S})" for kind, t in kinds)
+    o["write_legend"] = " UNION ALL ".join(
+        f"SELECT replace(source_file, 'measures_', 'measures_legend_{kind}_sorts_test_portfolios_') AS file, "
+        "measure, measure_index AS \"index\" FROM legend" for kind, _ in kinds)
     # filters and flags
     for v in ("size", "bm", "inv", "op"):
         o[f"nyse_universe_{v}"] = f"SELECT permno, jdate FROM chars WHERE {U[v]}"
@@ -518,13 +526,14 @@ def oracle_sql() -> dict[str, str]:
                         f"(SELECT DISTINCT {S} FROM mk2) k CROSS JOIN bench b LEFT JOIN mk2 m ON m.jdate = b.date "
                         "AND m.source_file = k.source_file AND m.measure = k.measure")
     pub = ["Mkt-RF", "SMB", "HML", "RMW", "CMA"]
-    o["compare_factors"] = (
-        f"SELECT f.date, " + ", ".join(f"round(f.\"{c}\", 9) AS \"{c}\"" for c in TABLE) + ", "
+    factor_kinds = (("2x3", "ft3r"), ("2x2", "ft2"), ("2x2x2x2x2", "ftf"))
+    o["compare_factors"] = " UNION ALL ".join(
+        "SELECT f.date, " + ", ".join(f"round(f.\"{c}\", 9) AS \"{c}\"" for c in TABLE) + ", "
         + ", ".join(f"round(b.\"{c}\", 9) AS \"{c}_orig\"" for c in pub)
-        + ", b.RF, f.source_file, f.measure FROM ft2 f JOIN bench b ON b.date = f.date")
+        + f", b.RF, f.bp, f.source_file, f.measure, '{kind}' AS kind FROM {ft} f JOIN bench b ON b.date = f.date" for kind, ft in factor_kinds)
     cmp_sql = ("SELECT p.date, p.ptf_code, e.source_file, e.measure, {0}, e.sort_on AS sort_on_x, p.sort_on AS sort_on_y "
                "FROM pub_{2} p LEFT JOIN exc{1} e ON e.date = p.date AND e.ptf_code = p.ptf_code")
-    o["compare_portfolios"] = cmp_sql.format("round(e.ret, 9) AS ret_x, p.ret AS ret_y", "b", "biv")
+    o["compare_portfolios"] = " UNION ALL ".join(cmp_sql.format("round(e.ret, 9) AS ret_x, p.ret AS ret_y", *x) for x in (("b", "biv"), ("t", "thr")))
     # breakpoints
     o["size_median"] = f"SELECT source_file, jdate, round(size50, 9) AS sizemedn FROM bph"
     o["char_breakpoints"] = (f"SELECT source_file, jdate, {r([f'{v}{round(p * 100)}' for v in ('bm', 'inv', 'op') for p in PCTS])} "
@@ -581,8 +590,8 @@ def oracle_sql() -> dict[str, str]:
     o["market_excess"] = (f"SELECT k.source_file, k.measure, b.date AS jdate, round(m.Mkt - b.RF, 9) AS \"Mkt-RF\" FROM "
                           f"(SELECT DISTINCT {S} FROM mk2) k CROSS JOIN bench b LEFT JOIN mk2 m ON m.jdate = b.date "
                           "AND m.source_file = k.source_file AND m.measure = k.measure")
-    o["portfolios_long"] = (f"SELECT {S}, jdate, ptf_code, round(vwret, 9) AS ret, sort_on, measure_index "
-                            f"FROM srtb JOIN legend USING ({S})")
+    o["portfolios_long"] = " UNION ALL ".join(
+        f"SELECT {S}, jdate, ptf_code, round(vwret, 9) AS ret, sort_on, measure_index FROM srt{t} JOIN legend USING ({S})" for t in "bt")
     # factors
     for name, m in (("hml", "bm"), ("cma", "inv"), ("rmw", "op"), ("xmy", "nf")):
         o[f"{name}_2x3"] = _spread_query("vw3r", {F_OF[m]: hedge(m)})
@@ -611,18 +620,20 @@ def oracle_sql() -> dict[str, str]:
     o["portfolio_group_count"] = (f"SELECT {S}, count(DISTINCT szport || bmport || opport || invport || nfport) AS n_groups "
                                   f"FROM as2 GROUP BY {S}")
     o["portfolios_per_date"] = f"SELECT {S}, sort_on, jdate, count(DISTINCT ptf_code) AS n_portfolios FROM srtb GROUP BY {S}, sort_on, jdate"
-    o["misassigned_check"] = f"SELECT {S}, " + ", ".join(
+    o["misassigned_check"] = " UNION ALL ".join(f"SELECT {S}, '{kind}' AS kind, " + ", ".join(
         f"CAST(count(DISTINCT CASE WHEN {FLAG[m]} = 0 THEN {m}port END) AS INTEGER) AS {m}_misassigned"
-        for m in ("size", "bm", "op", "inv")) + f" FROM as5 GROUP BY {S}"
+        for m in ("size", "bm", "op", "inv")) + f" FROM {t} GROUP BY {S}" for kind, t in (("bivariate", "as5"), ("three_way", "as4")))
     tq = ", ".join(f"\"{c}\"" for c in TABLE)
     o["factor_nfirms_2x3"] = f"SELECT {S}, bp, jdate, {tq} FROM nf3"
     o["factor_nfirms_2x2"] = f"SELECT {S}, jdate, {', '.join(TABLE[1:])} FROM nf2"
     o["factor_nfirms_5way"] = f"SELECT {S}, jdate, {tq} FROM nf5"
-    o["factor_coverage_pct"] = (
-        f"SELECT n.source_file, n.measure, n.bp, " + ", ".join(
-            f"round(avg({pct('n.' + chr(34) + c + chr(34), 't.month_rows')}), 6) AS \"{c}\"" for c in TABLE)
-        + f" FROM nf3 n JOIN (SELECT {S}, jdate, count(*) AS month_rows FROM mo3r GROUP BY {S}, jdate) t "
-        "ON t.source_file = n.source_file AND t.measure = n.measure AND t.jdate = n.jdate GROUP BY 1, 2, 3")
+    o["factor_coverage_pct"] = " UNION ALL ".join(
+        f"SELECT n.source_file, n.measure, n.bp, '{kind}' AS kind, " + ", ".join(
+            f"round(avg({pct('n.' + chr(34) + c + chr(34), 't.month_rows')}), 6) AS \"{c}\"" if kind != "2x2" or c != TABLE[0] else f"NULL AS \"{c}\""
+            for c in TABLE)
+        + f" FROM {nf} n JOIN (SELECT {S}, jdate, count(*) AS month_rows FROM {mo} GROUP BY {S}, jdate) t "
+        "ON t.source_file = n.source_file AND t.measure = n.measure AND t.jdate = n.jdate GROUP BY 1, 2, 3"
+        for kind, nf, mo in (("2x3", "nf3", "mo3r"), ("2x2", "nf2", "mo2"), ("2x2x2x2x2", "nf5", "mo2")))
     o["portfolio_nfirms"] = " UNION ALL ".join(
         f"SELECT jdate AS date, ptf_code, n_both AS nfirms, sort_on, {S} FROM srt{t}" for t in "bt")
     o["portfolio_coverage_pct"] = " UNION ALL ".join(
@@ -630,15 +641,16 @@ def oracle_sql() -> dict[str, str]:
         f"sum({pct('n_both', 'month_rows')}) AS share FROM srt{t} JOIN (SELECT {S}, jdate, count(*) AS month_rows "
         f"FROM {mo} GROUP BY {S}, jdate) USING ({S}, jdate) GROUP BY {S}, sort_on, jdate) GROUP BY {S}, sort_on"
         for t, mo in (("b", "mo5"), ("t", "mo4")))
-    o["factor_correlations"] = ("SELECT f.source_file, f.measure, f.bp, " + ", ".join(
+    o["factor_correlations"] = " UNION ALL ".join(f"SELECT f.source_file, f.measure, f.bp, '{kind}' AS kind, " + ", ".join(
         f"round(corr(b.\"{c}\", f.\"{c}\"), 8) AS \"{c}\"" for c in pub)
-        + " FROM ft3r f JOIN bench b ON b.date = f.date GROUP BY 1, 2, 3")
+        + f" FROM {ft} f JOIN bench b ON b.date = f.date GROUP BY 1, 2, 3" for kind, ft in factor_kinds)
     o["portfolio_correlations"] = " UNION ALL ".join(
         f"SELECT {S}, sort_on_x AS sort_on, round(corr(ret_x, ret_y), 8) AS corr FROM ("
         + cmp_sql.format("e.ret AS ret_x, p.ret AS ret_y", t, p) + f") WHERE sort_on_x IS NOT NULL GROUP BY {S}, sort_on_x"
         for t, p in (("b", "biv"), ("t", "thr")))
-    o["date_range_summary"] = (f"SELECT {S}, sort_on, count(DISTINCT date) AS n_dates, count(DISTINCT ptf_code) AS n_series, "
-                               f"min(date) AS min_date, max(date) AS max_date FROM exct GROUP BY {S}, sort_on")
+    o["date_range_summary"] = " UNION ALL ".join(
+        f"SELECT {S}, sort_on, count(DISTINCT date) AS n_dates, count(DISTINCT ptf_code) AS n_series, "
+        f"min(date) AS min_date, max(date) AS max_date FROM exc{t} GROUP BY {S}, sort_on" for t in "bt")
     # assembly and jobs
     o["tag_and_union_factors"] = _job("3r", "nf")
     o["tag_and_union_nfirms"] = f"SELECT {S}, bp, jdate, {tq}, 'nf' AS measures_robust_bp FROM nf3 {COMPLETE}"

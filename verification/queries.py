@@ -6,6 +6,7 @@ import datetime
 from collections.abc import Callable
 from dataclasses import replace
 from functools import cached_property, lru_cache, reduce
+from itertools import product
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +22,9 @@ from sortfolio.sources import calendar, codes, sinks, store, tables, text
 from verification import fixtures, panel_queries
 
 ROBUST = ("nf",)
+#: the sorts, each with its measures of alternative breakpoint sets
+FACTOR_KINDS = {"2x3": ROBUST, "2x2": (), "2x2x2x2x2": ()}
+SORT_KINDS = ("bivariate", "three_way")
 STORE_BUCKETS = 7
 
 
@@ -255,10 +259,18 @@ def _back(c: Context, path: str) -> DataFrame:
     return df.withColumns({d: F.col(d).cast("date") for d in ("date", "jdate") if d in df.columns})
 
 
+def _text(*names: str) -> list:
+    """Text columns as they were: an empty text comes back missing from a CSV file."""
+    return [F.coalesce(F.col(n).cast("string"), F.lit("")).alias(n) for n in names]
+
+
 def q_write_factors(c: Context) -> DataFrame:
-    path = landing_path(c.spark, "factors_csv")
-    sinks.write_factors(c.factors("2x3"), path, "2x3", ROBUST)
-    return _back(c, path).select("file", "date", *factors.FACTOR_COLUMNS, "measures_robust_bp", "bp", "measure")
+    parts = []
+    for kind, robust in FACTOR_KINDS.items():
+        path = landing_path(c.spark, "factors_csv")
+        sinks.write_factors(c.factors(kind), path, kind, robust)
+        parts.append(_back(c, path).select("file", "date", *factors.FACTOR_COLUMNS, *_text("measures_robust_bp", "bp"), "measure"))
+    return rounded(_stacked(parts))
 
 
 def _complete_nfirms(c: Context) -> DataFrame:
@@ -268,10 +280,15 @@ def _complete_nfirms(c: Context) -> DataFrame:
 
 
 def q_write_factor_nfirms(c: Context) -> DataFrame:
-    path = landing_path(c.spark, "nfirms_csv")
-    sinks.write_factor_nfirms(_complete_nfirms(c), path, "2x3", ROBUST)
-    cols = [F.col(x).cast("bigint").alias(x) for x in diagnostics.NFIRMS_COLUMNS]
-    return _back(c, path).select("file", "jdate", *cols, "measures_robust_bp", "bp", "measure")
+    parts = []
+    for kind, robust in FACTOR_KINDS.items():
+        path = landing_path(c.spark, "nfirms_csv")
+        counts = _complete_nfirms(c) if kind == "2x3" else jobs.tag(c.nfirms(kind), robust)
+        sinks.write_factor_nfirms(counts, path, kind, robust)
+        back = _back(c, path)
+        cols = [(F.col(x) if x in back.columns else F.lit(None)).cast("bigint").alias(x) for x in diagnostics.NFIRMS_COLUMNS]  # 2x2 has no market
+        parts.append(back.select("file", "jdate", *cols, *_text("measures_robust_bp", "bp"), "measure"))
+    return _stacked(parts)
 
 
 def _legend(c: Context) -> DataFrame:
@@ -279,23 +296,30 @@ def _legend(c: Context) -> DataFrame:
 
 
 def q_write_portfolios(c: Context) -> DataFrame:
-    path = landing_path(c.spark, "portfolios_csv")
-    sinks.write_portfolios(jobs.with_index(c.excess("bivariate"), _legend(c)), path, "bivariate")
-    return _back(c, path).select("file", "date", "ptf_code", "ret", "sort_on", "measure")
+    parts = []
+    for kind in SORT_KINDS:
+        path = landing_path(c.spark, "portfolios_csv")
+        sinks.write_portfolios(jobs.with_index(c.excess(kind), _legend(c)), path, kind)
+        parts.append(_back(c, path).select("file", "date", "ptf_code", "ret", "sort_on", "measure"))
+    return _stacked(parts)
 
 
 def q_write_portfolio_nfirms(c: Context) -> DataFrame:
-    path = landing_path(c.spark, "portfolio_nfirms_csv")
-    counts = diagnostics.portfolio_nfirms(c.ptfs("bivariate"))
-    sinks.write_portfolio_nfirms(jobs.with_index(counts, _legend(c)), path, "bivariate")
-    back = _back(c, path)
-    return back.select("file", "date", "ptf_code", F.col("nfirms").cast("bigint").alias("nfirms"), "sort_on", "measure")
+    parts = []
+    for kind in SORT_KINDS:
+        path = landing_path(c.spark, "portfolio_nfirms_csv")
+        sinks.write_portfolio_nfirms(jobs.with_index(diagnostics.portfolio_nfirms(c.ptfs(kind)), _legend(c)), path, kind)
+        parts.append(_back(c, path).select("file", "date", "ptf_code", F.col("nfirms").cast("bigint").alias("nfirms"), "sort_on", "measure"))
+    return _stacked(parts)
 
 
 def q_write_legend(c: Context) -> DataFrame:
-    path = landing_path(c.spark, "legend_csv")
-    sinks.write_legend(_legend(c), path, "bivariate")
-    return _back(c, path).select("file", "measure", "index")
+    parts = []
+    for kind in SORT_KINDS:
+        path = landing_path(c.spark, "legend_csv")
+        sinks.write_legend(_legend(c), path, kind)
+        parts.append(_back(c, path).select("file", "measure", "index"))
+    return _stacked(parts)
 
 
 # --- filters and flags ----------------------------------------------------------------------
@@ -393,11 +417,12 @@ def q_on_calendar(c: Context) -> DataFrame:
 
 
 def q_compare_factors(c: Context) -> DataFrame:
-    return rounded(align.compare_factors(c.inputs.benchmark, c.factors("2x2").drop("measures_robust_bp", "bp")))
+    return rounded(_stacked([
+        align.compare_factors(c.inputs.benchmark, c.factors(kind).drop("measures_robust_bp")).withColumn("kind", F.lit(kind)) for kind in FACTOR_KINDS]))
 
 
 def q_compare_portfolios(c: Context) -> DataFrame:
-    return rounded(align.compare_portfolios(c.excess("bivariate"), c.published("bivariate")))
+    return rounded(_stacked([align.compare_portfolios(c.excess(kind), c.published(kind)) for kind in SORT_KINDS]))
 
 
 # --- breakpoints ----------------------------------------------------------------------------
@@ -500,9 +525,10 @@ def q_fill_missing_cells(c: Context) -> DataFrame:
 
 def q_portfolios_long(c: Context) -> DataFrame:
     keys = [*SERIES, "jdate"]
-    cell_codes = [f"{a}{i}_{b}{j}" for a, b in config.bivariate_sorts() for i, j in CELLS]
-    wide = returns.pivot_portfolios(c.ptfs("bivariate"), cell_codes, keys)
-    long = returns.portfolios_long(wide, cell_codes, keys)
+    codes = {"bivariate": [f"{a}{i}_{b}{j}" for a, b in config.bivariate_sorts() for i, j in CELLS],
+             "three_way": ["_".join(f"{m}{i}" for m, i in zip(sort, cell)) for sort in config.threeway_sorts()
+                           for cell in product(*[range(1, 3 if m == "size" else 5) for m in sort])]}
+    long = _stacked([returns.portfolios_long(returns.pivot_portfolios(c.ptfs(kind), own, keys), own, keys) for kind, own in codes.items()])
     long = long.withColumn("sort_on", F.regexp_replace("ptf_code", r"\d", ""))
     return rounded(jobs.with_index(long, _legend(c)))
 
@@ -526,11 +552,14 @@ def q_portfolio_coverage_pct(c: Context) -> DataFrame:
 
 
 def q_factor_coverage_pct(c: Context) -> DataFrame:
-    return rounded(diagnostics.factor_coverage_pct(c.nfirms("2x3"), c.cube("2x3", ROBUST)), 6)
+    parts = [diagnostics.factor_coverage_pct(c.nfirms(kind), c.cube(kind, robust)).withColumn("kind", F.lit(kind)) for kind, robust in FACTOR_KINDS.items()]
+    parts = [p if "Mkt-RF" in p.columns else p.withColumn("Mkt-RF", F.lit(None).cast("double")) for p in parts]
+    return rounded(_stacked(parts), 6)
 
 
 def q_factor_correlations(c: Context) -> DataFrame:
-    return rounded(diagnostics.factor_correlations(align.compare_factors(c.inputs.benchmark, c.factors("2x3"))), 8)
+    return rounded(_stacked([
+        diagnostics.factor_correlations(align.compare_factors(c.inputs.benchmark, c.factors(kind))).withColumn("kind", F.lit(kind)) for kind in FACTOR_KINDS]), 8)
 
 
 def q_portfolio_correlations(c: Context) -> DataFrame:
@@ -540,12 +569,11 @@ def q_portfolio_correlations(c: Context) -> DataFrame:
 
 
 def q_date_range_summary(c: Context) -> DataFrame:
-    return diagnostics.date_range_summary(
-        c.excess("three_way"), [*SERIES, "sort_on"], F.count_distinct("ptf_code"))
+    return _stacked([diagnostics.date_range_summary(c.excess(kind), [*SERIES, "sort_on"], F.count_distinct("ptf_code")) for kind in SORT_KINDS])
 
 
 def q_misassigned_check(c: Context) -> DataFrame:
-    return diagnostics.misassigned_check(c.assigned("bivariate"))
+    return _stacked([diagnostics.misassigned_check(c.assigned(kind)).withColumn("kind", F.lit(kind)) for kind in SORT_KINDS])
 
 
 # --- jobs -----------------------------------------------------------------------------------
