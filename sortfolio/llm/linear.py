@@ -69,14 +69,16 @@ def collect_features(docs: DataFrame, chosen: DataFrame, features: Features, key
     one = rows.join(F.broadcast(least), ["id", "hash"]).groupBy("id").agg(F.first("text").alias("text"))
     table = one.join(F.broadcast(chosen), "id").select("id", "label", "text").mapInArrow(
         run, f"id {kind}, label int, slots array<int>, values array<float>").toArrow()
-    out = []
-    for b in table.to_batches():
-        ids, labels = b.column(0).to_pylist(), b.column(1).to_pylist()
-        for i, (k, y) in enumerate(zip(ids, labels)):
-            s = np.asarray(b.column(2)[i].values, dtype=np.int64)
-            out.append(((k, len(s), y), s, np.asarray(b.column(3)[i].values, dtype=np.float64)))
-    out.sort(key=lambda r: r[0])
-    return [(k[2], s, v) for k, s, v in out]
+    return _ordered(table)
+
+
+def _ordered(table: pa.Table) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """Rows in the order of their keys; slots and values are views into the table's own memory."""
+    ids, labels = table.column(0).to_pylist(), table.column(1).to_pylist()
+    slots, values = (c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in (table.column(2), table.column(3)))
+    (s, s_at), (v, v_at) = ((np.asarray(c.values), np.asarray(c.offsets)) for c in (slots, values))
+    order = sorted(range(len(ids)), key=lambda i: (ids[i], s_at[i + 1] - s_at[i], labels[i]))
+    return [(labels[i], s[s_at[i] : s_at[i + 1]], v[v_at[i] : v_at[i + 1]]) for i in order]
 
 
 def scores(docs: DataFrame, weights: np.ndarray, bias: float, features: Features, key: str, text: str) -> DataFrame:

@@ -44,8 +44,10 @@ def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: fl
     weights = np.zeros(1 << linear.BITS)
     if not positive:
         return weights, -30.0
-    seen = np.bincount(np.concatenate(positive), minlength=len(weights))
-    among = np.bincount(np.concatenate([*unlabelled, np.zeros(0, np.int64)]), minlength=len(weights))
+    seen, among = np.zeros(len(weights), np.int64), np.zeros(len(weights), np.int64)
+    for total, texts in ((seen, positive), (among, unlabelled)):  # text by text: all slots in one array would be far larger
+        for t in texts:
+            total[t] += 1
     lifted = seen * max(len(unlabelled), 1) >= lift * among * len(positive)
     used = np.flatnonzero((seen >= min(least_texts, len(positive))) & lifted)
     place = np.full(len(weights), -1, np.int64)

@@ -5,9 +5,12 @@ from __future__ import annotations
 import random
 
 import pytest
+from sentencepiece import SentencePieceProcessor
 
 import corpus_pipeline
+from sortfolio.llm import pieces, simhash
 from tests.llm.conftest import documents
+from tests.llm.test_pii import plain_replace
 
 
 @pytest.fixture(scope="module")
@@ -56,3 +59,36 @@ def test_a_class_keeps_the_row_of_the_smallest_key(spark, corpus):
             least[t] = i
     got = taken(corpus_pipeline.drop_near_duplicates(spark, documents(spark, rows), folder))
     assert got == sorted(((i, t) for t, i in least.items()), key=str)
+
+
+def test_the_whole_run_equals_plain_python(spark, corpus):
+    """All five stages over rows with personal data, near copies, toxic and benchmark texts, repeated and null keys."""
+    rows, toxic, hit, folder = corpus
+    mail = "Mr. John Smith wrote to bob@mail.example.com from 10.1.2.3. Smith called +1 (499) 555-6503."
+    clean = [t for _, t in rows if t not in toxic and t not in hit]
+    rows = rows + [(2000 + i, f"{t} {mail} {t[::-1]}") for i, t in enumerate(clean[:12])] + [(3000, clean[20] + " " + clean[21] + " é"), (2999, clean[20] + " " + clean[21] + " é")]
+    rows += [(4000, None), (4001, ""), (None, "")]
+    documents(spark, rows).write.mode("overwrite").parquet(f"{folder}/documents.parquet")
+    got = sorted(((r.doc_id, list(r.ids), r.n_pieces) for r in corpus_pipeline.run(spark, folder).collect()), key=str)
+
+    # the fitted classifier is taken as it is (its own tests hold it against plain Python); all that follows is computed anew
+    kept = taken(corpus_pipeline.drop_toxic(spark, spark.read.parquet(f"{folder}/documents.parquet"), folder))
+    assert not {t for _, t in kept} & toxic and len(kept) > 0.9 * sum(t not in toxic for _, t in rows)
+    prints = [simhash.fingerprint(t, corpus_pipeline.SHINGLE) for _, t in kept]
+    group = list(range(len(kept)))
+    for i in range(len(kept)):
+        for j in range(i):
+            if (prints[i] ^ prints[j]).bit_count() <= corpus_pipeline.RADIUS and group[i] != group[j]:
+                old, new = group[i], group[j]
+                group = [new if g == old else g for g in group]
+    first: dict = {}
+    for i, (key, _) in enumerate(kept):
+        order = (key is None, key or 0)
+        if group[i] not in first or order < first[group[i]][0]:
+            first[group[i]] = order, i
+    left = [kept[i] for _, i in first.values() if kept[i][1] not in hit]
+    library = SentencePieceProcessor(model_file=pieces.MODEL)
+    texts = plain_replace([t or "" for _, t in left])
+    assert sum("John" in (t or "") for _, t in left) >= 5 and not any("John" in t or "@mail.example" in t for t in texts)
+    want = sorted(((k, ids, len(ids)) for (k, _), t in zip(left, texts) for ids in [library.encode(t)]), key=str)
+    assert got == want
