@@ -43,7 +43,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     classes = simhash.near_duplicates(rows, SHINGLE, RADIUS, key="__row").select("__row", "component_id")
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "__row")
     first = classes.join(rows.select("doc_id", "__row"), "__row").groupBy("component_id").agg(F.min(order).alias("first"))
-    return rows.join(land(first.select("first.__row"), "kept"), "__row", "left_semi").drop("__row")
+    # one row in eight or more is kept, so the kept ones are never small beside the rows: both sides are dealt at every size
+    return rows.join(land(first.select("first.__row"), "kept").hint("merge"), "__row", "left_semi").drop("__row")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -73,7 +74,7 @@ STAGES: list[tuple[str, Stage]] = [
     ("pii", replace_personal_data),
     ("sentencepiece", encode_pieces),
 ]
-#: classifiers and near-duplicate classes can't be expressed in SQL; tests/llm hold each stage against brute force
+#: classifiers and near-duplicate classes can't be expressed in SQL; tests/llm/test_pipeline.py holds the filters and the whole run against plain Python
 ORACLE_SQL = None
 
 
