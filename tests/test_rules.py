@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -229,3 +230,21 @@ def test_packing_refuses_unknown_labels_and_too_many_bits(spark):
         returns.pack_buckets(june, domains).collect()
     with pytest.raises(ValueError, match="63"):
         returns.cell_layout({f"c{i}": range(1, 256) for i in range(8)})
+
+
+def test_packing_compiles_to_methods_that_the_jvm_compiles(spark, capsys):
+    """The JVM interprets methods of more than 8,000 bytes, which made a packed row many times as dear."""
+    domains = assign.ntile_domains(5, 5)
+    values = {"size": "me", "bm": "beme", "op": "op", "inv": "inv", "nf": "nf"}
+    panel = spark.createDataFrame([], "source_file STRING, measure STRING, permno BIGINT, ffyear INT, "
+                                  + ", ".join(f"{c} DOUBLE, {v}_edges ARRAY<DOUBLE>" for v, c in values.items()))
+    monthly = spark.createDataFrame([], "permno BIGINT, ffyear INT, jdate DATE, retadj DOUBLE, wt DOUBLE")
+    cube = returns.monthly_cube(monthly, assign.assign_ntile(panel, values, 5), domains)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        cube.explain("codegen")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:\s*(\d+)", capsys.readouterr().out)]
+    print(sizes)
+    assert sizes and max(sizes) <= 8000
