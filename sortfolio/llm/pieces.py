@@ -27,7 +27,7 @@ from __future__ import annotations
 
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
@@ -47,6 +47,17 @@ _NORMAL, _USER, _BYTE = 1, 4, 6
 _UNUSED, _BPE = 5, 2
 
 
+class Solved(dict):
+    """Ids of units, solved when first asked for; a lookup costs no call."""
+
+    def __init__(self, solve: Callable[[str], bytes]):
+        super().__init__()
+        self.solve = solve
+
+    def __missing__(self, unit: str) -> bytes:
+        return self.solve(unit)
+
+
 class Vocabulary:
     """Pieces, scores and byte pieces of a model; ``own``: encodes as the file's kind asks."""
 
@@ -81,7 +92,8 @@ class Vocabulary:
                 node[""] = hit
         self.unit = self._units({p for p, v in self.table.items() if v})
         self.prefix = proto.normalizer_spec.add_dummy_prefix
-        self.known: dict[str, bytes] = {}
+        self.known = Solved(self.solve)
+        self.lossy = False  # whether the pieces of any unit so far do not spell it
         self.pairs: dict[tuple[str, str], bool] = {}
 
     @staticmethod
@@ -243,19 +255,18 @@ class Vocabulary:
                     at.setdefault(end, {})[place, end] = mask
         return {piece: m for held in at.values() for piece, m in held.items()}, before
 
-    def solved(self, unit: str) -> bytes:
-        found = self.known.get(unit)
-        if found is None:
-            if self.merges:
-                ids = self.ids_of(self.parts(unit))
-            else:
-                _, back, piece = self.forward(unit, [0.0], len(unit))
-                ids = self.ids(unit, back, piece, len(unit))
-            found = array("i", ids).tobytes()
-            if len(unit) <= CACHED_CHARS:
-                if len(self.known) >= CACHE:
-                    self.known.clear()
-                self.known[unit] = found
+    def solve(self, unit: str) -> bytes:
+        if self.merges:
+            ids = self.ids_of(self.parts(unit))
+        else:
+            _, back, piece = self.forward(unit, [0.0], len(unit))
+            ids = self.ids(unit, back, piece, len(unit))
+        self.lossy |= b"".join(map(self.shown.__getitem__, ids)) != unit.encode()
+        found = array("i", ids).tobytes()
+        if len(unit) <= CACHED_CHARS:
+            if len(self.known) >= CACHE:
+                self.known.clear()
+            self.known[unit] = found
         return found
 
     def normalised(self, text: str) -> str:
@@ -263,7 +274,16 @@ class Vocabulary:
 
     def encode(self, text: str) -> bytes:
         """Ids as 32-bit numbers, one after the other."""
-        return b"".join(map(self.solved, self.unit.findall(self.normalised(text))))
+        return b"".join(map(self.known.__getitem__, self.unit.findall(self.normalised(text))))
+
+    def exact(self, text: str, ids: bytes) -> bool:
+        """Whether the ids that :meth:`encode` gave decode to the very text.
+
+        Units are checked when they are solved. While all of them are spelt by their pieces, so is a text, but for U+2581.
+        """
+        if self.lossy:
+            return self.decode(np.frombuffer(ids, np.int32).tolist()) == text
+        return SPACE not in text
 
     def decode(self, ids: list[int]) -> str:
         text = b"".join(map(self.shown.__getitem__, ids)).decode("utf-8", "replace").replace(SPACE, " ")
@@ -524,7 +544,7 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", model_path:
             ids, exact, size, first = [], [], 0, 0
             for k, t in enumerate(b.column(1).to_pylist()):
                 ids.append(v.encode(t or ""))
-                exact.append(v.decode(np.frombuffer(ids[-1], np.int32).tolist()) == (t or ""))
+                exact.append(v.exact(t or "", ids[-1]))
                 size += len(ids[-1])
                 if size > 4 << 20 or k + 1 == b.num_rows:
                     yield pa.RecordBatch.from_arrays([b.column(0).slice(first, k + 1 - first), _list_array(ids), pa.array(exact)], ["id", "ids", "exact"])

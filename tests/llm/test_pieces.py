@@ -69,3 +69,20 @@ def test_prefix_products_are_products_in_order():
 
 def test_empty_table(spark):
     assert pieces.encode(documents(spark, [])).collect() == []
+
+
+@pytest.mark.parametrize("own", [False, True])
+def test_exactness_is_that_of_decoding(model, own):
+    """Told from the units, without decoding each text; pieces that don't spell their unit are found out."""
+    v = pieces.Vocabulary(model, own)
+    odd = ["", " ", "▁", "a▁b", "\x00", "x" * 100, *texts(200, 30)]
+
+    def agree() -> list[bool]:
+        got = [v.exact(t, v.encode(t)) for t in odd]
+        assert got == [v.decode(np.frombuffer(v.encode(t), np.int32).tolist()) == t for t in odd]
+        return got
+
+    assert [t for t, e in zip(odd, agree()) if not e] == ["▁", "a▁b"] and not v.lossy
+    v.byte_ids = [v.byte_ids[0]] * 256
+    v.known.clear()
+    assert not all(agree()[5:]) and v.lossy
