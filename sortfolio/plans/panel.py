@@ -51,8 +51,13 @@ def june_links(securities: DataFrame, links_table: DataFrame, accounts: DataFram
 
 
 def december_equity(june: DataFrame, monthly: DataFrame, max_days: int | None = MAX_DAYS, firm: str = "firm") -> DataFrame:
-    """``dec_me``: the firm's equity as of the end of the December before each June, at most ``max_days`` old."""
-    history = monthly.where(F.col("me").isNotNull()).select(firm, F.col("date").alias("dec_date"), F.col("me").alias("dec_me"))
+    """``dec_me``: the firm's equity as of the end of the December before each June, at most ``max_days`` old.
+
+    As of the end of a year, only the last row of a year can count, so that the history is cut to those before it is sorted.
+    """
+    row = F.struct(F.col("date").alias("dec_date"), F.col("me").alias("dec_me"))
+    last = monthly.where(F.col("me").isNotNull()).groupBy(firm, F.year("date").alias("year")).agg(F.max(row).alias("row"))
+    history = last.select(firm, "row.*")
     points = june.withColumn("december", F.make_date(F.year("date") - 1, F.lit(12), F.lit(31)))
     return intervals.as_of(points, history, [firm], "december", "dec_date", max_days).drop("december")
 

@@ -22,7 +22,8 @@ class Context:
 
     @cached_property
     def monthly(self) -> DataFrame:
-        return land(firms.market_equity(self.raw.securities).withColumn("firm", F.coalesce(F.col("permco"), -F.col("permno"))), "monthly")
+        """A projection of the landed securities."""
+        return firms.market_equity(self.raw.securities).withColumn("firm", F.coalesce(F.col("permco"), -F.col("permno")))
 
     @cached_property
     def yearly(self) -> DataFrame:
@@ -54,7 +55,7 @@ def q_firm_market_equity(c: Context) -> DataFrame:
 
 
 def q_december_market_equity(c: Context) -> DataFrame:
-    firm = firms.firm_market_equity(c.monthly, "firm").select("firm", "date", "me")
+    firm = land(firms.firm_market_equity(c.monthly, "firm").select("firm", "date", "me"), "firm-equity")
     june = firm.where(F.month("date") == 6)
     bounded = panel.december_equity(june, firm, raw.STALE).withColumn("bound", F.lit(raw.STALE))
     return bounded.unionByName(panel.december_equity(june, firm, None).withColumn("bound", F.lit(None).cast("int")))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,11 +61,30 @@ def links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.unionByName(second)
 
 
+class Derived(Raw):
+    """The raw tables, each derived and landed when first asked for."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
+
+    @cached_property
+    def securities(self) -> DataFrame:
+        return land(securities(self.spark, self.sf_dir), "raw-securities")
+
+    @cached_property
+    def accounts(self) -> DataFrame:
+        return land(accounts(self.spark, self.sf_dir), "raw-accounts")
+
+    @cached_property
+    def links(self) -> DataFrame:
+        return land(links(self.spark, self.sf_dir), "raw-links")
+
+
 _raw: dict[tuple[str, str], Raw] = {}
 
 
 def raw(spark: SparkSession, sf_dir: str) -> Raw:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _raw:
-        _raw[key] = Raw(land(securities(spark, sf_dir), "raw-securities"), land(accounts(spark, sf_dir), "raw-accounts"), land(links(spark, sf_dir), "raw-links"))
+        _raw[key] = Derived(spark, sf_dir)
     return _raw[key]
