@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import datetime as dt
+from dataclasses import replace
 
 import pytest
 
-from verification import panel_queries, raw
+from sortfolio.plans import jobs
+from verification import fixtures, panel_queries, queries, raw
 
 
 @pytest.fixture(scope="module")
@@ -24,8 +26,30 @@ def folder(spark, tmp_path_factory) -> str:
     return path
 
 
+def test_june_sorts_derive_no_monthly_returns(spark, folder):
+    """The returns of all months were summed and written before June buckets, which read none of them."""
+    found = queries.queries()
+    for name in ("june_assignments", "assign_ntile_dependent"):
+        assert found[name](spark, folder).count() > 0
+    made = fixtures.derived(spark, folder)
+    assert "returns" not in vars(made) and {"chars", "measures", "benchmark"} <= set(vars(made))
+    whole = fixtures.inputs(spark, folder)
+    assert whole is made and "returns" in vars(made) and whole.returns.count() == 40 * 12
+    given = replace(whole, chars=whole.chars.limit(0))
+    assert given.chars.count() == 0 and given.returns is whole.returns and given.return_buckets is None
+
+
 def test_december_equity_derives_the_securities_only(spark, folder):
     assert panel_queries.queries()["december_market_equity"](spark, folder).count() > 0
     made = raw.raw(spark, folder)
     assert "securities" in vars(made) and not {"accounts", "links"} & set(vars(made))
     assert made.accounts.count() > 0 and made.links.count() > 0
+
+
+def test_inputs_of_the_flags_are_not_shuffled(spark, folder, monkeypatch):
+    """Flags are made of the characteristics before these meet the measures."""
+    seen, build = [], jobs.align.build_panel
+    monkeypatch.setattr(jobs.align, "build_panel", lambda chars, measures: (seen.extend(chars.columns), build(chars, measures))[1])
+    pairs = jobs.prepare_panel(fixtures.derived(spark, folder)).pairs
+    assert {"me", "is_op_ok", "u_bm"} <= set(seen) and not {"revt", "cogs", "prc", "shrout", "dec_me", "be"} & set(seen)
+    assert pairs.count() > 0 and pairs.columns[-1] == "values"
