@@ -10,7 +10,8 @@ is the second for any file.
 * Best path (unigram files): the segmentation of largest total score over the model's pieces (among equal scores the longest last piece wins).
 
 Ordinary texts are encoded whole in one scan. Between two characters that stand side by side in no piece every segmentation has a
-border, so the words between such borders are solved one by one and remembered. Texts above ``giant`` characters are cut into chunks of
+border, so the words between such borders are solved on their own and remembered; by merge order, the new ones among texts of about a
+million characters together (:mod:`sortfolio.llm.merging`), since most words of a large corpus are rare. Texts above ``giant`` characters are cut into chunks of
 any end that tasks solve independently, by max-plus products:
 
 1. A chunk's transfer matrix holds the best weight from each entry state to each exit state. For the best path a state is the number of characters by
@@ -27,7 +28,7 @@ from __future__ import annotations
 
 import re
 from array import array
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
@@ -37,7 +38,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sortfolio.llm.storage import land
+from sortfolio.llm.merging import Merges, spans
+from sortfolio.llm.storage import Solved, land
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 GIANT, CHUNK = 1 << 16, 1 << 14
@@ -47,25 +49,19 @@ _NORMAL, _USER, _BYTE = 1, 4, 6
 _UNUSED, _BPE = 5, 2
 
 
-class Solved(dict):
-    """Ids of units, solved when first asked for; a lookup costs no call."""
+def _proto(model: bytes):
+    from sentencepiece import sentencepiece_model_pb2
 
-    def __init__(self, solve: Callable[[str], bytes]):
-        super().__init__()
-        self.solve = solve
-
-    def __missing__(self, unit: str) -> bytes:
-        return self.solve(unit)
+    proto = sentencepiece_model_pb2.ModelProto()
+    proto.ParseFromString(model)
+    return proto
 
 
 class Vocabulary:
     """Pieces, scores and byte pieces of a model; ``own``: encodes as the file's kind asks."""
 
     def __init__(self, model: bytes, own: bool = False):
-        from sentencepiece import sentencepiece_model_pb2
-
-        proto = sentencepiece_model_pb2.ModelProto()
-        proto.ParseFromString(model)
+        proto = _proto(model)
         self.merges = own and proto.trainer_spec.model_type == _BPE
         if self.merges and any(p.type in (_USER, _UNUSED) for p in proto.pieces):
             raise ValueError("user-defined and unused pieces of a merge-order model aren't supported")
@@ -95,6 +91,18 @@ class Vocabulary:
         self.known = Solved(self.solve)
         self.lossy = False  # whether the pieces of any unit so far do not spell it
         self.pairs: dict[tuple[str, str], bool] = {}
+        #: characters that are pieces, their ids by code point, and the joins of pieces; equal scores have equal ranks
+        self.single = {p for p, hit in self.table.items() if hit and len(p) == 1}
+        self.symbols = np.zeros(1 + max(map(ord, self.single), default=0), np.int32)
+        self.symbols[[*map(ord, self.single)]] = [self.table[c][0] for c in self.single]
+        self.joins = Merges(self._joins()) if self.merges else None
+
+    def _joins(self) -> Iterator[tuple[int, int, int, int]]:
+        rank = {score: k for k, score in enumerate(sorted({hit[1] for hit in self.table.values() if hit}, reverse=True))}
+        for piece, hit in self.table.items():
+            for k in range(1, len(piece)) if hit else ():
+                if (left := self.table.get(piece[:k])) and (right := self.table.get(piece[k:])):
+                    yield left[0], right[0], rank[hit[1]], hit[0]
 
     @staticmethod
     def _units(found: set[str]) -> re.Pattern:
@@ -272,9 +280,28 @@ class Vocabulary:
     def normalised(self, text: str) -> str:
         return (SPACE if self.prefix else "") + text.replace(" ", SPACE) if text else ""
 
+    def learn(self, units: set[str]) -> None:
+        """Remember the units of a merge-order model, but for long ones and those with a character in no piece."""
+        new = units - self.known.keys()
+        if len(self.known) + len(new) > CACHE:
+            self.known.clear()
+            new = units
+        short = [u for u in new if len(u) <= CACHED_CHARS and self.single.issuperset(u)]
+        if short:
+            whole = "".join(short)
+            found = self.joins.packed(self.symbols[np.frombuffer(whole.encode("utf-32-le"), np.uint32)], np.fromiter(map(len, short), np.int64, len(short)))
+            self.lossy |= b"".join(map(self.shown.__getitem__, np.frombuffer(b"".join(found), "<i4").tolist())) != whole.encode()
+            self.known.update(zip(short, found))
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as 32-bit numbers, one after the other."""
+        units = [self.unit.findall(self.normalised(t)) for t in texts]
+        if self.merges:
+            self.learn(set().union(*units))
+        return [b"".join(map(self.known.__getitem__, u)) for u in units]
+
     def encode(self, text: str) -> bytes:
-        """Ids as 32-bit numbers, one after the other."""
-        return b"".join(map(self.known.__getitem__, self.unit.findall(self.normalised(text))))
+        return self.encode_all([text])[0]
 
     def exact(self, text: str, ids: bytes) -> bool:
         """Whether the ids that :meth:`encode` gave decode to the very text.
@@ -541,14 +568,10 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", model_path:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(model.value, own)
         for b in batches:
-            ids, exact, size, first = [], [], 0, 0
-            for k, t in enumerate(b.column(1).to_pylist()):
-                ids.append(v.encode(t or ""))
-                exact.append(v.exact(t or "", ids[-1]))
-                size += len(ids[-1])
-                if size > 4 << 20 or k + 1 == b.num_rows:
-                    yield pa.RecordBatch.from_arrays([b.column(0).slice(first, k + 1 - first), _list_array(ids), pa.array(exact)], ["id", "ids", "exact"])
-                    ids, exact, size, first = [], [], 0, k + 1
+            for first, texts in spans(b.column(1).to_pylist()):
+                ids = v.encode_all(texts)
+                exact = pa.array([v.exact(t, i) for t, i in zip(texts, ids)], pa.bool_())
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(texts)), _list_array(ids), exact], ["id", "ids", "exact"])
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib

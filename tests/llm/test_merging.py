@@ -1,4 +1,4 @@
-"""Merges of many words at once against one word at a time, and their use by the encoder."""
+"""Merges of many words at once against one word at a time, and their use by both encoders."""
 
 from __future__ import annotations
 
@@ -6,9 +6,10 @@ import random
 
 import numpy as np
 import pytest
+from sentencepiece import SentencePieceProcessor
 from tokenizers import Tokenizer
 
-from sortfolio.llm import bpe, merging
+from sortfolio.llm import bpe, merging, pieces
 
 
 def plain(word: list[int], joins: dict[tuple[int, int], tuple[int, int]]) -> list[int]:
@@ -62,3 +63,18 @@ def test_words_of_a_text_file_are_merged_together(monkeypatch):
     assert [v.encode(t) for t in short] == want
     monkeypatch.undo()
     assert np.frombuffer(v.encode("x" * 200), "<u4").tolist() == library.encode("x" * 200, add_special_tokens=False).ids
+
+
+def test_units_of_a_merge_order_file_are_merged_together(monkeypatch):
+    with open(pieces.MODEL, "rb") as f:
+        v = pieces.Vocabulary(f.read(), own=True)
+    alone: list[str] = []
+    parts = v.parts
+    monkeypatch.setattr(v, "parts", lambda u: alone.append(u) or parts(u))
+    library = SentencePieceProcessor(model_file=pieces.MODEL)
+    texts = odd_texts()
+    want = [np.array(library.encode(t), "<i4").tobytes() for t in texts]
+    assert v.encode_all(texts) == want
+    assert all(len(u) > pieces.CACHED_CHARS or not v.single.issuperset(u) for u in alone)
+    monkeypatch.setattr(pieces, "CACHE", 50)
+    assert [v.encode(t) for t in texts] == want
