@@ -67,9 +67,8 @@ def collect_features(docs: DataFrame, chosen: DataFrame, features: Features, key
     rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("hash"))
     least = rows.join(F.broadcast(chosen.select("id").distinct()), "id").groupBy("id").agg(F.min("hash").alias("hash"))
     one = rows.join(F.broadcast(least), ["id", "hash"]).groupBy("id").agg(F.first("text").alias("text"))
-    table = one.join(F.broadcast(chosen), "id").select("id", "label", "text").mapInArrow(
-        run, f"id {kind}, label int, slots array<int>, values array<float>").toArrow()
-    return _ordered(table)
+    return _ordered(one.join(F.broadcast(chosen), "id").select("id", "label", "text").mapInArrow(
+        run, f"id {kind}, label int, slots array<int>, values array<float>").toArrow())
 
 
 def _ordered(table: pa.Table) -> list[tuple[int, np.ndarray, np.ndarray]]:
@@ -77,6 +76,7 @@ def _ordered(table: pa.Table) -> list[tuple[int, np.ndarray, np.ndarray]]:
     ids, labels = table.column(0).to_pylist(), table.column(1).to_pylist()
     slots, values = (c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in (table.column(2), table.column(3)))
     (s, s_at), (v, v_at) = ((np.asarray(c.values), np.asarray(c.offsets)) for c in (slots, values))
+    del table  # the driver holds one copy of the slots
     order = sorted(range(len(ids)), key=lambda i: (ids[i], s_at[i + 1] - s_at[i], labels[i]))
     return [(labels[i], s[s_at[i] : s_at[i + 1]], v[v_at[i] : v_at[i + 1]]) for i in order]
 

@@ -537,7 +537,7 @@ def _traced(chunks: DataFrame, model) -> DataFrame:
 def encode_giants(docs: DataFrame, model, chunk: int, own: bool = False) -> DataFrame:
     """``(id, sha, ids)`` of texts solved chunk by chunk."""
     at = ["row", "chunk"]
-    merges = vocabulary(model.value, own).merges
+    merges = own and _proto(model.value).trainer_spec.model_type == _BPE  # the driver needs no tables of pieces
     chunks = land((_cut_around if merges else _cut)(docs, model, chunk).repartition(*at), "chunks")
     traced = land((_own_solved if merges else _solved)(chunks, model, at), "traced")
     whole = traced.groupBy("row").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("chunk", "ids"))), lambda x: x["ids"])).alias("ids"))

@@ -50,12 +50,12 @@ def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: fl
             total[t] += 1
     lifted = seen * max(len(unlabelled), 1) >= lift * among * len(positive)
     used = np.flatnonzero((seen >= min(least_texts, len(positive))) & lifted)
-    place = np.full(len(weights), -1, np.int64)
+    place = np.full(len(weights), -1, np.int32)
     place[used] = np.arange(len(used))
 
     def flat(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, int]:
         kept = [place[t][place[t] >= 0] for t in texts]
-        return np.repeat(np.arange(len(texts)), [len(k) for k in kept]), np.concatenate([*kept, np.zeros(0, np.int64)]), len(texts)
+        return np.repeat(np.arange(len(texts), dtype=np.int32), [len(k) for k in kept]), np.concatenate([*kept, np.zeros(0, np.int32)]), len(texts)
 
     sides = flat(positive), flat(unlabelled)
     w, b = np.zeros(len(used)), np.log(prior / (1 - prior))

@@ -78,3 +78,11 @@ def test_units_of_a_merge_order_file_are_merged_together(monkeypatch):
     assert all(len(u) > pieces.CACHED_CHARS or not v.single.issuperset(u) for u in alone)
     monkeypatch.setattr(pieces, "CACHE", 50)
     assert [v.encode(t) for t in texts] == want
+
+
+def test_the_driver_builds_no_tables_of_pieces_for_giant_texts(spark):
+    text = "the quick brown fox " * 300
+    pieces.vocabulary.cache_clear()
+    got = pieces.encode(spark.createDataFrame([(1, text)], "doc_id bigint, text string"), giant=1000, chunk=500, own=True).collect()
+    assert pieces.vocabulary.cache_info().currsize == 0
+    assert list(got[0].ids) == SentencePieceProcessor(model_file=pieces.MODEL).encode(text)
