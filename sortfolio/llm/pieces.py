@@ -10,8 +10,8 @@ is the second for any file.
 * Best path (unigram files): the segmentation of largest total score over the model's pieces (among equal scores the longest last piece wins).
 
 Ordinary texts are encoded whole in one scan. Between two characters that stand side by side in no piece every segmentation has a
-border, so the words between such borders are solved on their own and remembered; by merge order, the new ones among texts of about a
-million characters together (:mod:`sortfolio.llm.merging`), since most words of a large corpus are rare. Texts above ``giant`` characters are cut into chunks of
+border, so the words between such borders are solved on their own and remembered; by merge order, the new ones among texts of about half a
+megabyte together (:mod:`sortfolio.llm.merging`), since most words of a large corpus are rare. Texts above ``giant`` characters are cut into chunks of
 any end that tasks solve independently, by max-plus products:
 
 1. A chunk's transfer matrix holds the best weight from each entry state to each exit state. For the best path a state is the number of characters by
@@ -44,6 +44,8 @@ from sortfolio.llm.storage import Solved, land
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 GIANT, CHUNK = 1 << 16, 1 << 14
 CACHE, CACHED_CHARS = 400_000, 64
+#: units that are remembered
+UNITS = 1 << 17
 SPACE = "▁"
 _NORMAL, _USER, _BYTE = 1, 4, 6
 _UNUSED, _BPE = 5, 2
@@ -272,7 +274,7 @@ class Vocabulary:
         self.lossy |= b"".join(map(self.shown.__getitem__, ids)) != unit.encode()
         found = array("i", ids).tobytes()
         if len(unit) <= CACHED_CHARS:
-            if len(self.known) >= CACHE:
+            if len(self.known) >= UNITS:
                 self.known.clear()
             self.known[unit] = found
         return found
@@ -283,7 +285,7 @@ class Vocabulary:
     def learn(self, units: set[str]) -> None:
         """Remember the units of a merge-order model, but for long ones and those with a character in no piece."""
         new = units - self.known.keys()
-        if len(self.known) + len(new) > CACHE:
+        if len(self.known) + len(new) > UNITS:
             self.known.clear()
             new = units
         short = [u for u in new if len(u) <= CACHED_CHARS and self.single.issuperset(u)]
@@ -568,7 +570,7 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", model_path:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(model.value, own)
         for b in batches:
-            for first, texts in spans(b.column(1).to_pylist()):
+            for first, texts in spans(b.column(1)):
                 ids = v.encode_all(texts)
                 exact = pa.array([v.exact(t, i) for t, i in zip(texts, ids)], pa.bool_())
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(texts)), _list_array(ids), exact], ["id", "ids", "exact"])

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from sentencepiece import SentencePieceProcessor
 from tokenizers import Tokenizer
@@ -39,8 +40,8 @@ def test_no_joins():
 
 def test_spans_hold_each_text_once():
     texts = ["ab", None, "", "abcdefgh", "c"]
-    assert [*merging.spans(texts, 3)] == [(0, ["ab", "", "", "abcdefgh"]), (4, ["c"])]
-    assert [*merging.spans([])] == []
+    assert [*merging.spans(pa.array(texts), 3)] == [(0, ["ab", "", "", "abcdefgh"]), (4, ["c"])]
+    assert [*merging.spans(pa.array([], pa.string()))] == []
 
 
 def odd_texts() -> list[str]:
@@ -76,7 +77,7 @@ def test_units_of_a_merge_order_file_are_merged_together(monkeypatch):
     want = [np.array(library.encode(t), "<i4").tobytes() for t in texts]
     assert v.encode_all(texts) == want
     assert all(len(u) > pieces.CACHED_CHARS or not v.single.issuperset(u) for u in alone)
-    monkeypatch.setattr(pieces, "CACHE", 50)
+    monkeypatch.setattr(pieces, "UNITS", 50)
     assert [v.encode(t) for t in texts] == want
 
 
